@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .exact_dedup import exact_groups
+from .fingerprints import edit_likeness
 from .ngram_join import jaccard_components
 
 
@@ -11,12 +13,32 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(_documents(spark, sf_dir))
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_documents(spark, sf_dir))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
 QUERIES = {
+    "op1_one_permutation_minhash": op1_one_permutation_minhash,
+    "op3_exact_dedup": op3_exact_dedup,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_dedup": """
+        WITH d AS (
+            SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+            FROM documents
+        )
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, text_sha256
+        FROM d WINDOW g AS (PARTITION BY text_sha256)
+    """,
+}
