@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .exact_dedup import exact_groups
 from .fingerprints import edit_likeness
+from .mixing import fair_mix
 from .ngram_join import jaccard_components
 
 
@@ -21,6 +22,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
 
+def op4_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fair_mix(_documents(spark, sf_dir))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
@@ -28,6 +33,7 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_one_permutation_minhash": op1_one_permutation_minhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_fair_mix": op4_fair_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
 }
 
@@ -41,4 +47,33 @@ ORACLE_SQL: dict[str, str] = {
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op4_fair_mix": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+                   md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS turn
+            FROM documents
+        ), s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+            FROM d GROUP BY source
+        ), r AS (
+            SELECT *, 3 * source_size / weight AS ratio FROM s
+        ), c AS (
+            SELECT *, (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY ratio RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0))::DOUBLE
+                      / sum(weight) OVER (ORDER BY ratio RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+            FROM r
+        ), l AS (
+            SELECT min_by(level, ratio) AS level FROM c WHERE level <= ratio
+        ), t AS (
+            SELECT source, source_size, least(l.level * weight, 3.0::DOUBLE * source_size) AS target FROM s, l
+        ), q AS (
+            SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS whole,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        )
+        SELECT doc_id, size, source_size, target,
+               greatest(0, least(size, whole - start)) + greatest(0, least(size, whole - start - source_size))
+                   + greatest(0, least(size, whole - start - 2 * source_size)) AS taken,
+               CASE WHEN target > 0 THEN (start + size) / target END AS first_finish
+        FROM q
+    """,
 }
