@@ -4,12 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_chunks import bpe_digests
 from .exact_dedup import exact_groups
 from .fingerprints import edit_likeness
 from .mixing import fair_mix
 from .ngram_join import jaccard_components
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the installed vocabulary files are; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -30,11 +38,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_one_permutation_minhash": op1_one_permutation_minhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_fair_mix": op4_fair_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op7_bpe_chunks": op7_bpe_chunks,
 }
 
 ORACLE_SQL: dict[str, str] = {
