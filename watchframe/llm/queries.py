@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import toxicity
 from .bpe_chunks import bpe_digests
 from .exact_dedup import exact_groups
 from .fingerprints import edit_likeness
@@ -42,12 +43,18 @@ def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.score(docs, toxicity.fit(docs, labels))
+
+
 QUERIES = {
     "op1_one_permutation_minhash": op1_one_permutation_minhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_fair_mix": op4_fair_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_bpe_chunks": op7_bpe_chunks,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
