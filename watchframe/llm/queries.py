@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity
+from . import language_id, toxicity
 from .bpe_chunks import bpe_digests
 from .exact_dedup import exact_groups
 from .fingerprints import edit_likeness
@@ -48,6 +48,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 QUERIES = {
     "op1_one_permutation_minhash": op1_one_permutation_minhash,
     "op3_exact_dedup": op3_exact_dedup,
@@ -55,6 +60,7 @@ QUERIES = {
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_toxicity": op8_toxicity,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
