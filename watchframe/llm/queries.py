@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .fingerprints import edit_likeness
 from .mixing import fair_mix
 from .ngram_join import jaccard_components
+from .pii import span_digests
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,6 +28,10 @@ def op1_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(_documents(spark, sf_dir))
 
 
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(_documents(spark, sf_dir))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_one_permutation_minhash": op1_one_permutation_minhash,
+    "op2_personal_data": op2_personal_data,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_fair_mix": op4_fair_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
