@@ -442,3 +442,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = members.join(found, "sig", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that link, directly or over others, with a row of a smaller id.
+
+    Rows without shingles stay. Rows that share an id stay or go together.
+    """
+    found = jaccard_components(docs, id_col, text_col)
+    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct()
+    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")

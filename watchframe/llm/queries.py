@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, toxicity
+from . import language_id, licenses, toxicity
 from .bpe_chunks import bpe_digests
 from .exact_dedup import exact_groups
 from .fingerprints import edit_likeness
 from .mixing import fair_mix
 from .ngram_join import jaccard_components
 from .pii import span_digests
+from .token_counts import token_counts
 
 
 def tokenizer_file(name: str) -> str:
@@ -44,6 +45,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return licenses.license_scan(docs, licenses.fit(docs))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(_documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
 
@@ -53,6 +59,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    file = tokenizer_file("byte_bpe_50k.tiktoken")
+    return token_counts(_documents(spark, sf_dir), file, public_tokenizers.PATTERN, fields=("source", "text"), rule="first")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return language_id.predict(docs, language_id.fit(docs))
@@ -64,8 +77,10 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_fair_mix": op4_fair_mix,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_license_scan": op6_license_scan,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_toxicity": op8_toxicity,
+    "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
 }
 
