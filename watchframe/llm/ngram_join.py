@@ -43,7 +43,7 @@ FLUSH = 2_000_000
 #: Shingles of one trie task; larger groups are cut in blocks of this size.
 BLOCK = 2_000_000
 
-_POSTS = "bucket int, kind int, doc_id long, n long, sig long, sig2 long, tokens binary, sigs binary"
+_POSTS = "bucket int, kind int, doc_id long, n long, sig long, sig2 long, tokens binary, sigs binary, runs binary"
 _FACTS = "kind int, doc_id long, n long, sig long, sig2 long"
 
 
@@ -54,7 +54,7 @@ def needed(n: int, num: int, den: int) -> int:
 
 def spare(n: int) -> int:
     """Common prefix shingles that are asked for: longer prefixes tell more."""
-    return max(1, n // 16)
+    return max(1, n // 4)
 
 
 def _utf8(column: pa.Array) -> list[bytes]:
@@ -65,6 +65,24 @@ def _digest(s: np.ndarray) -> np.ndarray:
     return np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)
 
 
+def _pack(t: np.ndarray) -> bytes:
+    """The low 48 bits of each hash: with the bucket, enough to tell which ones may be shared."""
+    return t.astype("<u8").view("<u2").reshape(-1, 4)[:, :3].tobytes()
+
+
+def _unpack(data: bytes, bucket: int) -> np.ndarray:
+    low = np.frombuffer(data, "<u2").reshape(-1, 3)
+    full = np.empty((len(low), 4), "<u2")
+    full[:, :3], full[:, 3] = low, bucket & 0xFFFF
+    return full.view("<u8").ravel()
+
+
+def _runs(sigs: np.ndarray) -> tuple[bytes, bytes]:
+    """Each set once, and how many shingles in a row are its own."""
+    cut = np.flatnonzero(np.append(True, sigs[1:] != sigs[:-1]))
+    return sigs[cut].tobytes(), np.diff(np.append(cut, len(sigs))).astype("<u4").tobytes()
+
+
 def _postings(buckets: int, num: int, den: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: list[np.ndarray] = []
@@ -87,17 +105,17 @@ def _postings(buckets: int, num: int, den: int, width: int):
             who, times = np.unique(s[shared], return_counts=True)
             yield _facts_batch(2, who, times)
             for kind, part_t, part_s in ((1, t[~shared], s[~shared]), (3, t[head][several], None)):
-                # the hash's high bits choose the bucket, so sorted shingles lie bucket by bucket
                 b = ((part_t >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+                if part_s is not None:  # set by set in each bucket, so that a set is named once
+                    order = np.lexsort((part_s, b))
+                    part_t, part_s, b = part_t[order], part_s[order], b[order]
                 cut = np.flatnonzero(np.diff(b, prepend=-1))
+                if not len(cut):
+                    continue
                 ends = np.append(cut[1:], len(b))
-                if len(cut):
-                    yield _post_batch(
-                        kind,
-                        b[cut],
-                        [part_t[i:j].tobytes() for i, j in zip(cut, ends, strict=True)],
-                        [None if part_s is None else part_s[i:j].tobytes() for i, j in zip(cut, ends, strict=True)],
-                    )
+                spans = list(zip(cut.tolist(), ends.tolist(), strict=True))
+                named = [(None, None) if part_s is None else _runs(part_s[i:j]) for i, j in spans]
+                yield _post_batch(kind, b[cut], [_pack(part_t[i:j]) for i, j in spans], [x for x, _ in named], [y for _, y in named])
 
         for batch in batches:
             ids, sizes, first, second = [], [], [], []
@@ -122,6 +140,7 @@ def _postings(buckets: int, num: int, den: int, width: int):
                     pa.array(second, pa.int64()),
                     pa.nulls(size, pa.binary()),
                     pa.nulls(size, pa.binary()),
+                    pa.nulls(size, pa.binary()),
                 ],
                 _POST_NAMES,
             )
@@ -140,15 +159,16 @@ def _postings(buckets: int, num: int, den: int, width: int):
                 pa.nulls(size, pa.int64()),
                 pa.nulls(size, pa.binary()),
                 pa.nulls(size, pa.binary()),
+                pa.nulls(size, pa.binary()),
             ],
             _POST_NAMES,
         )
 
-    def _post_batch(kind, bucket, tokens, sigs):
+    def _post_batch(kind, bucket, tokens, sigs, runs):
         size = len(bucket)
         none = pa.nulls(size, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(bucket, pa.int32()), pa.array(np.full(size, kind), pa.int32()), none, none, none, none, pa.array(tokens, pa.binary()), pa.array(sigs, pa.binary())],
+            [pa.array(bucket, pa.int32()), pa.array(np.full(size, kind), pa.int32()), none, none, none, none, pa.array(tokens, pa.binary()), pa.array(sigs, pa.binary()), pa.array(runs, pa.binary())],
             _POST_NAMES,
         )
 
@@ -168,11 +188,13 @@ def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         if len(plain):
             part = batch.take(pa.array(plain))
             yield pa.RecordBatch.from_arrays(part.columns[1:6], _FACT_NAMES)
-        for k, t, s in zip(kind, batch.column(6), batch.column(7), strict=True):
-            if k == 1:
-                tokens.append(np.frombuffer(t.as_py(), np.uint64)), sigs.append(np.frombuffer(s.as_py(), np.int64))
-            elif k == 3:
-                common.append(np.frombuffer(t.as_py(), np.uint64))
+        for i in np.flatnonzero((kind == 1) | (kind == 3)).tolist():
+            t = _unpack(batch.column(6)[i].as_py(), batch.column(0)[i].as_py())
+            if kind[i] == 3:
+                common.append(t)
+                continue
+            tokens.append(t)
+            sigs.append(np.repeat(np.frombuffer(batch.column(7)[i].as_py(), np.int64), np.frombuffer(batch.column(8)[i].as_py(), "<u4")))
     if not tokens:
         return
     t, s = np.concatenate(tokens), np.concatenate(sigs)
@@ -412,14 +434,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members = facts.where("kind = 0").select("doc_id", "n", "sig", "sig2")
     shared = facts.where("kind = 2").groupBy("sig").agg(F.sum("n").alias("shared"))
     low = F.ceil(F.lit(num) * F.col("n") / den)
-    enough = F.greatest(F.lit(1), F.floor(low / 16))
+    enough = F.greatest(F.lit(1), F.floor(low / 4))  # spare() of the smallest possible partner
     heads = members.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
     heads = materialise(heads.join(shared, "sig").where(F.col("shared") >= enough).select("sig", "sig2", "doc_id"))
     # ids may repeat, and be null, so a set is known by its digest, and one reading of each is kept
     wanted = heads.select(F.col("doc_id").alias("head_id")).distinct()
-    again = src.join(wanted, src["doc_id"].eqNullSafe(wanted["head_id"]), "left_semi").select("text")
+    # always by shuffle: the list of ids grows with the table
+    again = src.join(wanted.hint("merge"), src["doc_id"].eqNullSafe(wanted["head_id"]), "left_semi").select("text")
     sets = again.mapInArrow(_sets(width), "sid long, n long, tokens array<long>")
-    sets = sets.join(heads.select(F.col("sig").alias("sid")), "sid", "left_semi").dropDuplicates(["sid"])
+    if not members.groupBy("doc_id").count().where("count > 1").isEmpty():
+        # repeated ids bring other sets along, or one set several times
+        sets = sets.join(heads.select(F.col("sig").alias("sid")), "sid", "left_semi").dropDuplicates(["sid"])
     sets = materialise(sets)
     # exact document frequencies among what is left; a shingle of one set only counts in n
     posts = sets.select("sid", "n", F.explode("tokens").alias("token"))
