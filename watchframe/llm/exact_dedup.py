@@ -72,10 +72,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     facts = materialise(facts.groupBy("id", "text_sha256", "bytes", "digest").agg(F.count("*").alias("times")))
     again = facts.groupBy("digest", "bytes").agg(F.count("*").alias("rows")).where("rows > 1").select("digest", "bytes")
     maybe = materialise(facts.join(again, ["digest", "bytes"], "left_semi"))
-    ids = maybe.select(F.col("id").alias("maybe_id")).distinct()
-    texts = src.join(ids, src["id"].eqNullSafe(ids["maybe_id"]), "left_semi").withColumn("text_sha256", F.sha2("text", 256))
-    facts_of = maybe.select(F.col("id").alias("maybe_id"), F.col("text_sha256").alias("sha"), "bytes", "digest")
-    texts = texts.join(facts_of, texts["id"].eqNullSafe(facts_of["maybe_id"]) & (texts["text_sha256"] == facts_of["sha"])).select("id", "text_sha256", "digest", "bytes", "text")
+    asked = maybe.select(F.col("id").alias("maybe_id"), "text_sha256", "digest", "bytes")
+    # always by shuffle: the list of ids grows with the table. Repeated ids meet several rows; the digest tells them apart
+    texts = src.join(asked.hint("merge"), src["id"].eqNullSafe(asked["maybe_id"])).where(F.sha2("text", 256) == F.col("text_sha256"))
+    texts = materialise(texts.select("id", "text_sha256", "digest", "bytes", "text"))
     recipes = materialise(_recipes(texts, least, most))
     left, right = maybe.select("id", "text_sha256", "times"), recipes.withColumnsRenamed({"id": "rid", "text_sha256": "rsha"})
     rows = left.join(right, left["id"].eqNullSafe(right["rid"]) & (left["text_sha256"] == right["rsha"])).select("id", "text_sha256", "times", "digest", "bytes", "recipe")
