@@ -179,7 +179,7 @@ def box(prefix: str = "") -> tuple[Column, ...]:
 def project(p: Column, x: Column, y: Column, z: Column) -> Column:
     """Pixel struct(u, v) of a world point through a flat 3x4 matrix."""
     row = lambda r: p[r * 4] * x + p[r * 4 + 1] * y + p[r * 4 + 2] * z + p[r * 4 + 3]
-    return F.struct((row(0) / row(2)).alias("u"), (row(1) / row(2)).alias("v"))
+    return F.struct(F.try_divide(row(0), row(2)).alias("u"), F.try_divide(row(1), row(2)).alias("v"))
 
 
 def image_to_ground(p: Column, u: Column, v: Column) -> Column:
@@ -191,7 +191,7 @@ def image_to_ground(p: Column, u: Column, v: Column) -> Column:
     x = (e * i - f * h) * u + (c * h - b * i) * v + (b * f - c * e)
     y = (f * g - d * i) * u + (a * i - c * g) * v + (c * d - a * f)
     w = (d * h - e * g) * u + (b * g - a * h) * v + (a * e - b * d)
-    return F.struct((x / w).alias("x"), (y / w).alias("y"))
+    return F.struct(F.try_divide(x, w).alias("x"), F.try_divide(y, w).alias("y"))
 
 
 def height_m(p: Column, x1: Column, y1: Column, x2: Column, y2: Column, width: Column, height: Column) -> Column:
@@ -199,7 +199,7 @@ def height_m(p: Column, x1: Column, y1: Column, x2: Column, y2: Column, width: C
     at = image_to_ground(p, (x1 + x2) / 2, y2)
     a = [p[4 + k] - y1 * p[8 + k] for k in range(4)]
     inside = (y1 > 2) & (y2 < height - 2) & (x1 > 2) & (x2 < width - 2)
-    return F.when(inside & (F.abs(a[2]) >= 1e-9), -(a[0] * at["x"] + a[1] * at["y"] + a[3]) / a[2])
+    return F.when(inside & (F.abs(a[2]) >= 1e-9), F.try_divide(-(a[0] * at["x"] + a[1] * at["y"] + a[3]), a[2]))
 
 
 # --- names, times and payloads

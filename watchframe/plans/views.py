@@ -37,7 +37,7 @@ VIEWS = {
     """,
     "v_edges": """
         SELECT concat('cam_', CAST(n AS VARCHAR(8))) AS camera_id, zone, restricted, ax, ay, bx, by_, e
-        FROM (SELECT SEQ(8) AS n) AS c, (VALUES
+        FROM (SELECT DISTINCT DIV(o_orderkey | 4) % 8 AS n FROM {orders}) AS c, (VALUES
             ('gate', TRUE, 1, 0e0, 0e0, 0.5e0, 0e0), ('gate', TRUE, 2, 0.5e0, 0e0, 0.5e0, 1e0), ('gate', TRUE, 3, 0.5e0, 1e0, 0e0, 1e0), ('gate', TRUE, 4, 0e0, 1e0, 0e0, 0e0),
             ('yard', FALSE, 1, 0.5e0, 0.2e0, 0.95e0, 0.3e0), ('yard', FALSE, 2, 0.95e0, 0.3e0, 0.7e0, 0.6e0), ('yard', FALSE, 3, 0.7e0, 0.6e0, 0.9e0, 0.95e0),
             ('yard', FALSE, 4, 0.9e0, 0.95e0, 0.55e0, 0.9e0), ('yard', FALSE, 5, 0.55e0, 0.9e0, 0.5e0, 0.2e0)
