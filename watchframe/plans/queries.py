@@ -990,3 +990,23 @@ def _x11(alerts):
 def _x11b(alerts):
     acks = alerts.where("event_id % 3 = 0").select("event_id", F.lit("me").alias("actor"), F.lit(1.0).alias("ts"))
     return maintenance.acknowledge(alerts, acks)[1]
+
+
+_ZONES, _CAMERAS = ["resident_parking", "visitor_parking", "gate", "lobby"], {"cam_1": "main gate", "cam_2": "north lobby"}
+
+
+@query("f16_parse_query_log", "part")
+def _f16(part):
+    from ..operators.query_log import parse_query_log
+
+    k = F.col("p_partkey")
+    color = F.element_at(F.array(*[F.lit(c) for c in ("red", "navy", "grey", "black", "dark")]), (k % 5 + 1).cast("int"))
+    sentence = (
+        F.when(k % 6 == 0, F.concat(F.lit("show unknown people in a "), color, F.lit(" shirt and blue jeans near the gate")))
+        .when(k % 6 == 1, F.concat(F.lit("guard about "), (k % 40 + 150).cast("string"), F.lit(" cm in the resident parking")))
+        .when(k % 6 == 2, F.concat(F.lit("car tn 09 ab "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" at main gate")))
+        .when(k % 6 == 3, F.concat(F.lit("tall visitor wearing "), color, F.lit(" and white")))
+        .when(k % 6 == 4, "five foot eight man on cam_2")
+        .otherwise(F.concat(F.lit("anyone with trousers in "), color))
+    )
+    return parse_query_log(part.select(k.alias("query_id"), sentence.alias("text")), _ZONES, _CAMERAS)
