@@ -21,7 +21,7 @@ def duck():
 
 def rows(df: pd.DataFrame) -> list[str]:
     df = df[sorted(df.columns)]
-    value = lambda v: "null" if v is None or (isinstance(v, float) and v != v) or v is pd.NA else (f"{float(v):.6g}" if isinstance(v, float) else str(v))
+    value = lambda v: "null" if v is None or (isinstance(v, float) and v != v) or v is pd.NA else (f"{float(v) + 0.0:.6g}" if isinstance(v, float) else str(v))
     return sorted("|".join(value(v) for v in r) for r in df.astype(object).itertuples(index=False))
 
 

@@ -50,7 +50,7 @@ def calib_df(det: DataFrame) -> DataFrame:
 
 
 def _r(name: str, digits: int = 4):
-    return F.round(name, digits).alias(name)
+    return (F.round(name, digits) + F.lit(0.0)).alias(name)  # no negative zeros
 
 
 # --- projections and filters
@@ -518,7 +518,7 @@ def _f6(crops):
 
 
 _EMB = """
-    SELECT {keys}, pos, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY {keys})), 1e-12), 5) AS v FROM (
+    SELECT {keys}, pos, round(v / greatest(sqrt(sum(v * v) OVER (PARTITION BY {keys})), 1e-12), 5) + 0.0e0 AS v FROM (
         SELECT {keys}, pos, sum({w} * e) AS v FROM (SELECT *, unnest(emb)::DOUBLE AS e, SEQ(len(emb)) AS pos FROM {src}) GROUP BY ALL)
 """
 
@@ -594,7 +594,7 @@ def _f8(samples, gallery):
 
 
 @query("f7_l2_normalize", "v_samples", sql=f"""
-    SELECT sample_id, pos, round(e / greatest(n, 1e-12), 5) AS v FROM (SELECT sample_id, SEQ(len(emb)) AS pos, unnest(emb)::DOUBLE AS e, sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in emb])) AS n FROM v_samples)""")
+    SELECT sample_id, pos, round(e / greatest(n, 1e-12), 5) + 0.0e0 AS v FROM (SELECT sample_id, SEQ(len(emb)) AS pos, unnest(emb)::DOUBLE AS e, sqrt(list_sum([x::DOUBLE * x::DOUBLE for x in emb])) AS n FROM v_samples)""")
 def _f7(samples):
     return _spread(samples.withColumn("emb", fn.l2_normalize(F.col("emb"))), ["sample_id"])
 
