@@ -165,3 +165,11 @@ def test_empty_inputs(spark):
     assert presence.alerts(none, RULE).count() == 0 and presence.presences(none).count() == 0
     gt = tracks_of(spark, [(0, 1, 0)]).where("false")
     assert evaluation.match_frame(gt, gt).count() == 0 and evaluation.id_metrics(gt, gt).first()["idtp"] == 0
+
+
+def test_clip_name_and_labels(spark):
+    df = spark.createDataFrame([("2018-03-11.11-25-00.11-30-00.school.G420.r13.avi",), ("other",)], "n string")
+    got = [r["c"] for r in df.select(fn.parse_clip_name(F.col("n")).alias("c")).collect()]
+    assert tuple(got[0]) == ("2018-03-11", "11-25-00", "11-30-00", "school", "G420") and got[1]["camera"] is None
+    roles = spark.createDataFrame([("resident",), ("staff",), ("unknown",), ("pending",), (None,)], "r string")
+    assert [r["b"] for r in roles.select(fn.should_blur(F.col("r")).alias("b")).collect()] == [False, False, True, True, True]
