@@ -27,13 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 #: Cut where these bits of the rolling hash are 0: about 2 KB a chunk.
 CUT_BITS = 11
 LEAST_CHUNK = 256
 #: Bytes that the rolling hash looks back on.
 WINDOW = 16
-FRAGMENTS = 250_000
-CHUNKS = 8_000
+FRAGMENTS = 100_000
+CHUNKS = 2_000
 #: What bytes.split() splits at.
 _WHITE = frozenset(b"\t\n\x0b\x0c\r ")
 #: Letters and digits of ASCII and Latin-1, then full stops and commas: their tokens never join, and case does not count.
@@ -272,6 +274,7 @@ def bpe_encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
 
 
 def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
+    small_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not grow
     kind = docs.schema[id_col].dataType.simpleString()

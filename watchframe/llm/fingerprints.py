@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textops import mix, shingle_sets
 
 BINS = 256
@@ -88,6 +89,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 5, bins:
 
     Replaces a column of that name. Fewer words than `width` make one shingle.
     """
+    small_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "fingerprint"]
 
     @F.pandas_udf("string")
@@ -165,6 +167,7 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     each cut id are copied to the run before, so each text crosses the network about once and each
     row meets its next one without any global order in one task.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = src.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k"))
     n = ids.count()

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
 from .textops import _NON_LETTER, Words, mix, slices
 
 BUCKETS = 1 << 15
@@ -145,6 +146,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     lang_pred is `und`, with score 0, for texts that are null or have no letter, and where the model has
     learned no language. rejected: `und`, or less sure than calibration supports. Rows keep their number.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     kind = docs.schema[id_col].dataType.simpleString()
 

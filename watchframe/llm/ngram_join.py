@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise, partitions_for
+from .storage import materialise, partitions_for, small_batches
 from .textops import shingle_sets
 
 #: Postings held by a map task before they are packed and sent.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 #: Shingles of one trie task; larger groups are cut in blocks of this size.
 BLOCK = 2_000_000
 
@@ -427,6 +427,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     and repeated ids each keep their row; component_id is the least id of the linked rows (null where
     all of them are null). Other columns are not read. An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     buckets = partitions_for(src, "text", 64)
     posts = src.mapInArrow(_postings(buckets, num, den, width), _POSTS)

@@ -25,6 +25,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows from here on in this session: whole texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+
+
 def partitions_for(df: DataFrame, text_col: str, mb_each: int) -> int:
     """Partition count that gives each about mb_each MB of text, at least the session's own."""
     total = df.select(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0

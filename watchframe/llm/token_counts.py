@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import small_batches
+
 RULES = ("first", "last", "most")
 
 _ENCODERS: dict[str, tuple] = {}
@@ -73,6 +75,7 @@ def token_counts(docs: DataFrame, ranks_file: str, pattern: str, id_col: str = "
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {', '.join(RULES)}")
+    small_batches(docs.sparkSession)
     with open(ranks_file, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: its size does not grow
     kind = docs.schema[id_col].dataType.simpleString()
