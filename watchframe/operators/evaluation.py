@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,16 +28,23 @@ def match_frame(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataF
     Pairs under the threshold are dropped after the assignment. A frame's boxes meet in one task.
     """
 
+    columns = ["camera_id", "frame", "gt_id", "pred_id", "iou"]
+
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="gt_id", columns="pred_id", values="iou", fill_value=0.0, aggfunc="max")
-        pairs = assign(-table.to_numpy())
-        rows = [(pdf.camera_id.iloc[0], pdf.frame.iloc[0], table.index[r], table.columns[c], table.iat[r, c]) for r, c in pairs]
-        return pd.DataFrame(rows, columns=["camera_id", "frame", "gt_id", "pred_id", "iou"])
+        gts, g = np.unique(pdf.gt_id.to_numpy(), return_inverse=True)
+        preds, p = np.unique(pdf.pred_id.to_numpy(), return_inverse=True)
+        table = np.zeros((len(gts), len(preds)))
+        np.maximum.at(table, (g, p), pdf.iou.to_numpy())
+        r, c = np.array(assign(-table)).T
+        return pd.DataFrame({"camera_id": pdf.camera_id.iloc[0], "frame": pdf.frame.iloc[0], "gt_id": gts[r], "pred_id": preds[c], "iou": table[r, c]})
 
     pairs = iou_pairs(gt, pred, 1e-12)
+    # a pair whose boxes overlap no other is matched as it stands; only the rest needs an assignment
+    of_gt, of_pred = Window.partitionBy("camera_id", "frame", "gt_id"), Window.partitionBy("camera_id", "frame", "pred_id")
+    pairs = pairs.withColumn("alone", (F.count("*").over(of_gt) == 1) & (F.count("*").over(of_pred) == 1))
     kinds = dict(pairs.dtypes)
-    out = pairs.groupBy("camera_id", "frame").applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in ("camera_id", "frame", "gt_id", "pred_id", "iou")))
-    return out.where(F.col("iou") >= threshold)
+    rest = pairs.where("not alone").select(*columns).groupBy("camera_id", "frame").applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    return pairs.where("alone").select(*columns).unionByName(rest).where(F.col("iou") >= threshold)
 
 
 def camera_stats(gt: DataFrame) -> DataFrame:
