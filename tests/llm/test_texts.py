@@ -192,3 +192,14 @@ def test_license_scan(spark, docs, texts, empty):
     assert [got[i]["families"] for i in (1, 2, 4, 5, 6)] == ["mit", "apache-2.0", "", "", "cc-by-nc-4.0,gpl-3.0"]
     assert got[1]["notices"][0]["paragraph"] == 1 and got[3]["families"] == "" and got[5]["n_paragraphs"] == 1
     assert licenses.license_scan(docs, model).count() == len(texts) and licenses.license_scan(empty, model).count() == 0
+
+
+def test_license_training_reads_whole_documents(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "train", lambda other: other)
+    rows = [(i, "\n".join(f"line {k} of {i}" if k % 4 else " " for k in range(50))) for i in range(6)] + [(None, "no id"), (6, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    every = {f"line {k} of {i}" for i in range(6) for k in range(50) if k % 4}
+    assert sorted(licenses.fit(table)) == sorted(every)
+    some = licenses.fit(table, paragraphs=60)
+    assert len(some) == 60 and set(some) < every and any(int(p.split()[1]) >= 20 for p in some)
+    assert some == licenses.fit(table.repartition(5), paragraphs=60)

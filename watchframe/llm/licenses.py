@@ -32,6 +32,8 @@ TEMPLATES = {
 OTHER = "other"
 #: Most documents whose paragraphs are sampled as other text.
 SAMPLE_DOCS = 400
+#: Most paragraphs of those documents that are other text.
+TRAIN_PARAGRAPHS = 8_000
 #: Shingles of the template's words that a paragraph must hold to confirm a family.
 CONFIRM = 0.6
 #: Weights below this are dropped.
@@ -108,11 +110,16 @@ def train(other: list[str], epochs: int = 60, rate: float = 0.5, l1: float = 4e-
     return Model(classes, weights, [float(v) for v in b], least)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS) -> Model:
-    """Model whose other text is the paragraphs of the `most` documents of least hash."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS, paragraphs: int = TRAIN_PARAGRAPHS) -> Model:
+    """Model whose other text is drawn from the `most` documents of least hash.
+
+    Of all their paragraphs that are not blank, wherever they stand, the `paragraphs` of least hash over
+    id, place and text are taken.
+    """
     chosen = docs.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(most)
-    rows = docs.join(F.broadcast(chosen), id_col).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).orderBy(F.xxhash64("t")).collect()
-    return train([p for r in rows for p in r["t"].split("\n")[:20] if p.strip()])
+    rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("i"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("k", "p"))
+    rows = rows.where(F.col("p").rlike(r"(?U)\S")).orderBy(F.xxhash64("i", "k", "p"), "i", "k", "p").limit(paragraphs)
+    return train([r["p"] for r in rows.select("p").collect()])
 
 
 def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
