@@ -634,15 +634,20 @@ def _w10(samples, gallery, people):
     return identity.rescore(matched, states, left, t_face=0.28, t_body=0.28)
 
 
+#: A camera's samples in so many numbers are one track; so many tracks of each camera are one site.
+TRACK_RUN, SITE_RUN = 40, 10
+
+
 @query("w11_assign_global_ids", "v_samples")
 def _w11(samples):
+    samples = samples.withColumn("track_id", F.expr(f"sample_id div {TRACK_RUN}"))
     det = samples.withColumns({"gx": F.lit(None).cast("double"), "gy": F.lit(None).cast("double")})
     from pyspark.sql import Window
 
     early = samples.withColumn("turn", F.row_number().over(Window.partitionBy("camera_id", "track_id").orderBy("ts"))).where("turn <= 3")
     keys = ["camera_id", "track_id"]
     rows = tracks.sightings(det, samples).join(tracks.sighting_embedding(early), keys).join(tracks.sighting_embedding(samples).withColumnRenamed("emb", "end_emb"), keys)
-    return identity.assign_global_ids(rows.withColumn("site", F.lit("s0")), threshold=0.3)
+    return identity.assign_global_ids(rows.withColumn("site", F.concat(F.lit("s"), F.expr(f"track_id div {SITE_RUN}"))), threshold=0.3)
 
 
 @query("a17_merge_identities", "v_identities", "v_alerts", sql="""
