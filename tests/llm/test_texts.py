@@ -203,3 +203,17 @@ def test_license_training_reads_whole_documents(spark, monkeypatch):
     some = licenses.fit(table, paragraphs=60)
     assert len(some) == 60 and set(some) < every and any(int(p.split()[1]) >= 20 for p in some)
     assert some == licenses.fit(table.repartition(5), paragraphs=60)
+
+
+def test_chunk_reuse_counts_what_the_memory_still_holds(spark, empty):
+    texts = [f"text number {i}" for i in range(40)] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert tuple(bpe_chunks.chunk_reuse(rows).first()) == (80, 40, 0, 40, 40)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        assert tuple(bpe_chunks.chunk_reuse(rows, most=101).first()) == (80, 0, 40, 40, 40)
+        assert tuple(bpe_chunks.chunk_reuse(rows, most=9).first()) == (80, 0, 0, 80, 40)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    assert tuple(bpe_chunks.chunk_reuse(empty).first()) == (0, 0, 0, 0, 0)

@@ -1,8 +1,9 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A rolling hash over the bytes of a text cuts it into chunks whose borders depend on the content alone,
-so copies and shared passages give equal chunks wherever they stand. A chunk is encoded once in a worker
-process and remembered. Its first and last fragments may be halves of words, so each join of two chunks
+so copies and shared passages give equal chunks wherever they stand. A worker process remembers the
+chunks that it has encoded until it has met CHUNKS to twice as many other ones; a chunk that comes later
+is put together from its fragments again. Its first and last fragments may be halves of words, so each join of two chunks
 is repaired: the window from the last white space before the cut to the first one after it is encoded
 anew and must agree with the chunks' own tokens on both sides; if it does not, the whole text is encoded
 anew.
@@ -273,6 +274,37 @@ def bpe_encode(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", tex
     return _run(docs, tokenizer_file, id_col, text_col, digests=False)
 
 
+def chunk_reuse(docs: DataFrame, text_col: str = "text", most: int = CHUNKS) -> DataFrame:
+    """How often chunks are reused, in one row: chunks, in_batch, remembered, encoded, different.
+
+    in_batch: chunks that stand earlier in the same batch; remembered: those that the worker still knew;
+    encoded: the others. different: chunks by hash, which is what one memory for all workers would encode.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = _REUSE.setdefault(most, _Memory(most))
+        for batch in batches:
+            for texts in _batches(batch.column(0)):
+                own = [hashlib.blake2b(t[i:j], digest_size=16).digest() for t in texts for at in [cuts(t)] for i, j in zip(at, at[1:], strict=False)]
+                first, new = set(own), set()
+                memory.get_all(first, lambda keys, new=new: new.update(keys) or [True] * len(keys))
+                state = []
+                for c in own:
+                    state.append("encoded" if c in new else "remembered" if c in first else "in_batch")
+                    new.discard(c)
+                    first.discard(c)
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(state, pa.string())], ["chunk", "state"])
+
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk binary, state string")
+    each = rows.groupBy("chunk").agg(F.count("*").alias("n"), *[F.count_if(F.col("state") == s).alias(s) for s in ("in_batch", "remembered", "encoded")])
+    return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "chunks"), ("in_batch", "in_batch"), ("remembered", "remembered"), ("encoded", "encoded"))], F.count("*").alias("different"))
+
+
+#: The worker process's memories of chunk_reuse, kept for later tasks as those of codecs are.
+_REUSE: dict[int, _Memory] = {}
+
+
 def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, digests: bool) -> DataFrame:
     small_batches(docs.sparkSession)
     with open(tokenizer_file, encoding="utf-8") as f:
