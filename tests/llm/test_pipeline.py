@@ -3,6 +3,7 @@ from collections import defaultdict
 import __spark_entry__
 import corpus_pipeline
 from watchframe.llm import toxicity
+from watchframe.llm.mixing import fair_mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -53,13 +54,14 @@ def test_stages_equal_brute_force(spark):
     assert three.columns == docs.columns and {r["doc_id"] for r in three.collect()} == near_copies(two.collect())
     four = stage["mixing"](spark, three, SF).cache()
     assert four.columns == docs.columns
-    words, before = defaultdict(int), defaultdict(int)
-    for rows, count in ((four, words), (three, before)):
-        for r in rows.collect():
-            count[r["source"]] += len(r["text"].encode().split())
-    assert abs(sum(words.values()) - sum(before.values())) <= len(before)
-    assert all(words[s] <= 3 * before[s] for s in words)
-    assert all(r["n_chars"] == len(r["text"]) for r in four.collect())
+    want = defaultdict(int)
+    for r in fair_mix(three).where("taken > 0").collect():
+        want[r["doc_id"]] += r["taken"] // r["size"]
+    uses, rows = defaultdict(int), {r["doc_id"]: r for r in three.collect()}
+    for r in four.collect():
+        uses[r["doc_id"]] += 1
+        assert r == rows[r["doc_id"]]
+    assert uses == want
     five = stage["bpe"](spark, four, SF)
     assert five.count() == four.count()
 

@@ -55,30 +55,69 @@ def test_fingerprint_column(docs, texts):
     assert all(len(base64.b64decode(r["fingerprint"])) in (0, fingerprints.BINS) for r in rows)
 
 
-def test_mix_takes_its_targets(docs, texts, empty):
-    got = mixing.fair_mix(docs).collect()
-    assert len(got) == len(texts) and mixing.fair_mix(empty).count() == 0
-    assert sorted(map(str, got)) == sorted(map(str, mixing.fair_mix(docs.repartition(3)).collect()))
-    by = {}
-    for r in got:
-        assert 0 <= r["taken"] <= 3 * r["size"]
-        s = by.setdefault(r["target"], [r["source_size"], 0, 0])
-        s[1] += r["size"]
-        s[2] += r["taken"]
-    assert sum(by) == pytest.approx(sum(s[0] for s in by.values()))
-    for target, (size, own, taken) in by.items():
-        assert size == own and target <= 3 * size and 0 <= target - taken < 1
-
-
-def test_mixed_documents_hold_what_the_mix_takes(docs):
-    plain = docs.where("doc_id is not null and doc_id not in (0, 5)")
-    taken = {r["doc_id"]: r["taken"] for r in mixing.fair_mix(plain).collect() if r["taken"]}
-    rows = mixing.mixed_documents(plain, chars_col=None)
-    assert rows.columns == plain.columns
-    got = {}
-    for r in rows.collect():
-        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].encode().split())
-    assert got == taken
+def brute_mix(rows, repeats=3):
+    """Queues served by a sequential simulation. rows: (id, source, size); what each row is taken for."""
+    total, size = sum(r[2] for r in rows), {}
+    for _, s, n in rows:
+        size[s] = size.get(s, 0) + n
+    weight = {s: 1 + k % 3 for k, s in enumerate(sorted(size, key=lambda s: (s is None, s or "")))}
+    full = set()
+    while True:
+        rest = sum(w for s, w in weight.items() if s not in full)
+        level = (total - sum(repeats * size[s] for s in full)) / rest if rest else 0
+        more = {s for s in size if s not in full and level * weight[s] > repeats * size[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: float(repeats * size[s]) if s in full else level * weight[s] for s in size}
+    queues = {s: [] for s in size}
+    for n, (i, s, words) in enumerate(rows):
+        turn = hashlib.md5(f"mix:{'' if i is None else i}".encode()).hexdigest()
+        queues[s].append((turn, i is not None, i or 0, words, n))
+    uses = []
+    for s, q in queues.items():
+        clock = 0
+        for use in range(repeats):
+            for turn, known, i, words, n in sorted(q):
+                clock += words
+                uses.append((clock / target[s] if target[s] else math.inf, s is None, s or "", use, turn, known, i, words, n))
+    taken, served = [0] * len(rows), 0
+    for *_, words, n in sorted(uses):
+        served += words
+        if 2 * served - words <= 2 * total:
+            taken[n] += words
+    return [(i, words, size[s], round(target[s], 6), taken[n]) for n, (i, s, words) in enumerate(rows)]
+
+
+AWKWARD = [(1, "a b c", "s1"), (1, "a b c", "s1"), (2, "d e f", "s1"), (2, "g h i", "s2"), (None, "j k l", "s1"), (None, "m n", None), (None, None, None), (4, "", "s3"), (5, "x " * 40, "s2")]
+
+
+def test_mix_equals_a_sequential_queue(spark, docs, texts, empty):
+    schema = "doc_id long, text string, source string"
+    for table in (docs, spark.createDataFrame(AWKWARD, schema), spark.createDataFrame(AWKWARD[:1], schema), spark.createDataFrame([(9, None, "s")], schema)):
+        rows = [(r["doc_id"], r["source"], len((r["text"] or "").encode().split())) for r in table.collect()]
+        got = mixing.fair_mix(table).collect()
+        want = brute_mix(rows)
+        assert sorted(str((*r[:3], round(r["target"], 6), r["taken"])) for r in got) == sorted(map(str, want))
+        assert sorted(map(str, got)) == sorted(map(str, mixing.fair_mix(table.repartition(3)).collect()))
+        assert all(r["taken"] in {k * r["size"] for k in range(4)} for r in got)
+    assert len(mixing.fair_mix(docs).collect()) == len(texts) and mixing.fair_mix(empty).count() == 0
+
+
+def test_mixed_documents_hold_what_the_mix_takes(spark, docs, empty):
+    table = spark.createDataFrame([(*r, *range(n, n + 9)) for n, r in enumerate(AWKWARD)], "doc_id long, text string, source string, target int, total int, taken int, finish int, use int, mix_id int, mix_words int, key int, row int")
+    for t in (docs, table):
+        taken, got = {}, {}
+        for r in mixing.fair_mix(t).where("taken > 0").collect():
+            taken.setdefault(r["doc_id"], []).extend([r["size"]] * (r["taken"] // r["size"]))
+        rows = mixing.mixed_documents(t)
+        assert rows.columns == t.columns and rows.dtypes == t.dtypes
+        rows = rows.collect()
+        for r in rows:
+            got.setdefault(r["doc_id"], []).append(len(r["text"].encode().split()))
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in taken.items()}
+        assert set(map(str, rows)) <= set(map(str, t.collect()))
+    assert mixing.mixed_documents(empty).count() == 0 and mixing.mixed_documents(empty).columns == empty.columns
 
 
 def test_bpe_equals_the_library(docs, texts, empty):

@@ -1,10 +1,12 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source's documents stand in a shuffled queue. A document's virtual finish time is the words that
-its source has served up to its end, divided by the source's target. Since the targets add up to the
-budget, serving all queues fairly uses up the budget exactly at virtual time 1: what finishes by then is
-taken whole, and the document in service at that time is taken up to the words that its source still has.
-A queue starts over when it is exhausted, so a source whose target is above its size repeats documents.
+Every source's documents stand in a shuffled queue. A use of a document has a virtual finish time: the
+words that its source has served up to its end, divided by the source's target. A queue starts over when
+it is exhausted, so a source whose target is above its size uses documents again. All uses of all sources
+are range-sorted by their finish times, and the order is cut where the total budget of words is used up:
+a use stays if at least half of its words fit. Since the targets add up to the budget, the cut falls near
+virtual time 1, and each source is served within about one document of its target. Documents are used
+whole.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ordering import running_totals
+from .skew import join_split
 from .storage import materialise
 
 #: Most times that a source's words may be used.
@@ -21,7 +24,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text):
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD))
+    return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit(WORD))
 
 
 def source_targets(sizes: DataFrame, repeats: int = MAX_REPEATS, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -53,53 +56,54 @@ def source_targets(sizes: DataFrame, repeats: int = MAX_REPEATS, weights: tuple[
     return ranked.withColumn("target", target)
 
 
-def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", repeats: int = MAX_REPEATS) -> DataFrame:
-    """What the mix takes of each row: id_col, size, source_size, target, taken, first_finish.
+def served_uses(rows: DataFrame, seed: str = "mix", repeats: int = MAX_REPEATS) -> DataFrame:
+    """rows: key, id, source, size. What the queues serve: one row for each key.
 
-    size: words of the text (null: 0). taken: words used, repeats counted, at most `repeats` times the
-    size; over a source they add up to its target, rounded down. first_finish: virtual finish time of
-    the first use (null where the target is 0). The shuffle is the order of md5(seed:id), so reruns
-    agree; repeated ids stand in the order of their sizes. A null source is a source. Other columns are
-    not read; an empty table gives an empty result.
-
-    The queues are one range-sorted running total by (source, shuffle), so a source with a third of all
-    rows spreads over as many tasks as its rows need.
+    Columns: key, id, size, source_size, target, uses (times that the row is taken), first_finish.
+    Both orders are range-sorted running totals, so a source with a third of all rows, or any run of equal
+    finish times, spreads over as many tasks as its rows need.
     """
-    src = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).cast("long").alias("size"))
-    src = materialise(src.withColumn("turn", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))))
-    targets = source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size")), repeats)
-    queue = running_totals(src, [F.col("source").asc_nulls_last(), "turn", "id", "size"], "size", "upto")
-    targets = targets.withColumnRenamed("source", "of_source")
-    rows = queue.join(targets, queue["source"].eqNullSafe(targets["of_source"]))
-    start = F.col("upto") - F.col("size") - F.col("before")
-    whole = F.floor("target").cast("long")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), whole - start - F.col("source_size") * p)) for p in range(1, repeats)), F.greatest(F.lit(0), F.least(F.col("size"), whole - start)))
-    finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target"))
-    return rows.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), finish.alias("first_finish"))
+    src = materialise(rows.withColumn("turn", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))))
+    targets = materialise(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size")), repeats))
+    budget = targets.agg(F.sum("source_size")).first()[0] or 0
+    queue = materialise(running_totals(src, [F.col("source").asc_nulls_last(), "turn", "id", "size"], "size", "upto"))
+    queue = join_split(queue, targets, ["source"])
+    each = queue.withColumn("use", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    finish = F.when(F.col("target") > 0, (F.col("upto") - F.col("before") + F.col("use") * F.col("source_size")) / F.col("target"))
+    order = [F.col("finish").asc_nulls_last(), F.col("source").asc_nulls_last(), "use", "turn", "id", "size"]
+    served = running_totals(each.withColumn("finish", finish).drop("before", "upto", "weight"), order, "size", "served")
+    inside = 2 * F.col("served") - F.col("size") <= F.lit(2 * budget)
+    return served.groupBy("key", "id", "size", "source_size", "target").agg(F.count_if(inside).alias("uses"), F.min("finish").alias("first_finish"))
 
 
-def first_words(text, n):
-    """The text up to the end of its n-th word."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), n), "")
+def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", repeats: int = MAX_REPEATS) -> DataFrame:
+    """What the mix takes of each row: id_col, size, source_size, target, taken, first_finish.
+
+    size: words of the text (null: 0), however long it is. taken: words used, repeats counted: 0 to
+    `repeats` times the size, whole uses only. first_finish: virtual finish time of the first use (null
+    where the target is 0). The shuffle is the order of md5(seed:id), so reruns agree; repeated and null
+    ids stand in the order of their sizes, and rows that repeat id and size are served one after the
+    other. A null source is a source. Other columns, whatever their names, are not read; an empty table
+    gives an empty result.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).cast("long").alias("size"))
+    found = served_uses(rows, seed, repeats)
+    return found.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("uses") * F.col("size")).alias("taken"), "first_finish")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str | None = "n_chars") -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", repeats: int = MAX_REPEATS) -> DataFrame:
     """The mix itself: docs' rows as often as they are used, in the order of virtual finish times.
 
-    The one document that a source has in service when the budget ends is cut after the words taken.
-    Rows without words are not part of a mix. Rows that repeat id and text are one row here.
+    Every use is the whole row with all its columns, whatever their names. Rows without words (null, empty
+    or white space) are not part of a mix. Null and repeated ids and repeated rows are rows of their own:
+    each row has a key from its first reading to the output. An empty table gives an empty result.
     """
-    names = docs.columns
-    mix = fair_mix(docs, id_col, text_col, source_col).where("taken > 0")
-    mix = mix.groupBy(F.col(id_col).alias("mix_id"), F.col("size").alias("mix_size")).agg(F.max("taken").alias("taken"), F.min("first_finish").alias("finish"), F.first("source_size").alias("total"), F.first("target").alias("target"))
-    rows = docs.dropDuplicates([id_col, text_col]).withColumn("mix_words", word_count(F.col(text_col)).cast("long"))
-    rows = rows.join(mix, rows[id_col].eqNullSafe(mix["mix_id"]) & (rows["mix_words"] == mix["mix_size"]))
-    uses = F.ceil(F.col("taken") / F.col("mix_size")).cast("int")
-    rows = rows.withColumn("use", F.explode(F.sequence(F.lit(0), uses - 1)))
-    left = F.col("taken") - F.col("use") * F.col("mix_size")
-    cut = F.when(left >= F.col("mix_size"), F.col(text_col)).otherwise(first_words(F.col(text_col), left.cast("int")))
-    rows = rows.withColumn(text_col, cut).withColumn("finish", F.col("finish") + F.col("use") * F.col("total") / F.col("target"))
-    if chars_col in names:
-        rows = rows.withColumn(chars_col, F.char_length(text_col).cast(dict(docs.dtypes)[chars_col]))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = materialise(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*columns).alias("row")))
+    field = lambda c: F.col("row")[c]
+    rows = keyed.select("key", field(id_col).alias("id"), field(source_col).alias("source"), word_count(field(text_col)).cast("long").alias("size"))
+    mix = served_uses(rows, seed, repeats).where("uses > 0 AND size > 0").select("key", "uses", "first_finish", (F.col("source_size") / F.col("target")).alias("round"))
+    found = keyed.join(mix, "key").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses").cast("int") - 1)))
+    found = found.withColumn("finish", F.col("first_finish") + F.col("use") * F.col("round"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, "finish", id_col).sortWithinPartitions("finish", id_col).select(*names)
+    return found.repartitionByRange(n, "finish", "key").sortWithinPartitions("finish", "key").select("row.*")

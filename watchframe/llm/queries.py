@@ -113,14 +113,20 @@ ORACLE_SQL: dict[str, str] = {
         ), t AS (
             SELECT source, source_size, least(l.level * weight, 3.0::DOUBLE * source_size) AS target FROM s, l
         ), q AS (
-            SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS whole,
-                   sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id, d.size ROWS UNBOUNDED PRECEDING)::BIGINT - d.size AS start
+            SELECT d.doc_id, d.source, d.size, d.turn, t.source_size, t.target,
+                   sum(d.size) OVER (PARTITION BY d.source ORDER BY turn, d.doc_id NULLS FIRST, d.size ROWS UNBOUNDED PRECEDING)::BIGINT AS upto,
+                   row_number() OVER () AS row
             FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), u AS (
+            SELECT *, CASE WHEN target > 0 THEN (upto + use * source_size)::DOUBLE / target END AS finish
+            FROM q, (SELECT unnest([0, 1, 2]) AS use)
+        ), g AS (
+            SELECT *, sum(size) OVER (ORDER BY finish NULLS LAST, source NULLS LAST, use, turn, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING)::BIGINT AS served,
+                   sum(size) OVER ()::BIGINT // 3 AS budget
+            FROM u
         )
-        SELECT doc_id, size, source_size, target,
-               greatest(0, least(size, whole - start)) + greatest(0, least(size, whole - start - source_size))
-                   + greatest(0, least(size, whole - start - 2 * source_size)) AS taken,
-               CASE WHEN target > 0 THEN (start + size) / target END AS first_finish
-        FROM q
+        SELECT doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+               (sum(CASE WHEN 2 * served - size <= 2 * budget THEN size ELSE 0 END))::BIGINT AS taken, min(finish) AS first_finish
+        FROM g GROUP BY row, doc_id
     """,
 }
