@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 LEAST_SCORE = 0.5
-#: Characters before a span in which context words count.
+#: Characters before and after a span in which context words count.
 CONTEXT = 48
 
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -82,37 +82,82 @@ def _passes(kind: str, value: Column) -> Column:
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
+#: Matches whose positions are added up at once.
+_RUN = 256
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sums_before(lengths: Column, at) -> Column:
+    """For each length, `at` and all lengths before it. Copies its list for each one: for short lists."""
+    begin = F.struct(at.cast("int").alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, begin, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+
+def _offsets(lengths: Column) -> Column:
+    """Sums of the lengths before each one: those of runs of _RUN first, then those within the runs."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / _RUN).cast("int"))
+    run = lambda b: F.slice(lengths, b * _RUN + 1, F.lit(_RUN))
+    totals = F.transform(runs, lambda b: F.aggregate(run(b), F.lit(0), lambda a, x: a + x))
+    return F.flatten(F.zip_with(runs, _sums_before(totals, F.lit(0)), lambda b, at: _sums_before(run(b), at)))
+
+
+#: Matches that CONTEXT characters can hold, as none is shorter than two.
+_NEAR = CONTEXT // 2
+
+
+def _placed(v: Column) -> Column:
+    """v: struct of the matches (found) and the pieces between them (gaps). Starts, values, and text around.
+
+    Running sums of the pieces' and matches' lengths are the positions. The CONTEXT characters on both sides
+    are put together from the pieces and matches next to it. Nearly linear in the number of matches.
+    """
+    n, wide = F.size(v["found"]), F.lit(CONTEXT)
+    before, after = F.slice(v["gaps"], F.lit(1), n), F.slice(v["gaps"], F.lit(2), n)
+    parts = F.struct(
+        F.zip_with(before, v["found"], lambda g, x: F.char_length(g) + F.char_length(x)).alias("lengths"),
+        F.zip_with(before, v["found"], lambda g, x: F.right(F.concat(g, x), wide)).alias("back"),
+        F.zip_with(v["found"], after, lambda x, g: F.left(F.concat(x, g), wide)).alias("ahead"),
+        F.zip_with(before, after, lambda a, b: F.struct(F.char_length(a).alias("n"), F.right(a, wide).alias("left"), F.left(b, wide).alias("right"))).alias("gaps"),
+    )
+
+    def place(p):
+        def one(x, i):
+            left = F.right(F.concat(F.array_join(F.slice(p["back"], F.greatest(i - _NEAR + 1, F.lit(1)), F.least(i, F.lit(_NEAR))), ""), x["gap"]["left"]), wide)
+            right = F.left(F.concat(x["gap"]["right"], F.array_join(F.slice(p["ahead"], i + 2, F.lit(_NEAR)), "")), wide)
+            return F.struct((x["at"] + x["gap"]["n"]).alias("start"), x["value"].alias("value"), F.lower(F.concat(left, F.lit("\n"), right)).alias("around"))
+
+        return F.transform(F.arrays_zip(_offsets(p["lengths"]).alias("at"), v["found"].alias("value"), p["gaps"].alias("gap")), one)
+
+    return _let(parts, place)
 
 
 def _spans(kind: str, text: Column) -> Column:
     sign, pattern = PATTERNS[kind]
-    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,value:string>>").alias("out"))
-    placed = F.aggregate(
-        F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("value")),
-        begin,
-        lambda acc, x: F.struct(
-            (acc["at"] + F.char_length(x["gap"]) + F.char_length(x["value"])).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + F.char_length(x["gap"])).alias("start"), x["value"].alias("value")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
     base, extra, words = SCORES[kind]
-    near = lambda x: F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] - CONTEXT + 1), F.least(x["start"], F.lit(CONTEXT))))
-    scored = F.transform(
-        F.filter(placed, lambda x: _passes(kind, x["value"])),
-        lambda x: F.struct(
-            F.lit(kind).alias("kind"),
-            x["start"].alias("start"),
-            (x["start"] + F.char_length(x["value"])).alias("end"),
-            x["value"].alias("value"),
-            (F.lit(base) + F.when(near(x).rlike(rf"(?<![a-z])(?:{words})(?![a-z])"), extra).otherwise(0.0)).alias("score"),
-        ),
-    )
-    if kind not in BASE:
-        scored = F.filter(scored, lambda x: x["score"] >= LEAST_SCORE)
+    none = F.array().cast(_SPAN)
+
+    def scored(v):
+        spans = F.transform(
+            F.filter(_placed(v), lambda x: _passes(kind, x["value"])),
+            lambda x: F.struct(
+                F.lit(kind).alias("kind"),
+                x["start"].alias("start"),
+                (x["start"] + F.char_length(x["value"])).alias("end"),
+                x["value"].alias("value"),
+                (F.lit(base) + F.when(x["around"].rlike(rf"(?<![a-z])(?:{words})(?![a-z])"), extra).otherwise(0.0)).alias("score"),
+            ),
+        )
+        if kind not in BASE:
+            spans = F.filter(spans, lambda x: x["score"] >= LEAST_SCORE)
+        return F.when(F.size(v["found"]) > 0, spans.cast(_SPAN)).otherwise(none)
+
     may = F.contains(text, F.lit(sign)) if sign else text.rlike("[0-9]")
-    return F.when(may & (F.size(found) > 0), scored.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    return F.when(may, _let(both, scored)).otherwise(none)
 
 
 def _is(kind: str):
@@ -122,8 +167,9 @@ def _is(kind: str):
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with one more column `spans`: kind, start, end (code points, end exclusive), value, score.
 
-    Kinds in the order of PATTERNS, each by start. Null and empty texts have none. Replaces a column of
-    that name; rows keep their number.
+    Kinds in the order of PATTERNS, each by start. Null and empty texts have none; very long ones are read
+    whole, in time linear in their length. Replaces a column of that name; rows keep their number, and an
+    empty table stays empty.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     kept = [c for c in docs.columns if c != "spans"]
@@ -133,6 +179,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def span_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts of the base kinds, the digest of the base spans, all spans as text, and the mean score.
 
+    Other columns, whatever their names, are not read; repeated and null ids are rows of their own.
     Columns: id_col, n_email, n_ip, n_card, n_phone, base_sha256, spans, mean_score (null without spans).
     """
     found = find_spans(docs.select(F.col(id_col), F.col(text_col).alias("text")), "text")
