@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from watchframe.llm import bpe_chunks, fingerprints, language_id, licenses, mixing, token_counts, toxicity
+from watchframe.llm import bpe_chunks, fingerprints, language_id, mixing, token_counts, toxicity
 from watchframe.llm.queries import tokenizer_file
 
 
@@ -222,37 +222,3 @@ def test_language_id(spark, docs, texts, empty):
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] != "und" and got[1]["rejected"]
     assert language_id.predict(empty, model).count() == 0
     assert language_id.predict(odd, language_id.train([], [])).where("lang_pred <> 'und'").count() == 0
-
-
-def test_license_scan(spark, docs, texts, empty):
-    model = licenses.train(["plain words about nothing in particular", "the general public liked version two of the show"] * 20)
-    rows = [(1, "Intro.\nReleased under the MIT License.\nMore."), (2, "Licensed under the Apache License, Version 2.0."), (3, "This license covers nothing"), (4, "A general version for the public"), (5, None), (6, "Licensed under CC BY-NC 4.0.\nThis work is licensed under the GNU General Public License, version 3.")]
-    got = {r["doc_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
-    assert [got[i]["families"] for i in (1, 2, 4, 5, 6)] == ["mit", "apache-2.0", "", "", "cc-by-nc-4.0,gpl-3.0"]
-    assert got[1]["notices"][0]["paragraph"] == 1 and got[3]["families"] == "" and got[5]["n_paragraphs"] == 1
-    assert licenses.license_scan(docs, model).count() == len(texts) and licenses.license_scan(empty, model).count() == 0
-
-
-def test_license_training_reads_whole_documents(spark, monkeypatch):
-    monkeypatch.setattr(licenses, "train", lambda other: other)
-    rows = [(i, "\n".join(f"line {k} of {i}" if k % 4 else " " for k in range(50))) for i in range(6)] + [(None, "no id"), (6, None)]
-    table = spark.createDataFrame(rows, "doc_id long, text string")
-    every = {f"line {k} of {i}" for i in range(6) for k in range(50) if k % 4}
-    assert sorted(licenses.fit(table)) == sorted(every)
-    some = licenses.fit(table, paragraphs=60)
-    assert len(some) == 60 and set(some) < every and any(int(p.split()[1]) >= 20 for p in some)
-    assert some == licenses.fit(table.repartition(5), paragraphs=60)
-
-
-def test_chunk_reuse_counts_what_the_memory_still_holds(spark, empty):
-    texts = [f"text number {i}" for i in range(40)] * 2
-    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
-    assert tuple(bpe_chunks.chunk_reuse(rows).first()) == (80, 40, 0, 40, 40)
-    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
-    try:
-        assert tuple(bpe_chunks.chunk_reuse(rows, most=101).first()) == (80, 0, 40, 40, 40)
-        assert tuple(bpe_chunks.chunk_reuse(rows, most=9).first()) == (80, 0, 0, 80, 40)
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
-    assert tuple(bpe_chunks.chunk_reuse(empty).first()) == (0, 0, 0, 0, 0)

@@ -1,186 +1,318 @@
-"""Licence scans: a trained paragraph classifier, an unknown class, and template comparison.
+"""Licence scans: a trained classifier of paragraphs, an unknown class, and template comparison.
 
-The model is a sparse logistic regression over word unigrams and bigrams, one class for each licence
-family and one for other text. It is trained in numpy on variations of the family templates and on a
-bounded sample of the corpus's own paragraphs, which counts as other text. Its few non-zero weights are
-then literals of one DataFrame expression, and every paragraph of every text is scored in place: no
-Python runs on the executors and nothing is shuffled.
+A text falls into paragraphs at blank lines, and a paragraph, its line ends taken as spaces, into
+sentences, the units that are classified. The model is a sparse softmax regression over words and word
+pairs with one class for each licence family, one for licences that it does not know and one for other
+text. It is trained in numpy on variations of the notices below and on a bounded sample of the corpus's own
+sentences. Its few weights are literals of one DataFrame expression, and the sentences of every text are
+scored in place: no Python runs on the executors and nothing is shuffled.
 
-A paragraph whose best family is less probable than calibration asks for, or whose words cover too
-little of that family's template, is `unknown`.
+Only sentences with an anchor (ANCHORS: words without which no notice is written) are classified; all
+others are other text. A family is named where it is likely enough against `unknown` and other text, as
+calibrated, and its template comparison agrees: enough of a template's word pairs stand in the sentence, all
+words that the family requires (its version among them) do, and none that it excludes (`lesser` for the
+GPL). Sentences that deny a licence ("not licensed under ...") are other text. Sentences that speak of a
+licence but confirm no family are `unknown`.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices of each family as they are usually written.
-TEMPLATES = {
-    "apache-2.0": ["licensed under the apache license version 2.0"],
-    "bsd-3-clause": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "cc-by-4.0": ["this work is licensed under a creative commons attribution 4.0 international license", "licensed under cc by 4.0"],
-    "cc-by-nc-4.0": ["licensed under cc by-nc 4.0", "licensed under the creative commons attribution noncommercial 4.0 international license"],
-    "gpl-3.0": ["this work is licensed under the gnu general public license version 3"],
-    "lgpl-2.1": ["licensed under the gnu lesser general public license version 2.1"],
-    "mit": ["released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license version 2.0"],
-}
-OTHER = "other"
-#: Most documents whose paragraphs are sampled as other text.
+OTHER, UNKNOWN = "other", "unknown"
+
+
+def _gnu(name: str, short: str, version: str) -> list[str]:
+    return [
+        f"gnu {name} version {version}",
+        f"{short} version {version}",
+        f"spdx-license-identifier {short} version {version}",
+        f"under the terms of the gnu {name} as published by the free software foundation either version {version} of the license or at your option any later version",
+        f"this work is licensed under the gnu {name} version {version}",
+        f"{name} version {version}",
+    ]
+
+
+def _cc(words: str, short: str) -> list[str]:
+    return [
+        f"cc {short} 4",
+        f"licensed under a creative commons {words} 4 international license",
+        f"creative commons {words} 4",
+        f"{words} 4 international",
+        f"licensed under cc {short} 4",
+        f"spdx-license-identifier cc {short} 4",
+    ]
+
+
+#: Fixed values: (words or pairs that a notice must hold, `|` between those of which one is enough; words that it must not; notices as they are usually written,
+#: in the spelling of `normal`).
+FAMILIES = {
+    "agpl-3.0": (["affero|agpl", "version 3"], ["lesser"], _gnu("affero general public license", "agpl", "3")),
+    "apache-1.1": (["apache", "1.1"], [], ["apache software license version 1.1", "licensed under the apache license version 1.1", "spdx-license-identifier apache 1.1"]),
+    "apache-2.0": (["apache", "2"], [], ["licensed under the apache license version 2", "apache license 2", "apache license version 2", "spdx-license-identifier apache 2", "licensed under apache 2"]),
+    "artistic-2.0": (["artistic", "2"], [], ["artistic license 2", "licensed under the artistic license version 2", "spdx-license-identifier artistic 2"]),
+    "bsd": ([], ["3-clause", "2-clause"], ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd license", "licensed under a bsd license"]),
+    "bsd-2-clause": ([], ["3-clause"], ["bsd 2-clause license", "2-clause bsd license", "simplified bsd license", "spdx-license-identifier bsd 2-clause"]),
+    "bsd-3-clause": ([], ["2-clause"], ["bsd 3-clause license", "3-clause bsd license", "new bsd license", "spdx-license-identifier bsd 3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software"]),
+    "bsl-1.0": (["boost|bsl"], [], ["distributed under the boost software license version 1", "boost software license", "spdx-license-identifier bsl 1 boost"]),
+    "cc-by-4.0": (["4"], ["by-nc", "by-sa", "by-nd", "noncommercial", "sharealike", "noderivatives", "by-nc-sa", "by-nc-nd"], _cc("attribution", "by")),
+    "cc-by-nc-4.0": (["by-nc|noncommercial", "4"], ["by-nc-sa", "by-nc-nd", "sharealike", "noderivatives"], _cc("attribution noncommercial", "by-nc")),
+    "cc-by-nc-nd-4.0": (["by-nc-nd|noncommercial", "by-nc-nd|noderivatives", "4"], ["sharealike"], _cc("attribution noncommercial noderivatives", "by-nc-nd")),
+    "cc-by-nc-sa-4.0": (["by-nc-sa|noncommercial", "by-nc-sa|sharealike", "4"], ["noderivatives"], _cc("attribution noncommercial sharealike", "by-nc-sa")),
+    "cc-by-nd-4.0": (["by-nd|noderivatives", "4"], ["noncommercial", "by-nc-nd"], _cc("attribution noderivatives", "by-nd")),
+    "cc-by-sa-4.0": (["by-sa|sharealike", "4"], ["noncommercial", "by-nc-sa"], _cc("attribution sharealike", "by-sa")),
+    "cc0-1.0": (["cc0|zero"], [], ["cc0 1 universal", "cc0 1", "cc0 1 universal public domain dedication", "dedicated to the public domain under cc0", "spdx-license-identifier cc0 1", "creative commons zero cc0 1 universal"]),
+    "epl-2.0": (["eclipse|epl", "2"], [], ["epl 2", "epl 2 license", "made available under the terms of the eclipse public license 2", "eclipse public license version 2", "spdx-license-identifier epl 2"]),
+    "gpl-2.0": (["version 2"], ["lesser", "library", "affero", "lgpl", "agpl"], _gnu("general public license", "gpl", "2")),
+    "gpl-3.0": (["version 3"], ["lesser", "library", "affero", "lgpl", "agpl"], _gnu("general public license", "gpl", "3")),
+    "isc": ([], [], ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license", "isc license", "spdx-license-identifier isc"]),
+    "lgpl-2.1": (["lesser|lgpl", "version 2.1"], ["affero", "agpl"], _gnu("lesser general public license", "lgpl", "2.1")),
+    "lgpl-3.0": (["lesser|lgpl", "version 3"], ["affero", "agpl"], _gnu("lesser general public license", "lgpl", "3")),
+    "mit": ([], [], ["released under the mit license", "mit license", "licensed under mit", "spdx-license-identifier mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"]),
+    "mpl-1.1": (["mozilla|mpl", "1.1"], [], ["mpl 1.1", "mozilla public license version 1.1", "subject to the mozilla public license version 1.1", "spdx-license-identifier mpl 1.1"]),
+    "mpl-2.0": (["mozilla|mpl", "2"], [], ["mpl 2", "mpl 2 license", "this source code form is subject to the terms of the mozilla public license version 2", "mozilla public license version 2", "mozilla public license 2", "spdx-license-identifier mpl 2"]),
+    "unlicense": (["unlicense"], [], ["released under the unlicense", "spdx-license-identifier unlicense", "the unlicense"]),
+    "wtfpl": ([], [], ["do what the fuck you want to public license", "licensed under the wtfpl", "spdx-license-identifier wtfpl"]),
+    "zlib": (["zlib"], [], ["released under the zlib license", "zlib license", "spdx-license-identifier zlib"]),
+}
+#: A sentence of none of these is not classified.
+ANCHORS = r"licen[sc]|spdx|gpl|(?<![a-z])[me]pl(?![a-z])|creative commons|(?<![a-z])cc[ -]?(?:by|0|zero)|attribution|public domain|permission (?:is hereby|to use)|redistribution and use|wtfpl|to endorse or promote"
+#: Parts of text that every text with an anchor holds: the quick look before texts are cut up.
+_STEMS = ("licen", "spdx", "gpl", "mpl", "epl", "creative commons", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "cc zero", "cc-zero", "cczero", "attribution", "public domain", "permission ", "permission\n", "redistribution", "creative\n", "wtfpl", "endorse", "public\n")
+#: A licence is denied.
+DENIAL = r"(?<![a-z])(?:not|never|neither|nor|no longer|isn't|aren't|wasn't|cannot be|can't be)(?: [a-z]+){0,2} (?:licensed|released|distributed|available|covered|published|provided|offered|under|subject to)(?![a-z])"
+#: Words that say nothing about a licence.
+STOP_WORDS = "a an and any are as at be for from in is it of on or that the this to was with you".split()
+_WORD = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
+#: (pattern, replacement), in this order: one spelling for each name and version.
+SPELLINGS = [
+    (r"\s+", " "),
+    ("licence", "license"),
+    (r"(?<![a-z])(spdx-license-identifier):", "$1"),
+    (r"share-?alike|share alike", "sharealike"),
+    (r"non-?commercial|non commercial", "noncommercial"),
+    (r"no-?deriv(?:ative)?s?(?![a-z])|no derivatives", "noderivatives"),
+    (r"attribution-", "attribution "),
+    (r"noncommercial-", "noncommercial "),
+    (r"(?<![a-z])cc[ -]?(by(?:-[a-z]{2})*|zero)[ -]?(?=[0-9]|(?![a-z]))", "cc $1 "),
+    (r"(?<![a-z])(apache|bsd|mpl|epl|artistic|bsl|cc0)[ -](?=[0-9])", "$1 "),
+    (r"(?<![a-z])([la]?gpl)[ -]?(?:v(?:ersion|er)?\.? ?)?(?=[0-9])", "$1 version "),
+    (r"(?<![a-z])v(?:er|\.)? ?(?=[0-9])", "version "),
+    (r"(?<![0-9.])([0-9])\.0(?:-only|-or-later)?(?![0-9.]*[0-9])", "$1"),
+    (r"([0-9])-(?:only|or-later)", "$1"),
+    (r"(?<![a-z])two-clause", "2-clause"),
+    (r"(?<![a-z])three-clause", "3-clause"),
+    (r"public license,? v ", "public license version "),
+]
+PARAGRAPH = r"\n[ \t\r]*\n\s*"
+SENTENCE = r"(?<=[.!?])\s+(?=[A-Z\"'(*#])"
+#: Most documents whose sentences are sampled as other text, most bytes of one of them, and most sentences.
 SAMPLE_DOCS = 400
-#: Most paragraphs of those documents that are other text.
-TRAIN_PARAGRAPHS = 8_000
-#: Shingles of the template's words that a paragraph must hold to confirm a family.
+SAMPLE_BYTES = 100_000
+TRAIN_SENTENCES = 6_000
+#: Least share of a template's word pairs that a sentence must hold.
 CONFIRM = 0.6
 #: Weights below this are dropped.
-LEAST_WEIGHT = 0.15
-#: Words that say nothing about a licence.
-STOP_WORDS = "a an and any are as at be by for from in is it of on or that the this to was with you".split()
-_WORD = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
+LEAST_WEIGHT = 0.02
 
 
-def grams(text: str) -> set[str]:
-    words = [w for w in re.findall(_WORD, text.lower()) if w not in STOP_WORDS]
-    return {*words, *(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))}
+def normal(text: str) -> str:
+    """The one spelling in which notices are compared."""
+    text = text.lower()
+    for pattern, other in SPELLINGS:
+        text = re.sub(pattern, other.replace("$", "\\"), text)
+    return text
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in re.findall(_WORD, text) if w not in STOP_WORDS]
+
 
+def pairs_of(words: list[str]) -> list[str]:
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
-def _variations(text: str, rng, n: int) -> list[str]:
-    words, out = text.split(), [text]
-    for _ in range(n):
-        keep = [w for w in words if rng.random() > 0.12] or words
-        out.append(" ".join(keep + ["all", "rights", "reserved"][: rng.integers(0, 4)]))
-    return out
+
+def grams(text: str) -> set[str]:
+    words = words_of(text)
+    return {*words, *pairs_of(words)}
 
 
 class Model:
-    """classes, non-zero weights of each gram, bias, and the probability that a family needs."""
+    """classes, non-zero weights of each gram, bias, and the likelihood that a family needs."""
 
     def __init__(self, classes: list[str], weights: dict[str, list[float]], bias: list[float], least: float):
         self.classes, self.weights, self.bias, self.least = classes, weights, bias, least
 
 
-def train(other: list[str], epochs: int = 60, rate: float = 0.5, l1: float = 4e-4, seed: int = 1) -> Model:
-    """Softmax regression by proximal gradient steps (L1 keeps it sparse). other: paragraphs of other text."""
+def _unlike(rng, plain: list[str]) -> tuple[list[str], list[str]]:
+    """Sentences on licences that no family has, and sentences with the words of licences that name none."""
+    names = [w for p in plain[:400] for w in re.findall(r"[a-z]{4,9}", p.lower())] or ["foobar", "example", "sample"]
+    pick = lambda: names[rng.integers(len(names))]
+    forms = ["licensed under the {0} license version {1}", "released under the {0} {2} public license", "this software is covered by the {0} license agreement", "the {0} software license {1} applies", "subject to the terms of the {0} public license version {1}", "spdx-license-identifier {0} {1}", "all code is under the {0} {2} license"]
+    unknown = [f.format(pick(), rng.integers(1, 9), pick()) for f in forms for _ in range(20)]
+    unknown += ["licensed under the gnu license", "licensed under the general public license", "this license covers nothing", "see the license file", "gpl version 1", "cc by-sa 3", "creative commons attribution 3 unported license", "eclipse public license version 1", "apache license", "all use is subject to the license", "creative commons license", "attribution required"] * 4
+    forms = ["the {0} license was issued in {1}", "he lost his driving license near the {0}", "a license to {0} the {2}", "the general public liked version {1} of the {0}", "permission to use the {0} was refused", "attribution of the {0} to the {2}", "the {0} entered the public domain in {1}", "version {1} of the {0}", "all rights reserved {0}"]
+    return unknown, [f.format(pick(), rng.integers(1, 9), pick()) for f in forms for _ in range(20)]
+
+
+def train(plain: list[str], rounds: int = 300, rate: float = 2.0, l1: float = 2e-5, seed: int = 1) -> Model:
+    """Softmax regression by proximal gradient steps (L1 keeps it sparse). plain: sentences of other text."""
     rng = np.random.default_rng(seed)
-    classes = [*TEMPLATES, OTHER]
-    texts = [(v, k) for k, name in enumerate(TEMPLATES) for t in TEMPLATES[name] for v in _variations(t, rng, 40)]
-    plain = [p for p in other if not re.search(r"(?i)licen[sc]e|copyright|creative commons|redistribut", p)]
-    # parts of notices without a family are other text too, so that one common word never decides
-    plain += ["all rights reserved", "licensed", "the license", "version 2.0", "under the terms of this license", "license", "public", "general", "see the version"] * 5
-    texts += [(p, len(classes) - 1) for p in plain]
-    sets = [(grams(t), k) for t, k in texts]
-    seen: dict[str, int] = {}
-    known = set().union(*(grams(t) for own in TEMPLATES.values() for t in own))
-    for g, _ in sets:
-        for x in g & known:  # grams of no template cannot speak for a family
-            seen.setdefault(x, len(seen))
-    x = np.zeros((len(sets), len(seen)), np.float32)
-    for i, (g, _) in enumerate(sets):
-        x[i, [seen[w] for w in g if w in seen]] = 1
-    y = np.eye(len(classes), dtype=np.float32)[[k for _, k in sets]]
-    fit = np.arange(len(sets)) % 5 != 0
-    share = y[fit].mean(0)
-    weight = (y[fit] / (share + 1e-9)).sum(1, keepdims=True) / len(classes)
-    w, b = np.zeros((len(seen), len(classes)), np.float32), np.zeros(len(classes), np.float32)
-    for epoch in range(epochs * 5):
-        z = x[fit] @ w + b
+    classes = [*FAMILIES, UNKNOWN, OTHER]
+    plain = [normal(p) for p in plain if not re.search(ANCHORS, p.lower())]
+    unknown, harmless = _unlike(rng, plain)
+    rows = []
+    for k, name in enumerate(FAMILIES):
+        needed, _, notices = FAMILIES[name]
+        needed = {w for x in needed for w in re.split(r"[ |]", x)}
+        for notice in notices:
+            words = notice.split()
+            rows.append((words, k))
+            for _ in range(8):  # words that tell no version may be missing, and plain text may stand around
+                kept = [w for w in words if w in needed or len(words) < 6 or rng.random() > 0.06]
+                around = plain[rng.integers(len(plain))].split()[:6] if plain else []
+                rows.append((around + kept if rng.random() < 0.5 else kept + around, k))
+    rows += [(t.split(), len(classes) - 2) for t in unknown] + [(t.split(), len(classes) - 1) for t in plain + harmless]
+    sets = [grams(" ".join(w)) for w, _ in rows]
+    known = set().union(*(g for g, (_, k) in zip(sets, rows, strict=True) if k < len(FAMILIES)))
+    known &= set().union(*(grams(t) for _, _, ts in FAMILIES.values() for t in ts))
+    # and what is usual around licences that no family has, and around the word in other text
+    times = Counter(g for t in unknown + harmless for g in grams(t))
+    known |= {g for g, n in times.items() if n >= 10}
+    names = sorted(known)
+    at = {g: i for i, g in enumerate(names)}
+    x = np.zeros((len(rows), len(names)), np.float32)
+    for i, g in enumerate(sets):
+        x[i, [at[w] for w in g if w in at]] = 1
+    truth = np.array([k for _, k in rows])
+    y = np.eye(len(classes), dtype=np.float32)[truth]
+    fit = np.arange(len(rows)) % 5 != 0
+    share = np.maximum(y[fit].mean(0), 1e-9)
+    # every class weighs as much as its root, so that rare families are not drowned by other text
+    weight = (1 / np.sqrt(share))[truth[fit]][:, None]
+    weight /= weight.mean()
+    w, b = np.zeros((len(names), len(classes)), np.float32), np.zeros(len(classes), np.float32)
+    b[-1] = 2.0
+    xf, yf = x[fit], y[fit]
+    for _ in range(rounds):
+        z = xf @ w + b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        g = (p - y[fit]) * weight / fit.sum()
-        step = rate * (4 if epoch < epochs * 4 else 1)
-        w -= step * (x[fit].T @ g)
-        b -= step * g.sum(0)
-        w = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
-    z = x[~fit] @ w + b
-    p = np.exp(z - z.max(1, keepdims=True))
-    p /= p.sum(1, keepdims=True)
-    family = y[~fit][:, :-1].any(1)
-    right = p[:, :-1].max(1)[family & (p.argmax(1) == y[~fit].argmax(1))]
-    false = p[~family][:, :-1].max(1) if (~family).any() else np.zeros(1)
-    # halfway between what true notices reach and what other text reaches, at least one half
-    least = max(0.5, (float(np.quantile(right, 0.05)) + float(false.max())) / 2) if len(right) else 0.5
-    weights = {g: [float(v) for v in np.round(w[i], 4)] for g, i in seen.items() if np.abs(w[i]).max() >= LEAST_WEIGHT}
-    # a pair counts only with a telling word in it, so that the scan may pass over paragraphs without any
-    telling = set(telling_words(weights))
-    weights = {g: w for g, w in weights.items() if " " not in g or telling & set(g.split())}
-    return Model(classes, weights, [float(v) for v in b], least)
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS, paragraphs: int = TRAIN_PARAGRAPHS) -> Model:
-    """Model whose other text is drawn from the `most` documents of least hash.
-
-    Of all their paragraphs that are not blank, wherever they stand, the `paragraphs` of least hash over
-    id, place and text are taken.
+        g = (p - yf) * weight / len(yf)
+        w -= rate * (xf.T @ g)
+        b -= rate * g.sum(0)
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
+    likely = _likelihoods(x[~fit] @ w + b)
+    family = truth[~fit] < len(FAMILIES)
+    own = likely[np.flatnonzero(family), truth[~fit][family]]
+    false = likely[~family].max(1) if (~family).any() else np.zeros(1)
+    # between what true notices reach and what other text and other licences reach, calibrated on rows kept out
+    least = (float(np.quantile(own, 0.05)) + float(np.quantile(false, 0.95))) / 2 if len(own) else 0.5
+    weights = {g: [float(v) for v in np.round(w[i], 4)] for g, i in at.items() if np.abs(w[i]).max() >= LEAST_WEIGHT}
+    return Model(classes, weights, [float(v) for v in np.round(b, 4)], min(max(least, 0.2), 0.9))
+
+
+def _likelihoods(z: np.ndarray) -> np.ndarray:
+    """Of each family against `unknown` and other text alone: two families of one sentence may both be likely."""
+    rest = np.logaddexp(z[:, -1], z[:, -2])[:, None]
+    return 1 / (1 + np.exp(np.clip(rest - z[:, :-2], -60, 60)))
+
+
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE_DOCS, most_bytes: int = SAMPLE_BYTES, sentences: int = TRAIN_SENTENCES) -> Model:
+    """Model whose other text is drawn from `most` rows of at most `most_bytes` bytes, those of least hash.
+
+    Of all their sentences, wherever they stand, the `sentences` of least hash over id, place and text are
+    taken. These three bounds hold for training only; the scan reads every text whole.
     """
-    chosen = docs.select(id_col).distinct().orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(most)
-    rows = docs.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("string").alias("i"), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n", -1)).alias("k", "p"))
-    rows = rows.where(F.col("p").rlike(r"(?U)\S")).orderBy(F.xxhash64("i", "k", "p"), "i", "k", "p").limit(paragraphs)
+    key, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
+    rows = docs.where(F.octet_length(text) <= most_bytes).select(key.alias("i"), text.alias("t"))
+    rows = rows.orderBy(F.xxhash64("i", F.lit(1)), "i", F.xxhash64("t")).limit(most)
+    parts = F.flatten(F.transform(F.split("t", PARAGRAPH, -1), lambda p: F.split(p, SENTENCE, -1)))
+    rows = rows.select("i", F.posexplode(parts).alias("k", "p")).where(F.col("p").rlike(r"(?U)\S"))
+    rows = rows.orderBy(F.xxhash64("i", "k", "p"), "i", "k", "p").limit(sentences)
     return train([r["p"] for r in rows.select("p").collect()])
 
 
 def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Licence paragraphs of each row: id_col, n_paragraphs, n_notices, families, notices.
+    """Licence notices of each row: id_col, n_paragraphs, n_notices, families, notices.
 
-    notices: array of (paragraph from 0, family or `unknown`, probability, coverage of the template).
-    families: the confirmed ones, sorted, joined by commas. Paragraphs end at line feeds; a null or empty
-    text is one empty paragraph. Rows keep their number; other columns are not read.
+    notices: array of (paragraph from 0, family or `unknown`, likelihood, coverage of its template), by
+    paragraph, then place of the sentence, then family. families: the confirmed ones, sorted, joined by
+    commas. Null, empty and blank texts have no paragraph. Texts are read whole, however long they are.
+    Rows keep their number, repeated and null ids too; other columns, whatever their names, are not read;
+    an empty table gives an empty result.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    families = model.classes[:-1]
-    signs = F.array(*[F.lit(g) for g in sorted(model.weights)])
-    key = F.array(*[F.lit(g) for g in sorted(model.weights)])
-    value = [F.array(*[F.lit(model.weights[g][k]) for g in sorted(model.weights)]) for k in range(len(model.classes))]
-
-    def own_grams(p):
-        words = F.filter(F.regexp_extract_all(F.lower(p), F.lit(_WORD), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
-        pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words) + 1), lambda a, b: F.concat_ws(" ", a, b))
-        return F.concat(words, pairs)
-
-    def scored(p, i):
-        held = F.array_intersect(own_grams(p), signs)
-        logit = [_logit(held, key, value[k], model.bias[k]) for k in range(len(model.classes))]
-        return F.struct(i.cast("int").alias("paragraph"), F.array(*logit).alias("logits"), F.array_distinct(F.regexp_extract_all(F.lower(p), F.lit(_WORD), F.lit(0))).alias("words"))
-
-    def judged(x):
-        top = F.array_max(x["logits"])
-        mass = F.aggregate(x["logits"], F.lit(0.0), lambda a, z: a + F.exp(z - top))
-        best = F.array_position(x["logits"], top).cast("int")
-        covers = F.array(*[F.array_max(F.array(*[_cover(x["words"], t) for t in TEMPLATES[name]])) for name in families], F.lit(0.0))
-        cover, probability = F.element_at(covers, best), 1 / mass
-        name = F.element_at(F.array(*[F.lit(c) for c in model.classes]), best)
-        sure = (probability >= model.least) & (cover >= CONFIRM)
-        return F.struct(
-            x["paragraph"].alias("paragraph"),
-            F.when(name == OTHER, F.lit(OTHER)).when(sure, name).otherwise(F.lit("unknown")).alias("family"),
-            F.round(probability, 6).alias("probability"),
-            F.round(cover, 6).alias("coverage"),
-        )
-
-    paragraphs = F.split(text, "\n", -1)
-    numbered = F.transform(paragraphs, lambda p, i: F.struct(p.alias("p"), i.alias("i")))
-    # without a telling word nothing speaks for a family, and the paragraph scores as other text
-    telling = "|".join(re.escape(w) for w in telling_words(model.weights)) or "(?!)"
-    likely = F.filter(numbered, lambda x: F.lower(x["p"]).rlike(rf"(?<![a-z0-9.\-])(?:{telling})(?![a-z0-9\-])"))
-    judged_ = F.transform(F.transform(likely, lambda x: scored(x["p"], x["i"])), judged)
-    notices = F.filter(judged_, lambda n: n["family"] != OTHER)
-    rows = docs.select(F.col(id_col), F.size(paragraphs).alias("n_paragraphs"), notices.alias("notices"))
-    named = F.array_sort(F.array_distinct(F.filter(F.col("notices.family"), lambda f: f != "unknown")))
-    return rows.select(id_col, "n_paragraphs", F.size("notices").alias("n_notices"), F.array_join(named, ",").alias("families"), "notices")
+    families = model.classes[:-2]
+    vocabulary = sorted(model.weights)
+    width = len(model.classes)
+    signs = F.split(F.lit("\n".join(vocabulary)), "\n")
+    table = F.lit(np.array([v for g in vocabulary for v in model.weights[g]], np.float64))
+    bias = F.lit(np.array(model.bias, np.float64))
+
+    def words(t):
+        return F.filter(F.regexp_extract_all(t, F.lit(_WORD), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
 
+    def with_pairs(ws):
+        pairs = F.zip_with(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, F.lit(2), F.size(ws) + 1), lambda a, b: F.concat_ws(" ", a, b))
+        return F.array_distinct(F.concat(ws, pairs))
 
-def _logit(held, key, values, bias: float):
-    return F.aggregate(held, F.lit(bias), lambda acc, g: acc + F.element_at(values, F.array_position(key, g).cast("int")))
+    def spelled(t):
+        t = F.lower(t)
+        for pattern, other in SPELLINGS:
+            t = F.regexp_replace(t, pattern, other)
+        return t
 
+    def logits(own):
+        held = F.array_intersect(own, signs)
+        add = lambda acc, g: F.zip_with(acc, F.slice(table, (F.array_position(signs, g).cast("int") - 1) * width + 1, F.lit(width)), lambda u, v: u + v)
+        return F.aggregate(held, bias, add)
 
-def _cover(words, template: str):
-    own = sorted(set(re.findall(_WORD, template)))
-    return F.size(F.array_intersect(words, F.array(*[F.lit(w) for w in own]))) / len(own)
+    def confirmed(own, name):
+        needed, barred, notices = FAMILIES[name]
+        covers = [_share(own, pairs_of(words_of(n)) or words_of(n)) for n in notices]
+        cover = F.greatest(*covers) if len(covers) > 1 else covers[0]
+        ok = cover >= CONFIRM
+        for w in needed:
+            ok = ok & F.arrays_overlap(own, F.array(*[F.lit(x) for x in w.split("|")]))
+        for w in barred:
+            ok = ok & ~F.array_contains(own, w)
+        return F.when(ok, cover)
+
+    def judged(s):
+        """Named families of a sentence (struct i: paragraph, own: grams, z: logits), or `unknown`."""
+        z = s["z"]
+        top = F.greatest(z[width - 2], z[width - 1])
+        rest = top + F.log(F.exp(z[width - 2] - top) + F.exp(z[width - 1] - top))
+        found = [F.struct(s["i"].alias("paragraph"), F.lit(n).alias("family"), F.round(1 / (1 + F.exp(rest - z[k])), 6).alias("likelihood"), F.round(confirmed(s["own"], n), 6).alias("coverage")) for k, n in enumerate(families)]
+        named = F.filter(F.array(*found), lambda f: f["coverage"].isNotNull() & (f["likelihood"] >= model.least))
+        best = F.array_max(F.slice(z, F.lit(1), F.lit(width - 1)))
+        none = F.struct(s["i"].alias("paragraph"), F.lit(UNKNOWN).alias("family"), F.round(1 / (1 + F.exp(z[width - 1] - best)), 6).alias("likelihood"), F.lit(0.0).alias("coverage"))
+        return F.when(F.size(named) > 0, named).when(best > z[width - 1], F.array(none)).otherwise(F.array().cast("array<struct<paragraph:int,family:string,likelihood:double,coverage:double>>"))
+
+    # a quick look at the whole text; only texts with an anchor are cut into sentences
+    low = F.lower(text)
+    may = F.lit(False)
+    for stem in _STEMS:
+        may = may | F.contains(low, F.lit(stem))
+    paragraphs = F.when(text.rlike(r"\S"), F.split(F.trim(text), PARAGRAPH, -1)).otherwise(F.array().cast("array<string>"))
+    n_paragraphs = F.when(text.rlike(r"\S"), F.regexp_count(F.trim(text), F.lit(PARAGRAPH)) + 1).otherwise(0)
+    sentences = F.flatten(F.transform(paragraphs, lambda p, i: F.transform(F.split(p, SENTENCE, -1), lambda s: F.struct(i.cast("int").alias("i"), s.alias("s")))))
+    likely = F.transform(sentences, lambda x: F.struct(x["i"].alias("i"), F.regexp_replace(F.lower(x["s"]), r"\s+", " ").alias("s")))
+    likely = F.filter(likely, lambda x: x["s"].rlike(ANCHORS) & ~x["s"].rlike(DENIAL))
+    scored = F.transform(F.transform(likely, lambda x: F.struct(x["i"].alias("i"), with_pairs(words(spelled(x["s"]))).alias("own"))), lambda x: F.struct(x["i"].alias("i"), x["own"].alias("own"), logits(x["own"]).alias("z")))
+    notices = F.when(may, F.flatten(F.transform(scored, judged))).otherwise(F.array().cast("array<struct<paragraph:int,family:string,likelihood:double,coverage:double>>"))
+    rows = docs.select(F.col(id_col), n_paragraphs.alias("n_paragraphs"), notices.alias("notices"))
+    named = F.array_sort(F.array_distinct(F.filter(F.col("notices.family"), lambda f: f != UNKNOWN)))
+    return rows.select(id_col, "n_paragraphs", F.size("notices").alias("n_notices"), F.array_join(named, ",").alias("families"), "notices")
 
 
-def telling_words(weights: dict[str, list[float]]) -> list[str]:
-    """Single words that speak more for some family than for other text."""
-    return sorted(g for g, w in weights.items() if " " not in g and max(w[:-1]) > w[-1])
+def _share(own, wanted: list[str]):
+    """Share of the wanted words or pairs among a sentence's own."""
+    wanted = list(dict.fromkeys(wanted))
+    return F.size(F.array_intersect(own, F.array(*[F.lit(w) for w in wanted]))) / len(wanted)
