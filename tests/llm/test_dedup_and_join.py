@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from watchframe.llm import exact_dedup, ngram_join
+from watchframe.llm import exact_dedup, ngram_join, skew
 from watchframe.llm.components import connected_components
 
 
@@ -50,6 +50,29 @@ def test_drop_exact_copies_keeps_rows_whole(docs, texts):
     assert kept.count() == len({lower(t) for _, t in texts})
 
 
+def test_copies_with_hot_groups_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    rows = [(i, "Same Text" if i and i % 3 else None, n, n, n, n) for n, i in enumerate([*range(40), 7, 7, None, None])]
+    table = spark.createDataFrame([*rows, (99, "alone", 0, 0, 0, 0)], "doc_id long, text string, row_sha int, row_turn int, id int, row int")
+    got = {(r["doc_id"], r["text_sha256"]): (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(table).collect()}
+    same, none = sum(t is not None for _, t, *_ in rows), sum(t is None for _, t, *_ in rows)
+    for i, t, *_ in rows:
+        assert got[i, hashlib.sha256((t or "").lower().encode()).hexdigest()] == ((38, same) if t else (39, none))
+    kept = exact_dedup.drop_exact_copies(table)
+    assert kept.columns == table.columns and sorted(map(tuple, kept.collect())) == [tuple(rows[38]), tuple(rows[39]), (99, "alone", 0, 0, 0, 0)]
+
+
+def test_split_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate([None] * 9 + ["a"] * 9 + ["b", "c", "c", "d"])], "k string, n int")
+    lookup = spark.createDataFrame([(None, 0), ("a", 1), ("c", 2), ("z", 3)], "k string, v int")
+    keep = {None: 0, "a": 1, "c": 2}
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = {tuple(r) for r in skew.join_split(rows, lookup, ["k"], how).collect()}
+        want = {(r["k"], r["n"], *([keep.get(r["k"])] if how in ("inner", "left") else [])) for r in rows.collect() if how == "left" or (r["k"] in keep) == (how != "left_anti")}
+        assert got == want, how
+
+
 def sets(texts):
     out = []
     for _, t in texts:

@@ -222,3 +222,13 @@ def test_language_id(spark, docs, texts, empty):
     assert [got[i]["lang_pred"] for i in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] != "und" and got[1]["rejected"]
     assert language_id.predict(empty, model).count() == 0
     assert language_id.predict(odd, language_id.train([], [])).where("lang_pred <> 'und'").count() == 0
+
+
+def test_fits_read_bounded_rows_of_repeated_ids(spark, monkeypatch):
+    table = spark.createDataFrame([(i, f"text {n} of {i}", "en") for i in (1, 2, 3) for n in range(30)] + [(4, "x" * 200_000, "de")], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, **_: seen.append(texts))
+    monkeypatch.setattr(language_id, "train", lambda texts, labels, **_: seen.append(texts))
+    toxicity.fit(table, spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int"), most=8)
+    language_id.fit(table, most=8)
+    assert len(seen) == 2 and all(len(t) == 8 and max(map(len, t)) < 100 for t in seen)

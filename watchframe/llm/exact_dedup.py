@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .skew import hot_keys, join_split
 from .storage import materialise
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -62,37 +63,44 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical after A-Z are lower-cased; null counts as empty, and empty texts are
     equal. Of each group the row with the largest id stays (null ids only where all are null). Where
-    rows repeat both id and text, one of them is kept. Other columns are not read; an empty table gives
-    an empty result.
+    rows repeat both id and text, one of them is kept. Texts are read whole, however long they are. Other
+    columns, whatever their names, are not read; an empty table gives an empty result.
+
+    A digest that a large part of all rows share is joined by broadcast (see skew.join_split); groups are
+    aggregated with map-side combination.
     """
     lowered = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    src = docs.select(F.col(id_col).alias("id"), lowered.alias("text"))
+    src = docs.select(F.col(id_col).alias("id"), lowered.alias("text")).withColumn("text_sha256", F.sha2("text", 256))
     digest = F.xxhash64(F.transform(chunks(F.col("text"), least, most), lambda c: F.xxhash64(c)))
-    facts = src.select("id", F.sha2("text", 256).alias("text_sha256"), F.octet_length("text").alias("bytes"), digest.alias("digest"))
+    facts = src.select("id", "text_sha256", F.octet_length("text").alias("bytes"), digest.alias("digest"))
     facts = materialise(facts.groupBy("id", "text_sha256", "bytes", "digest").agg(F.count("*").alias("times")))
-    again = facts.groupBy("digest", "bytes").agg(F.count("*").alias("rows")).where("rows > 1").select("digest", "bytes")
-    maybe = materialise(facts.join(again, ["digest", "bytes"], "left_semi"))
-    asked = maybe.select(F.col("id").alias("maybe_id"), "text_sha256", "digest", "bytes")
-    # always by shuffle: the list of ids grows with the table. Repeated ids meet several rows; the digest tells them apart
-    texts = src.join(asked.hint("merge"), src["id"].eqNullSafe(asked["maybe_id"])).where(F.sha2("text", 256) == F.col("text_sha256"))
+    again = materialise(facts.groupBy("digest", "bytes").agg(F.count("*").alias("held")).where("held > 1"))
+    facts = materialise(join_split(facts, again, ["digest", "bytes"], "left", hot_keys(facts, ["digest", "bytes"], again)))
+    maybe, alone = facts.where("held IS NOT NULL"), facts.where("held IS NULL")
+    asked = maybe.select(F.col("id").alias("maybe_id"), F.col("text_sha256").alias("maybe_sha"), "digest", "bytes")
+    # always by shuffle: the list of ids grows with the table
+    texts = src.join(asked.hint("merge"), src["id"].eqNullSafe(asked["maybe_id"]) & (src["text_sha256"] == asked["maybe_sha"]))
     texts = materialise(texts.select("id", "text_sha256", "digest", "bytes", "text"))
-    recipes = materialise(_recipes(texts, least, most))
-    left, right = maybe.select("id", "text_sha256", "times"), recipes.withColumnsRenamed({"id": "rid", "text_sha256": "rsha"})
-    rows = left.join(right, left["id"].eqNullSafe(right["rid"]) & (left["text_sha256"] == right["rsha"])).select("id", "text_sha256", "times", "digest", "bytes", "recipe")
-    groups = rows.groupBy("digest", "bytes", "recipe").agg(F.max("id").alias("keep_id"), F.sum("times").alias("group_size"))
-    equal = rows.join(groups, ["digest", "bytes", "recipe"]).select("id", "text_sha256", "times", "keep_id", "group_size")
-    alone = facts.join(again, ["digest", "bytes"], "left_anti").select("id", "text_sha256", "times", F.col("id").alias("keep_id"), F.col("times").alias("group_size"))
+    recipes = _recipes(texts, least, most).withColumnsRenamed({"id": "rid", "text_sha256": "rsha"}).select("rid", "rsha", "recipe")
+    rows = maybe.join(recipes, maybe["id"].eqNullSafe(recipes["rid"]) & (maybe["text_sha256"] == recipes["rsha"]))
+    # the recipe decides; a digest of the text names the group of one recipe in the join that follows
+    groups = rows.groupBy("digest", "bytes", "recipe").agg(F.max("id").alias("keep_id"), F.sum("times").alias("group_size"), F.min("text_sha256").alias("text_sha256"), F.count("*").alias("held"))
+    groups = materialise(groups.drop("recipe"))
+    keys = ["digest", "bytes", "text_sha256"]
+    equal = join_split(maybe.drop("held"), groups, keys, "inner", hot_keys(maybe, keys, groups)).select("id", "text_sha256", "times", "keep_id", "group_size")
+    alone = alone.select("id", "text_sha256", "times", F.col("id").alias("keep_id"), F.col("times").alias("group_size"))
     each = equal.unionByName(alone).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
     return each.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns."""
+    """The rows of docs that exact_groups keeps, with all their columns, whatever their names."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
     lowered = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    rows = docs.withColumn("row_sha", F.sha2(lowered, 256))
-    rows = rows.join(kept, rows[id_col].eqNullSafe(kept["kept_id"]) & (rows["row_sha"] == kept["kept_sha"]), "left_semi")
-    # rows that repeat id and text: the first in the order of the other columns
-    one = Window.partitionBy(id_col, "row_sha").orderBy(*[c for c in docs.columns if c != id_col])
-    return rows.withColumn("row_turn", F.row_number().over(one)).where("row_turn = 1").select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("id"), F.sha2(lowered, 256).alias("sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["sha"] == kept["kept_sha"]), "left_semi")
+    # rows that repeat id and text: the first in the order of the other columns that have an order
+    order = [F.col("row")[f.name] for f in docs.schema.fields if f.name != id_col and not f.dataType.typeName() in ("map", "variant")]
+    one = Window.partitionBy("id", "sha").orderBy(*order or [F.lit(1)])
+    return rows.withColumn("turn", F.row_number().over(one)).where("turn = 1").select("row.*")

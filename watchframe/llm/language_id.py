@@ -24,6 +24,8 @@ DIM = 16
 GRAMS = (2, 3, 4)
 #: Most documents that training reads.
 TRAIN_ROWS = 4_000
+#: Most bytes of a text that training reads; the language of longer ones is predicted but not learned from.
+TRAIN_BYTES = 100_000
 #: Share of texts with a known language that calibration may reject.
 REJECT = 0.01
 
@@ -126,16 +128,17 @@ def train(texts: list[bytes], languages: list[str], epochs: int = 6, rate: float
     return model
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS) -> Model:
-    """Model from at most `most` rows of non-null language whose crc32(id as text) mod 5 is not 0.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = TRAIN_ROWS, most_bytes: int = TRAIN_BYTES) -> Model:
+    """Model from at most `most` rows of a non-null language and at most `most_bytes` bytes whose crc32(id as text) mod 5 is not 0.
 
     The rows are those of least hash, an even sample of the whole table.
     """
-    key = F.col(id_col).cast("string")
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(key) % 5 != 0))
-    # ids first, so that only the chosen rows' texts are read into the sample
-    chosen = rows.select(id_col).distinct().orderBy(F.xxhash64(key), id_col).limit(most)
-    got = rows.join(F.broadcast(chosen), id_col).select(id_col, F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l")).collect()
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).alias("l"))
+    key = F.col("i").cast("string")
+    rows = rows.where(F.col("l").isNotNull() & (F.octet_length("t") <= most_bytes) & (F.crc32(key) % 5 != 0))
+    # ids first, so that only the chosen rows' texts are read into the sample; then rows, as ids may repeat
+    chosen = F.broadcast(rows.select("i").distinct().orderBy(F.xxhash64(key), "i").limit(most))
+    got = rows.join(chosen, "i").orderBy(F.xxhash64(key), "i", F.xxhash64("t"), "l").limit(most).select("i", "t", "l").collect()
     got.sort(key=lambda r: (r[0], r[1], r[2]))
     return train([r["t"].encode() for r in got], [r["l"] for r in got])
 

@@ -23,15 +23,17 @@ def _named(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.withColumnsRenamed({k: f"of_{k}" for k in keys})
 
 
-def hot_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
+def hot_keys(rows: DataFrame, keys: list[str], counts: DataFrame | None = None) -> DataFrame:
     """The keys that hold so many rows that a task of their own would stand out.
 
-    Counted by an aggregate with map-side combination. A hot key has more than n / (HOT_SHARE * partitions)
-    of the n rows, so there are fewer than HOT_SHARE * partitions hot keys, however large the table is.
+    Counted by an aggregate with map-side combination, or taken from `counts` (the keys and `held`), where
+    keys of one row may be missing. A hot key has more than n / (HOT_SHARE * partitions) of the n rows, so
+    there are fewer than HOT_SHARE * partitions hot keys, however large the table is.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     least = max(HOT_ROWS, rows.count() // (HOT_SHARE * parts))
-    return materialise(rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > least).select(*keys))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("held")) if counts is None else counts
+    return materialise(counts.where(F.col("held") > least).select(*keys))
 
 
 def join_split(rows: DataFrame, lookup: DataFrame, keys: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
