@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,17 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import namespaced_id
 from ..helpers.assignment import assign
+from ..helpers.components import connected_components
+from ..helpers.tables import write_again
 from .boxes import iou_pairs
 
 
-def _write_again(df: DataFrame) -> DataFrame:
-    """df by way of a Parquet file in the folder that all executors share, so that its lineage ends."""
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", "") or df.sparkSession.conf.get("spark.sql.warehouse.dir")
-    path = f"{folder.rstrip('/')}/eval-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def match_frame(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches (camera_id, frame, gt_id, pred_id, iou) of the largest total overlap in each frame.
 
@@ -101,30 +93,30 @@ def trajectory_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) ->
 
 
 def _pair_components(pairs: DataFrame) -> DataFrame:
-    """Pairs with the least gt_id of their component, by label propagation with pointers over the sparse counts."""
-    rows = _write_again(pairs.withColumn("comp", F.col("gt_id")))
-    while True:
-        by_pred = rows.groupBy("pred_id").agg(F.min("comp").alias("low"))
-        step = rows.join(by_pred, "pred_id").drop("comp")
-        by_gt = step.groupBy("gt_id").agg(F.min("low").alias("comp"))
-        new = _write_again(step.join(by_gt, "gt_id").drop("low"))
-        if new.where("comp <> gt_id").join(rows.select("gt_id", "pred_id", F.col("comp").alias("old")), ["gt_id", "pred_id"]).where("comp <> old").isEmpty():
-            return new
-        rows = new
+    """Pairs with the number of their component in the graph of trajectories that share frames."""
+    edges = pairs.select((F.col("gt_id").cast("long") * 2).alias("a"), (F.col("pred_id").cast("long") * 2 + 1).alias("b"))
+    labels = connected_components(edges).select(F.col("node").alias("node_"), F.col("label").alias("comp"))
+    return pairs.join(labels, F.col("gt_id").cast("long") * 2 == F.col("node_")).drop("node_")
 
 
 def id_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row: idtp, fp, fn, idf1, idp, idr, gt_ids, pred_ids, from the best one-to-one match of trajectories.
 
-    Counts of pairs are sparse; each connected component is assigned on its own.
+    Counts of pairs are sparse; each connected component is assigned on its own. A component with one
+    trajectory on either side has its largest count; the others, which hold whoever was confused with each
+    other, are tables of their trajectories in one task each.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         table = pdf.pivot_table(index="gt_id", columns="pred_id", values="n", fill_value=0, aggfunc="sum").to_numpy()
         return pd.DataFrame({"idtp": [int(sum(table[r, c] for r, c in assign(-table)))]})
 
-    comps = _pair_components(trajectory_pairs(gt, pred, threshold))
-    tp = comps.groupBy("comp").applyInPandas(solve, "idtp long").agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
+    comps = write_again(_pair_components(write_again(trajectory_pairs(gt, pred, threshold))))
+    kinds = comps.groupBy("comp").agg(F.min("gt_id").alias("g1"), F.max("gt_id").alias("g2"), F.min("pred_id").alias("p1"), F.max("pred_id").alias("p2"), F.max("n").alias("most"))
+    plain = (F.col("g1") == F.col("g2")) | (F.col("p1") == F.col("p2"))
+    tables = comps.join(kinds.where(~plain).select("comp"), "comp", "left_semi")
+    each = kinds.where(plain).select(F.col("most").alias("idtp")).unionByName(tables.groupBy("comp").applyInPandas(solve, "idtp long"))
+    tp = each.agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
     g = gt.agg(F.count("*").alias("ng"), F.countDistinct("id").alias("gt_ids"))
     p = pred.agg(F.count("*").alias("np"), F.countDistinct("id").alias("pred_ids"))
     rows = tp.join(g, F.lit(True)).join(p, F.lit(True))

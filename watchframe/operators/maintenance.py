@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import l2_normalize, normalize_plate
+from ..helpers.tables import numbered
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -34,10 +35,9 @@ def delete_unit(people: DataFrame, embeddings: DataFrame, unit: str) -> tuple[Da
 
 
 def next_ids(table: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """new rows with ids after the table's largest, by order. A batch's rows are few next to the table's."""
-    top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    numbered = new.withColumn("place", F.row_number().over(Window.orderBy(*order)))
-    return numbered.join(top, F.lit(True)).withColumn(key, F.col("top") + F.col("place")).drop("top", "place")
+    """new rows with ids after the table's largest, by order; the order is a range partitioning, not one task."""
+    top = table.agg(F.coalesce(F.max(key), F.lit(0)).alias("top")).first()["top"]
+    return numbered(new, order, "place_").withColumn(key, F.col("place_") + F.lit(top)).drop("place_")
 
 
 def audit_rows(rows: DataFrame, actor: str, action: str, target: Column, ts: Column) -> DataFrame:

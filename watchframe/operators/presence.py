@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import in_window, local_seconds
+from ..helpers.folds import keep_in_order
 
 #: Roles that a rule applies to unless it names its own.
 DEFAULT_ROLES = {
@@ -81,16 +82,9 @@ def first_triggers(marked: DataFrame, rules: list[dict], gap_s: float = 10.0) ->
 def cooldown(events: DataFrame, keys: list[str], seconds: float) -> DataFrame:
     """Events that come at least `seconds` after the last kept one of their key (time column ts).
 
-    Only candidates, one for each presence and rule, come here, so a key's times fit one array.
+    Only keys and times pass through the fold, in streamed batches.
     """
-    times = events.groupBy(*keys).agg(F.array_sort(F.collect_set("ts")).alias("times"))
-    begin = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("kept"))
-
-    def step(acc, t):
-        ok = acc["last"].isNull() | (t - acc["last"] >= seconds)
-        return F.struct(F.when(ok, t).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["kept"], F.array(t))).otherwise(acc["kept"]).alias("kept"))
-
-    kept = times.select(*keys, F.explode(F.aggregate("times", begin, step, lambda acc: acc["kept"])).alias("ts"))
+    kept = keep_in_order(events.select(*keys, "ts").distinct(), keys, ["ts"], "ts", lambda last, t: last is None or t - last >= seconds)
     one = Window.partitionBy(*keys, "ts").orderBy(*[c for c in events.columns if c not in [*keys, "ts"]])
     # of several events of one time, the first is the accepted one
     return events.join(kept, [*keys, "ts"], "left_semi").withColumn("turn", F.row_number().over(one)).where("turn = 1").drop("turn")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..helpers.tables import numbered
+
 PLATE_READS = "frame long, track_id long, text string, conf double, min_char_conf double, plate_xyxy array<double>"
 GROUND_TRUTH = "dataset string, camera string, source string, fps double, width int, height int, num_frames long, exhaustive boolean, cross_camera_ids boolean, columns array<string>, rows array<array<string>>"
 COLUMNS = ["frame", "global_id", "x1", "y1", "x2", "y2", "class"]
@@ -192,11 +194,8 @@ def random_plates(spark: SparkSession, n: int, seed: int = 0, bh_share: float =
 def train_val_split(df: DataFrame, order: list[str], frac: float) -> DataFrame:
     """df with split: the first int(n * frac) rows in order are `val`, the rest `train`.
 
-    Positions come from sorted partitions and their sizes; no row order passes through one task.
+    Positions come from range partitions, written once, and their sizes; no row order passes through one task.
     """
-    n = df.count()
-    parts = df.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
-    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))
-    ahead = sizes.select("part", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    place = F.row_number().over(Window.partitionBy("part").orderBy(*order)) + F.col("ahead")
-    return parts.join(ahead, "part").withColumn("split", F.when(place <= int(n * frac), "val").otherwise("train")).drop("part", "ahead")
+    rows = numbered(df, order, "place_")
+    n = rows.count()
+    return rows.withColumn("split", F.when(F.col("place_") <= int(n * frac), "val").otherwise("train")).drop("place_")
