@@ -9,8 +9,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from ..functions.scalar import cosine
 
 
 def load_gallery(people: DataFrame, embeddings: DataFrame) -> DataFrame:
@@ -21,18 +21,80 @@ def load_gallery(people: DataFrame, embeddings: DataFrame) -> DataFrame:
 def gallery_best_match(samples: DataFrame, gallery: DataFrame) -> DataFrame:
     """samples with the most similar gallery person of their kind: person_id and sim (nulls without gallery rows).
 
-    samples: kind, emb and a key `sample_id`; gallery: kind, person_id, emb. Equal similarities: the least
-    person. The gallery is joined by kind, in blocks that spread a kind over tasks; of each block only the
-    best candidate of a sample goes on.
+    samples: kind, emb and a key `sample_id`; gallery: kind, person_id, emb. Equal similarities (to twelve
+    digits): the least person. A gallery of at most BROADCAST_FLOATS numbers goes to every worker, and the
+    samples, which do not move, are multiplied with it in Arrow batches. A larger one is cut into parts of
+    that size, and each part meets the samples in blocks of GRID_ROWS rows, one cell of the grid at a time.
     """
-    blocks = 8
-    near = samples.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    known = gallery.select("kind", "person_id", F.col("emb").alias("g_emb"), F.pmod(F.xxhash64("person_id"), F.lit(blocks)).cast("int").alias("block"))
-    rows = near.join(known, ["kind", "block"]).withColumn("sim", cosine(F.col("emb"), F.col("g_emb")))
-    best = rows.groupBy("sample_id").agg(F.max(F.struct("sim", (-F.col("person_id")).alias("k"))).alias("b"))
+    samples = samples.drop("person_id", "sim")
+    n, dims = gallery.agg(F.count("*"), F.coalesce(F.max(F.size("emb")), F.lit(0))).first()
+    if n * dims <= BROADCAST_FLOATS:
+        return _match_here(samples, gallery)
+    parts, blocks = -(-n * dims // BROADCAST_FLOATS), max(1, -(-samples.count() // GRID_ROWS))
+    left = samples.select("sample_id", "kind", "emb").withColumn("block", F.pmod(F.xxhash64("sample_id"), F.lit(blocks))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    right = gallery.select("person_id", "kind", "emb").withColumn("part", F.pmod(F.xxhash64("person_id", "emb"), F.lit(parts)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+
+    def cell(mine: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or known.empty:
+            return pd.DataFrame({"sample_id": [], "k": [], "sim": []})
+        person, sim = _nearest(np.stack(mine.emb.to_numpy()), *_table(known.person_id, known.emb))
+        return pd.DataFrame({"sample_id": mine.sample_id, "k": -person, "sim": sim})
+
+    keys = ["kind", "block", "part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(cell, f"sample_id {dict(samples.dtypes)['sample_id']}, k long, sim double")
+    best = found.groupBy("sample_id").agg(F.max(F.struct("sim", "k")).alias("b"))
     return samples.join(best, "sample_id", "left").withColumns({"person_id": -F.col("b.k"), "sim": F.col("b.sim")}).drop("b")
 
 
+#: Most numbers of a gallery that is sent to every worker (64 MB), and samples in a cell of the grid.
+BROADCAST_FLOATS = 8_000_000
+GRID_ROWS = 20_000
+
+
+def _table(people, vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """People in ascending order with their vectors and lengths."""
+    people = np.asarray(people, np.int64)
+    order = np.argsort(people, kind="stable")
+    known = np.stack([np.asarray(v, float) for v in vectors])[order]
+    return people[order], known, np.sqrt((known * known).sum(1))
+
+
+def _nearest(vectors: np.ndarray, people: np.ndarray, known: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Most similar person of each vector and the cosine; blocks keep the products small."""
+    person, sim = np.empty(len(vectors), np.int64), np.empty(len(vectors))
+    step = max(1, 2_000_000 // len(people))
+    for i in range(0, len(vectors), step):
+        own = np.asarray(vectors[i : i + step], float)
+        table = (own @ known.T) / np.maximum(np.sqrt((own * own).sum(1))[:, None] * lengths[None, :], 1e-12)
+        best = np.round(table, 12).argmax(1)
+        person[i : i + step], sim[i : i + step] = people[best], table[np.arange(len(own)), best]
+    return person, sim
+
+
+def _match_here(samples: DataFrame, gallery: DataFrame) -> DataFrame:
+    rows = gallery.select("kind", "person_id", F.col("emb").cast("array<double>").alias("emb")).collect()  # at most BROADCAST_FLOATS numbers
+    kinds = {k: _table(*zip(*[(r["person_id"], r["emb"]) for r in rows if r["kind"] == k], strict=True)) for k in {r["kind"] for r in rows}}
+    shared = samples.sparkSession.sparkContext.broadcast(kinds)
+    at_kind, at_emb = samples.columns.index("kind"), samples.columns.index("emb")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            person, sim = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            none = np.ones(batch.num_rows, bool)
+            kind, there = np.array(batch.column(at_kind).to_pylist(), object), batch.column(at_emb).is_valid().to_numpy(zero_copy_only=False)
+            for k, table in shared.value.items():
+                own = np.flatnonzero((kind == k) & there)
+                if len(own):
+                    vectors = np.stack([np.asarray(v, float) for v in batch.column(at_emb).take(pa.array(own)).to_pylist()])
+                    person[own], sim[own] = _nearest(vectors, *table)
+                    none[own] = False
+            extra = [pa.array(person, mask=none), pa.array(sim, mask=none)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "person_id", "sim"])
+
+    schema = StructType([*samples.schema.fields, StructField("person_id", LongType()), StructField("sim", DoubleType())])
+    return samples.mapInArrow(run, schema)
+
+
 ROLE_DEFAULTS = {
     "t_face": 0.45, "t_body": 0.75, "face_weight": 1.0, "body_weight": 0.5, "min_quality": 0.35,
     "accept": 1.0, "switch_ratio": 2.0, "unknown_after": 8, "recent": 20,
@@ -80,21 +142,22 @@ def identity_roles(matched: DataFrame, people: DataFrame, **limits) -> DataFrame
     """Role of each identity after each of its samples: gid, ts, kind, role, role_person, observations.
 
     matched: gid, ts, kind, quality, person_id, sim; people: person_id, role. Samples of one time: face
-    before body. The fold keeps order, so an identity's samples run in one task, in streamed batches.
+    before body. The fold keeps order, so an identity's samples run in one task, in streamed batches. Each
+    row brings its own person's role along; the fold needs no other.
     """
-    roles = people.groupBy().agg(F.map_from_entries(F.collect_set(F.struct("person_id", "role"))).alias("roles"))
-    rows = matched.join(roles, F.lit(True)).select("gid", "ts", (F.col("kind") == "body").alias("later"), "kind", "quality", "person_id", "sim", "roles")
+    roles = people.select("person_id", F.col("role").alias("person_role"))
+    rows = matched.join(roles, "person_id", "left").select("gid", "ts", (F.col("kind") == "body").alias("later"), "kind", "quality", "person_id", "sim", "person_role")
     rows = rows.repartition("gid").sortWithinPartitions("gid", "ts", "later", "quality", "person_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gid, state, known = None, None, None
+        gid, state = None, None
         for b in batches:
             out = []
-            if known is None and b.num_rows:
-                known = dict(b.column(7)[0].as_py())
-            for g, ts, kind, q, person, sim in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)), strict=True):
+            for g, ts, kind, q, person, sim, known in zip(*(b.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7)), strict=True):
                 if state is None or g != gid:
-                    gid, state = g, RoleState(known, **limits)
+                    gid, state = g, RoleState({}, **limits)
+                if known is not None:
+                    state.roles[person] = known
                 role = state.add(kind, person, sim, q)
                 out.append((g, ts, kind, role, state.person, state.n))
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
@@ -260,6 +323,19 @@ def merge_identities(existing: DataFrame, updates: DataFrame) -> DataFrame:
     )
 
 
-def identity_stats(identities: DataFrame) -> DataFrame:
-    """Identities in each role."""
-    return identities.groupBy("role_state").agg(F.count("*").alias("identities"))
+def identity_stats(identities: DataFrame, gallery: DataFrame | None = None, decisions: DataFrame | None = None, registry: DataFrame | None = None) -> DataFrame:
+    """What the system holds: section, name, n.
+
+    Rows (roles, role, identities in it); and where the tables are given (identities, gallery_people,
+    people with an embedding), (plates, decided, decided tracks) and (plates, registry, plates in it).
+    """
+    one = lambda section, name: (F.lit(section).alias("section"), F.lit(name).alias("name"))
+    out = identities.groupBy(F.lit("roles").alias("section"), F.col("role_state").alias("name")).agg(F.count("*").alias("n"))
+    out = out.unionByName(identities.agg(F.count("*").alias("n")).select(*one("identities", "global_ids"), "n"))
+    if gallery is not None:
+        out = out.unionByName(gallery.agg(F.countDistinct("person_id").alias("n")).select(*one("identities", "gallery_people"), "n"))
+    if decisions is not None:
+        out = out.unionByName(decisions.agg(F.countDistinct("camera_id", "track_id").alias("n")).select(*one("plates", "decided"), "n"))
+    if registry is not None:
+        out = out.unionByName(registry.agg(F.countDistinct("plate").alias("n")).select(*one("plates", "registry"), "n"))
+    return out
