@@ -1,3 +1,5 @@
+import re
+
 from watchframe.operators.query_log import parse_query_log
 
 CASES = [
@@ -15,6 +17,89 @@ CASES = [
 ]
 
 
+NOW = 1_790_000_000.0
+MIDNIGHT = NOW - (NOW + 19800) % 86400  # in Asia/Kolkata, five and a half hours ahead
+
+
+def hours(*marks):
+    return tuple(MIDNIGHT + 3600 * m for m in marks)
+
+
+TIMES = [
+    ("men at the pool after 9 pm", hours(21, 24), "men pool"),
+    ("men at the pool after 7", hours(19, 24), "men pool"),
+    ("since 10 am a man with a ladder", hours(10, 24), "man ladder"),
+    ("ladder yesterday after 11", hours(11 - 24, 0), "ladder"),
+    ("today from 8", (MIDNIGHT + 8 * 3600, NOW), None),
+    ("cart before 7:45 am", hours(0, 7.75), "cart"),
+    ("cart between 6 and 8 pm", hours(18, 20), "cart"),
+    ("cart between 11 am to 1 pm yesterday", hours(11 - 24, 13 - 24), "cart"),
+    ("cart between 9 - 10:30", hours(9, 10.5), "cart"),
+    ("lady around 8:30 pm yesterday", hours(20 - 24, 21 - 24), None),
+    ("cart around 8 this morning", (None, None), "cart"),
+    ("cart at 12 am", hours(-0.5, 0.5), "cart"),
+    ("cart in the last 2 hours", (NOW - 7200, NOW), "cart"),
+    ("cart in the past hour", (NOW - 3600, NOW), "cart"),
+    ("cart within the last three mins", (NOW - 180, NOW), "cart within three mins"),
+    ("anyone tonight", (MIDNIGHT, NOW), None),
+    ("all people yesterday", hours(-24, 0), None),
+    ("staff this afternoon", hours(12, 17), None),
+    ("kid at night with umbrella", hours(21, 30), "kid umbrella"),
+    ("five foot eight boy in a cap", (None, None), "boy cap"),
+    ("six foot man", (None, None), None),
+    ("green kurta", (None, None), "green kurta"),
+    ("trucks last hour", (NOW - 3600, NOW), None),
+    ("about 150 cm man in the evening", hours(17, 21), None),
+]
+
+
+def test_times_and_free_text(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(TIMES)], "query_id long, text string")
+    got = {r["query_id"]: r for r in parse_query_log(df, ["gate"], {}, NOW).collect()}
+    for i, (text, span, free) in enumerate(TIMES):
+        r = got[i]
+        assert ((r["time_from"], r["time_to"]), r["free_text"]) == (span, free), (text, r)
+
+
+def test_registered_log(spark):
+    """Every row of the registered query against what its sentence was made of."""
+    from watchframe.operators.query_log import PERSON_WORDS, ROLE_WORDS, STOP_WORDS, VEHICLE_WORDS
+    from watchframe.plans import queries
+
+    sf, day = "/root/testdata/sf0.001", 86400
+    log = {r["query_id"]: r for r in queries.query_log(spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/conversations.parquet")).collect()}
+    part = {f"p{r['p_partkey']}": r for r in spark.read.parquet(f"{sf}/part.parquet").collect()}
+    got = {r["query_id"]: r for r in queries.QUERIES["f16_parse_query_log"](spark, sf).collect()}
+    assert got.keys() == log.keys() and len(got) > 200
+    taken = {*STOP_WORDS, *VEHICLE_WORDS, *(w for ws in ROLE_WORDS.values() for w in ws.split()), "gate", "gates", "lobby", "lobbys", "parking", "parkings"}
+    for i, r in got.items():
+        now = log[i]["now"]
+        start = now + 19800 - (now + 19800) % day - 19800
+        if i in part:
+            k, size = part[i]["p_partkey"], part[i]["p_size"]
+            said = ["red", "navy", "grey", "black", "olive"][size % 5]
+            color = {"navy": "blue", "grey": "gray", "olive": "green"}.get(said, said)
+            a, b = k % 12 + 1, (k % 11 + 1, k % 9 + 2)
+            pm = lambda h: (h % 12 + 12) * 3600
+            want = [
+                {"roles": ["unknown"], "upper_color": color, "lower_color": None, "zones": ["gate"], "time_from": start + pm(a), "time_to": start + day, "free_text": f"{said} shirt jeans"},
+                {"roles": ["staff"], "zones": ["resident_parking", "visitor_parking"][:1], "time_from": start - 7 * 3600, "time_to": start - 3 * 3600, "height_min": None},
+                {"plate": f"TN09AB{k % 10000:04d}", "entity": "vehicle", "cameras": ["cam_1"], "time_from": start, "time_to": now, "free_text": None},
+                {"roles": ["unknown"], "upper_color": color, "height_min": 180.0, "time_from": start + pm(b[0]), "time_to": start + pm(b[1]) + 900, "free_text": f"{said} {part[i]['p_name']}"},
+                {"height_min": round((k % 4 + 4) * 30.48 + k % 12 * 2.54 - 5), "cameras": ["cam_2"], "time_from": now - 60 * size, "time_to": now, "free_text": None},
+                {"lower_color": color, "upper_color": None, "time_from": start + a * 3600, "time_to": start + (a + 1) * 3600, "free_text": f"trousers {said}"},
+            ][k % 6]
+            if k % 6 == 3 and "plate" in part[i]["p_name"]:  # a word for vehicles
+                want |= {"entity": "vehicle", "upper_color": None, "free_text": None}
+            if k % 6 == 5 and a == 12:
+                want |= {"time_from": start + 12 * 3600, "time_to": start + 13 * 3600}
+            assert {n: r[n] for n in want} == want, (log[i]["text"], r)
+        else:
+            words = [w for w in re.findall(r"[a-z][a-z'\-]*", log[i]["text"].lower()) if w not in taken]
+            assert (r["plate"], r["roles"], r["upper_color"]) == (None, [], None)
+            assert r["free_text"] == (" ".join(words) if r["entity"] == "person" and set(words) - set(PERSON_WORDS) else None), log[i]["text"]
+
+
 def test_cases(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "query_id long, text string")
     got = {r["query_id"]: r for r in parse_query_log(df, ["resident_parking", "visitor_parking", "gate"], {"cam_1": "Main gate"}).collect()}
