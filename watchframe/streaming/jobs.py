@@ -6,14 +6,17 @@ behind it are dropped. On ordered input each job's rows equal its batch job's.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.identity import RoleState
+from ..operators.identity import GLOBAL_DEFAULTS, RoleState, assign_epoch
+from ..operators.presence import DEFAULT_ROLES
 
 _TIMEOUT = GroupStateTimeout.EventTimeTimeout
 
@@ -37,28 +40,38 @@ def _grouped(frames: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 _ALERTS = "rule string, severity string, person string, zone string, ts double, role string, dwell double"
+_HOSTS = ("resident", "staff")
+
+
+def _checks(rules: list[dict]) -> list[dict]:
+    """Rules with the roles that they apply to."""
+    return [r | {"roles": r.get("roles") or DEFAULT_ROLES[r["type"]]} for r in rules]
+
+
+def _fires(rule: dict, row, entered: float, hosts: list[tuple]) -> bool:
+    """Whether a rule fires on an observation of a presence that began at `entered`. hosts: (person, time of entry)."""
+    if not (row.zone in rule["zones"] if rule.get("zones") else row.restricted) or row.role not in rule["roles"]:
+        return False
+    if rule["type"] == "loitering":
+        return row.ts - entered >= rule["dwell_s"]
+    if rule["type"] == "after_hours":
+        at = (int(row.ts) + 19800) % 86400  # Asia/Kolkata has no summer time
+        return rule["start"] <= at < rule["end"] if rule["start"] <= rule["end"] else at >= rule["start"] or at < rule["end"]
+    if rule["type"] == "tailgating":
+        return row.ts == entered and any(who != row.person and 0 <= row.ts - t <= rule["window_s"] for who, t in hosts)
+    return True
 
 
 def stream_alerts(obs: DataFrame, rules: list[dict], gap_s: float = 10.0, cooldown_s: float = 300.0) -> DataFrame:
-    """Alerts of unknown_in_zone, loitering and after_hours rules as they fire.
+    """Alerts of unknown_in_zone, loitering and after_hours rules as they fire, in one stateful step.
 
     State by person: entry and last time of each zone's presence, the rules it has fired, and the last
     alert of each rule; it goes when the person has been away longer than the gap and the cooldown.
-    Tailgating looks at other people's entries; it runs in the batch job over the same tables.
+    Tailgating looks at other people's entries: start_alerts runs rules of all types.
     """
-    from ..operators.presence import DEFAULT_ROLES
-
-    checks = [r | {"roles": r.get("roles") or DEFAULT_ROLES[r["type"]]} for r in rules if r["type"] != "tailgating"]
-
-    def fires(rule: dict, row, dwell: float) -> bool:
-        if not (row.zone in rule["zones"] if rule.get("zones") else row.restricted) or row.role not in rule["roles"]:
-            return False
-        if rule["type"] == "loitering":
-            return dwell >= rule["dwell_s"]
-        if rule["type"] == "after_hours":
-            at = (int(row.ts) + 19800) % 86400  # Asia/Kolkata has no summer time
-            return rule["start"] <= at < rule["end"] if rule["start"] <= rule["end"] else at >= rule["start"] or at < rule["end"]
-        return True
+    if any(r["type"] == "tailgating" for r in rules):
+        raise ValueError("tailgating needs the state of zones: use start_alerts")
+    checks = _checks(rules)
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -76,7 +89,7 @@ def stream_alerts(obs: DataFrame, rules: list[dict], gap_s: float = 10.0, cooldo
                 p = zones[row.zone] = [row.ts, row.ts, set()]
             p[1] = row.ts
             for rule in checks:
-                if rule["id"] not in p[2] and fires(rule, row, row.ts - p[0]):
+                if rule["id"] not in p[2] and _fires(rule, row, p[0], []):
                     p[2].add(rule["id"])
                     if rule["id"] not in last or row.ts - last[rule["id"]] >= cooldown_s:
                         last[rule["id"]] = row.ts
@@ -90,6 +103,85 @@ def stream_alerts(obs: DataFrame, rules: list[dict], gap_s: float = 10.0, cooldo
     return obs.groupBy("person").applyInPandasWithState(step, _ALERTS, kept, "append", _TIMEOUT)
 
 
+def stream_triggers(obs: DataFrame, rules: list[dict], gap_s: float = 10.0) -> DataFrame:
+    """The first row of each presence that a rule fires on, as it comes: rule, severity, person, zone, ts, role, dwell.
+
+    Rules of all types. State by zone, since tailgating looks at other people's entries: entry, last time and
+    fired rules of each person's presence, and the entries of authorised people for as long as a rule's
+    window may reach back to them. Who has been away longer than the gap is forgotten. Rows of one zone and
+    time come in one batch.
+    """
+    checks = _checks(rules)
+    reach = max([r["window_s"] for r in rules if r["type"] == "tailgating"], default=0.0)
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        there, hosts, out = {}, [], []
+        if state.exists:
+            person, entered, seen, fired, who, when = state.get
+            there = {a: [b, c, set(filter(None, d.split(",")))] for a, b, c, d in zip(person, entered, seen, fired, strict=True)}
+            hosts = list(zip(who, when, strict=True))
+        for ts, now in _grouped(frames, ["ts", "person", "role"]).groupby("ts", sort=True):
+            rows = list(now.itertuples())
+            for row in rows:
+                p = there.get(row.person)
+                if p is None or ts - p[1] > gap_s:
+                    p = there[row.person] = [ts, ts, set()]
+                p[1] = ts
+                if p[0] == ts and row.role in _HOSTS:
+                    hosts.append((row.person, ts))
+            hosts = [h for h in hosts if ts - h[1] <= reach]
+            for row in rows:
+                p = there[row.person]
+                for rule in checks:
+                    if rule["id"] not in p[2] and _fires(rule, row, p[0], hosts):
+                        p[2].add(rule["id"])
+                        out.append((rule["id"], rule.get("severity", "medium"), row.person, row.zone, ts, row.role, round(ts - p[0], 1)))
+            there = {k: p for k, p in there.items() if ts - p[1] <= gap_s}
+        newest = max((p[1] for p in there.values()), default=0.0)
+        state.update((list(there), [p[0] for p in there.values()], [p[1] for p in there.values()], [",".join(sorted(p[2])) for p in there.values()], [h[0] for h in hosts], [h[1] for h in hosts]))
+        state.setTimeoutTimestamp(max(int((newest + max(gap_s, reach)) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _ALERTS.split(", ")])
+
+    kept = "persons array<string>, entered array<double>, seen array<double>, fired array<string>, hosts array<string>, host_ts array<double>"
+    return obs.groupBy("zone").applyInPandasWithState(step, _ALERTS, kept, "append", _TIMEOUT)
+
+
+def stream_cooldown(triggers: DataFrame, cooldown_s: float = 300.0) -> DataFrame:
+    """Triggers that come at least cooldown_s after the last kept one of their rule and person."""
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = (state.get[0] if state.exists else None), []
+        rows = _grouped(frames, ["ts", "severity", "zone", "role", "dwell"])
+        for row in rows.itertuples():
+            if last is None or row.ts - last >= cooldown_s:
+                last = row.ts
+                out.append((row.rule, row.severity, row.person, row.zone, row.ts, row.role, row.dwell))
+        state.update((last,))
+        state.setTimeoutTimestamp(max(int((last + cooldown_s) * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _ALERTS.split(", ")])
+
+    return triggers.groupBy("rule", "person").applyInPandasWithState(step, _ALERTS, "last double", "append", _TIMEOUT)
+
+
+def start_alerts(obs: DataFrame, rules: list[dict], folder: str, checkpoint: str, gap_s: float = 10.0, cooldown_s: float = 300.0, late: str = "10 minutes", **trigger) -> tuple[StreamingQuery, DataFrame]:
+    """One alert per incident, for rules of all types: (running query of the triggers, stream of alerts).
+
+    The rules need state by zone and the cooldown state by rule and person, which are two stateful steps of
+    different keys: the first runs here and appends its few rows to `folder` (Parquet), the second reads
+    them as a stream. Trigger options go to the first, e.g. processingTime="10 seconds".
+    """
+    first = stream_triggers(obs, rules, gap_s).writeStream.outputMode("append").format("parquet").option("path", folder).option("checkpointLocation", checkpoint)
+    running = (first.trigger(**trigger) if trigger else first).start()
+    source = obs.sparkSession.readStream.schema(_ALERTS).parquet(folder)
+    return running, stream_cooldown(with_event_time(source, late=late), cooldown_s)
+
+
 _DECISIONS = "camera_id string, track_id long, frame long, plate string, reads long, early boolean"
 
 
@@ -201,6 +293,52 @@ def stream_track_segments(det: DataFrame, fps: float, grace: int = 45, longest_s
     return det.groupBy("camera_id", "track_id").applyInPandasWithState(step, _SEGMENTS, "n long, start long, last long, rows long", "append", _TIMEOUT)
 
 
+_GLOBAL = "site string, camera_id string, track_id long, gid long"
+
+
+def stream_global_ids(sightings: DataFrame, longest_s: float = 120.0, **limits) -> DataFrame:
+    """Global ids of sightings as their epochs close: site, camera_id, track_id, gid, equal to the batch job's.
+
+    sightings: the batch job's rows (site, camera_id, track_id, first_ts, last_ts, end_ts, assign_ts, emb,
+    end_emb, positions) with event_time of end_ts; none lasts longer than longest_s. State by site: the rows
+    of the epochs that are still open, and how many ids the closed ones have used. An epoch is closed once
+    the watermark has passed its end by forget_s and longest_s, as no sighting can join it any more.
+    """
+    quiet = (GLOBAL_DEFAULTS | limits)["forget_s"]
+    names = ["camera_id", "track_id", "first_ts", "last_ts", "end_ts", "assign_ts", "emb", "end_emb", "positions"]
+
+    def epochs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = rows.sort_values(["assign_ts", "camera_id", "track_id"]).reset_index(drop=True)
+        busy = rows.end_ts.cummax().shift()
+        number = (busy.isna() | (rows.first_ts - busy > quiet)).cumsum()
+        yield from (part for _, part in rows.groupby(number))
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows, used = [], 0
+        if state.exists:
+            data, used = state.get
+            rows.append(pickle.loads(data))
+        if not state.hasTimedOut:
+            rows += [f[f.assign_ts.notna()][names] for f in frames]
+        rows = pd.concat(rows) if rows else pd.DataFrame(columns=names)
+        out, kept, now = [], [], state.getCurrentWatermarkMs() / 1000
+        for part in epochs(rows) if len(rows) else ():
+            if kept or now < part.end_ts.max() + quiet + longest_s:
+                kept.append(part)  # later epochs wait for this one: ids go up in time
+                continue
+            found = assign_epoch(part, **limits)
+            out += [(key[0], c, t, used + n) for c, t, n in found.itertuples(index=False)]
+            used += int(found.number.max())
+        left = pd.concat(kept) if kept else rows.iloc[:0]
+        state.update((pickle.dumps(left), used))
+        if len(left):
+            due = min(part.end_ts.max() for part in kept[:1]) + quiet + longest_s
+            state.setTimeoutTimestamp(max(int(due * 1000) + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in _GLOBAL.split(", ")])
+
+    return sightings.groupBy("site").applyInPandasWithState(step, _GLOBAL, "rows binary, used long", "append", _TIMEOUT)
+
+
 def write_latest_frame(det: DataFrame, path: str, checkpoint: str):
     """Starts a query that keeps each camera's newest frame below path, one folder for each batch."""
 
