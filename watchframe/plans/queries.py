@@ -57,17 +57,17 @@ def _r(name: str, digits: int = 4):
 
 
 @query("p1_scale_boxes", "v_det", sql="""
-    SELECT camera_id, frame, track_id, x1 * 0.5 AS x1, y1 * 0.5 AS y1, y2 * 0.5 AS y2
-    FROM v_det WHERE frame < 6000 AND x1 = floor(x1)""")
+    SELECT camera_id, frame, track_id, round_even(x1 * 0.5, 1) AS x1, round_even(y1 * 0.5, 1) AS y1, round_even(y2 * 0.5, 1) AS y2
+    FROM v_det WHERE frame < 6000""")
 def _p1(det):
-    return boxes.scale_boxes(det.where("x1 = floor(x1)"), 0.5, 0.5, 6000).select("camera_id", "frame", "track_id", "x1", "y1", "y2")
+    return boxes.scale_boxes(det, 0.5, 0.5, 6000).select("camera_id", "frame", "track_id", "x1", "y1", "y2")
 
 
 @query("p2_output_size", "v_det", sql="""
     SELECT DISTINCT w, h, CAST(round_even(w * least(1.0, 480.0 / h) / 2, 0) * 2 AS INTEGER) AS out_w, CAST(round_even(h * least(1.0, 480.0 / h) / 2, 0) * 2 AS INTEGER) AS out_h
-    FROM (SELECT CAST(x2 AS INTEGER) + 300 AS w, CAST(y2 AS INTEGER) + 200 AS h FROM v_det WHERE x2 = floor(x2)) AS t""")
+    FROM (SELECT CAST(floor(x2) AS INTEGER) + 300 AS w, CAST(y2 AS INTEGER) + 200 AS h FROM v_det) AS t""")
 def _p2(det):
-    rows = det.where("x2 = floor(x2)").select((F.col("x2").cast("int") + 300).alias("w"), (F.col("y2").cast("int") + 200).alias("h")).distinct()
+    rows = det.select((F.floor("x2").cast("int") + 300).alias("w"), (F.col("y2").cast("int") + 200).alias("h")).distinct()
     return rows.withColumn("o", boxes.output_size(F.col("w"), F.col("h"), 480)).select("w", "h", F.col("o.width").alias("out_w"), F.col("o.height").alias("out_h"))
 
 
@@ -84,17 +84,19 @@ def _p4(det):
     return boxes.foot_point(det, WIDTH, HEIGHT).select("camera_id", "frame", "track_id", *[F.floor(F.col(c) * 1e6 + 0.3).cast("double").alias(c) for c in ("foot_x", "foot_y")])
 
 
-@query("p5_min_height", "v_det", sql="SELECT camera_id, count(*) AS n FROM v_det WHERE y2 - y1 >= 140 GROUP BY camera_id")
+@query("p5_min_height", "v_det", sql="SELECT camera_id, frame, track_id FROM v_det WHERE y2 - y1 >= 140")
 def _p5(det):
-    return boxes.filter_min_height(det, 140).groupBy("camera_id").agg(F.count("*").alias("n"))
+    return boxes.filter_min_height(det, 140).select("camera_id", "frame", "track_id")
 
 
+# shares of the frame as whole numbers of 1e-4: x1 is a whole number of halves, so x1 / 1280 is a * 125 / 32 of
+# them, which can lie halfway; y / 720 is y * 125 / 9 and cannot
 @query("p6_normalize_boxes", "v_det", sql="""
-    SELECT camera_id, track_id, frame, round(x1 / 1280, 4) AS x1, round(y1 / 720, 4) AS y1, round(y2 / 720, 4) AS y2 FROM v_det
-    WHERE abs(x1 / 1280 * 1e4 - floor(x1 / 1280 * 1e4) - 0.5) > 1e-6 AND abs(y1 / 720 * 1e4 - floor(y1 / 720 * 1e4) - 0.5) > 1e-6 AND abs(y2 / 720 * 1e4 - floor(y2 / 720 * 1e4) - 0.5) > 1e-6""")
+    SELECT camera_id, track_id, frame, (DIV(a | 32) + CASE WHEN a % 32 > 16 OR (a % 32 = 16 AND DIV(a | 32) % 2 = 1) THEN 1 ELSE 0 END) / 1e4 AS x1,
+           DIV(b * 250 + 9 | 18) / 1e4 AS y1, DIV(c * 250 + 9 | 18) / 1e4 AS y2
+    FROM (SELECT *, CAST(x1 * 2 AS BIGINT) * 125 AS a, CAST(y1 AS BIGINT) AS b, CAST(y2 AS BIGINT) AS c FROM v_det) AS t""")
 def _p6(det):
-    sure = [F.abs(F.col(c) / n * 1e4 - F.floor(F.col(c) / n * 1e4) - 0.5) > 1e-6 for c, n in (("x1", WIDTH), ("y1", HEIGHT), ("y2", HEIGHT))]
-    return boxes.normalize_boxes(det.where(sure[0] & sure[1] & sure[2]), WIDTH, HEIGHT).select("camera_id", "track_id", "frame", "x1", "y1", "y2")
+    return boxes.normalize_boxes(det, WIDTH, HEIGHT).select("camera_id", "track_id", "frame", "x1", "y1", "y2")
 
 
 @query("p7_head_box", "v_det", sql="""
@@ -104,6 +106,20 @@ def _p7(det):
     return boxes.head_box(det, WIDTH, HEIGHT).select("camera_id", "track_id", "frame", "head_x1", "head_y1", "head_x2", "head_y2")
 
 
+@query("p7_head_region", "v_det", sql="""
+    SELECT camera_id, track_id, frame, greatest(0, CAST(trunc(x1 - (x2 - x1) * 0.15) AS INTEGER)) AS region_x1, greatest(0, CAST(trunc(y1 - (y2 - y1) * 0.1) AS INTEGER)) AS region_y1,
+           least(1280, CAST(trunc(x2 + (x2 - x1) * 0.15) AS INTEGER)) AS region_x2, least(720, CAST(trunc(y1 + (y2 - y1) * 0.45) AS INTEGER)) AS region_y2 FROM v_det""")
+def _p7c(det):
+    return boxes.head_region(det, WIDTH, HEIGHT).select("camera_id", "track_id", "frame", "region_x1", "region_y1", "region_x2", "region_y2")
+
+
+@query("p7_plate_expand", "v_det", sql="""
+    SELECT camera_id, track_id, frame, greatest(0, CAST(trunc(x1 - (x2 - x1) * 0.05) AS INTEGER)) AS plate_x1, greatest(0, CAST(trunc(y1 - (y2 - y1) * 0.05) AS INTEGER)) AS plate_y1,
+           least(1280, CAST(trunc(x2 + (x2 - x1) * 0.05) AS INTEGER)) AS plate_x2, least(720, CAST(trunc(y2 + (y2 - y1) * 0.05) AS INTEGER)) AS plate_y2 FROM v_det WHERE label = 'car'""")
+def _p7d(det):
+    return boxes.plate_expand(boxes.filter_labels(det, ["car"]), WIDTH, HEIGHT).select("camera_id", "track_id", "frame", "plate_x1", "plate_y1", "plate_x2", "plate_y2")
+
+
 @query("p7_crop_box", "v_det", sql="""
     SELECT camera_id, track_id, frame, CAST(trunc(least(greatest(x1, 0), 1280)) AS INTEGER) AS x1, CAST(trunc(least(greatest(y1, 0), 720)) AS INTEGER) AS y1,
            CAST(trunc(least(greatest(x2, 0), 1280)) AS INTEGER) AS x2, CAST(trunc(least(greatest(y2, 0), 720)) AS INTEGER) AS y2
@@ -112,9 +128,9 @@ def _p7b(det):
     return boxes.crop_box(det, WIDTH, HEIGHT).select("camera_id", "track_id", "frame", "x1", "y1", "x2", "y2")
 
 
-@query("p8_frame_ts", "v_det", sql="SELECT camera_id, min(1000 + frame / 30.0e0) AS first_ts, max(1000 + frame / 30.0e0) AS last_ts FROM v_det GROUP BY camera_id")
+@query("p8_frame_ts", "v_det", sql="SELECT camera_id, track_id, frame, 1000 + frame / 30.0e0 AS ts FROM v_det")
 def _p8(det):
-    return boxes.frame_ts(det, 30.0, 1000.0).groupBy("camera_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return boxes.frame_ts(det, 30.0, 1000.0).select("camera_id", "track_id", "frame", "ts")
 
 
 @query("p9_should_blur", "v_tracks", sql="SELECT role, coalesce(role, 'pending') IN ('unknown', 'pending') AS blur, count(*) AS n FROM v_tracks GROUP BY ALL")
@@ -122,9 +138,9 @@ def _p9(tr):
     return tr.groupBy("role", fn.should_blur(F.col("role")).alias("blur")).agg(F.count("*").alias("n"))
 
 
-@query("p10_filter_labels", "v_det", sql="SELECT camera_id, count(DISTINCT track_id) AS cars FROM v_det WHERE label IN ('car', 'truck') GROUP BY camera_id")
+@query("p10_filter_labels", "v_det", sql="SELECT camera_id, track_id, frame FROM v_det WHERE label IN ('car', 'truck')")
 def _p10(det):
-    return boxes.filter_labels(det, ["car", "truck"]).groupBy("camera_id").agg(F.countDistinct("track_id").alias("cars"))
+    return boxes.filter_labels(det, ["car", "truck"]).select("camera_id", "track_id", "frame")
 
 
 # --- plates (the layouts' fit as SQL, used by several oracles)
@@ -247,12 +263,11 @@ def _x13(reads, vehicles):
 
 
 @query("f15_extract_plates", "documents", sql=f"""
-    WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 200) || ' seen tn 09 ab 12' || lpad((doc_id % 100)::VARCHAR, 2, '0') || ' and 22BH1234A.' ELSE text END AS text FROM documents),
+    WITH d AS (SELECT doc_id, coalesce(text, '') || ' seen tn 09 ab 12' || lpad((doc_id % 100)::VARCHAR, 2, '0') || ' and 22BH1234A.' AS text FROM documents),
     m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\\b(\\d{{2}}\\s?BH\\s?\\d{{4}}\\s?[A-Z]{{1,2}}|[A-Z]{{2}}[\\s-]?\\d{{1,2}}[\\s-]?[A-Z]{{0,3}}[\\s-]?\\d{{4}})\\b', 1)) AS mention FROM d)
     SELECT doc_id, plate, count(*) AS n FROM ({_plate_sql('m', 'mention', 'doc_id')}) WHERE kind <> 'invalid' GROUP BY doc_id, plate""")
 def _f15(docs):
-    tail = F.concat(F.substring("text", 1, 200), F.lit(" seen tn 09 ab 12"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(" and 22BH1234A."))
-    rows = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, tail).otherwise(F.col("text")))
+    rows = docs.withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit(" seen tn 09 ab 12"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(" and 22BH1234A.")))
     return rows.select("doc_id", F.explode(fn.extract_plates(F.col("text"))).alias("plate")).groupBy("doc_id", "plate").agg(F.count("*").alias("n"))
 
 
@@ -310,18 +325,18 @@ def _a6(det):
     return boxes.track_height(det, calib_df(det), 20.0, 2200.0)
 
 
-@query("f13_height_m", "v_det", sql=f"SELECT camera_id, count(cm) AS measured, round(avg(cm), 3) AS mean_cm FROM ({_HEIGHT}) GROUP BY camera_id")
+@query("f13_height_m", "v_det", sql=f"SELECT camera_id, track_id, frame, round(cm, 3) AS cm FROM ({_HEIGHT.replace('track_id,', 'track_id, frame,')})")
 def _f13(det):
     rows = det.join(calib_df(det), "camera_id").withColumn("cm", fn.height_m(F.col("p"), *fn.box(), F.col("width"), F.col("height")) * 100)
-    return rows.groupBy("camera_id").agg(F.count("cm").alias("measured"), F.round(F.avg("cm"), 3).alias("mean_cm"))
+    return rows.select("camera_id", "track_id", "frame", _r("cm", 3))
 
 
-@query("f10_project_round_trip", "v_det", sql="SELECT camera_id, count(*) AS n, CAST(0.0 AS DOUBLE) AS error FROM v_det GROUP BY camera_id")
+@query("f10_project_round_trip", "v_det", sql=f"SELECT camera_id, track_id, frame, CASE WHEN gx IS NOT NULL THEN CAST(0.0 AS DOUBLE) END AS error FROM ({_GROUND})")
 def _f10(det):
     rows = boxes.ground_positions(det, calib_df(det)).join(calib_df(det), "camera_id")
     rows = rows.withColumn("q", fn.project(F.col("p"), F.col("gx"), F.col("gy"), F.lit(0.0)))
     off = F.abs(F.col("q.u") - (F.col("x1") + F.col("x2")) / 2) + F.abs(F.col("q.v") - F.col("y2"))
-    return rows.groupBy("camera_id").agg(F.count("*").alias("n"), F.abs(F.round(F.max(off), 5)).alias("error"))
+    return rows.select("camera_id", "track_id", "frame", F.abs(F.round(off, 5)).alias("error"))
 
 
 _IOU = "(greatest(0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0, least(g.y2, p.y2) - greatest(g.y1, p.y1)))"
@@ -337,19 +352,19 @@ def _j3(gt, pred):
     return boxes.iou_pairs(gt, pred).select("camera_id", "frame", "gt_id", "pred_id", _r("iou", 5))
 
 
-@query("f9_iou", "v_gt", "v_pred", sql=f"SELECT camera_id, count(*) AS n, round(avg(iou), 6) AS mean_iou FROM ({_PAIRS}) WHERE iou >= 0.3 GROUP BY camera_id")
+@query("f9_iou", "v_gt", "v_pred", sql=f"SELECT camera_id, frame, gt_id, pred_id, round(iou, 5) AS iou FROM ({_PAIRS}) WHERE iou >= 0.3")
 def _f9(gt, pred):
-    return boxes.iou_pairs(gt, pred, 0.3).groupBy("camera_id").agg(F.count("*").alias("n"), F.round(F.avg("iou"), 6).alias("mean_iou"))
+    return boxes.iou_pairs(gt, pred, 0.3).select("camera_id", "frame", "gt_id", "pred_id", _r("iou", 5))
 
 
 @query("j4_crop_quality", "v_det", sql="""
     WITH h AS (SELECT d.camera_id, d.frame, d.track_id, max(greatest(0, least(d.x2, o.x2) - greatest(d.x1, o.x1)) * greatest(0, least(d.y2, o.y2) - greatest(d.y1, o.y1)) / ((d.x2 - d.x1) * (d.y2 - d.y1))) AS hidden
                FROM v_det d JOIN v_det o ON d.camera_id = o.camera_id AND d.frame = o.frame AND d.track_id <> o.track_id AND d.x1 < o.x2 AND o.x1 < d.x2 GROUP BY ALL)
-    SELECT d.camera_id, d.frame, d.track_id, round(least(greatest((y2 - y1 - 64) / 192, 0), 1) * conf * CASE WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 1278 OR y2 >= 718 THEN 0.5 ELSE 1 END
-        * CASE WHEN (x2 - x1) / (y2 - y1) BETWEEN 0.25 AND 0.65 THEN 1 ELSE 0.5 END * greatest(0, 1 - coalesce(hidden, 0)), 7) AS quality
+    SELECT d.camera_id, d.frame, d.track_id, floor(least(greatest((y2 - y1 - 64) / 192, 0), 1) * conf * CASE WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 1278 OR y2 >= 718 THEN 0.5 ELSE 1 END
+        * CASE WHEN (x2 - x1) / (y2 - y1) BETWEEN 0.25 AND 0.65 THEN 1 ELSE 0.5 END * greatest(0, 1 - coalesce(hidden, 0)) * 1e6 + 0.2718) AS quality
     FROM v_det d LEFT JOIN h USING (camera_id, frame, track_id)""")
 def _j4(det):
-    return boxes.crop_quality(det, WIDTH, HEIGHT).select("camera_id", "frame", "track_id", _r("quality", 7))
+    return boxes.crop_quality(det, WIDTH, HEIGHT).select("camera_id", "frame", "track_id", F.floor(F.col("quality") * 1e6 + 0.2718).cast("double").alias("quality"))
 
 
 @query("j11_nearest_position", "v_obs", sql="""
@@ -475,15 +490,15 @@ def _w5(det):
 
 
 @query("w6_segment_tracks", "v_det", sql="""
-    WITH g AS (SELECT camera_id, track_id, frame, CASE WHEN frame - lag(frame) OVER w > 4 OR lag(frame) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM v_det WHERE frame % 50 > 6 WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame)),
+    WITH g AS (SELECT camera_id, track_id, frame, CASE WHEN frame - lag(frame) OVER w > 1 OR lag(frame) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM v_det WINDOW w AS (PARTITION BY camera_id, track_id ORDER BY frame)),
     p AS (SELECT *, sum(fresh) OVER (PARTITION BY camera_id, track_id ORDER BY frame) AS part FROM g),
     u AS (SELECT camera_id, track_id, part, list(DISTINCT frame ORDER BY frame) AS all_f FROM p GROUP BY ALL),
-    f AS (SELECT camera_id, track_id, part, list_reduce([[x] for x in all_f], lambda acc, x: CASE WHEN (x[1] - acc[len(acc)]) / 30.0 > 1.0 THEN acc || x ELSE acc END) AS starts FROM u),
+    f AS (SELECT camera_id, track_id, part, list_reduce([[x] for x in all_f], lambda acc, x: CASE WHEN (x[1] - acc[len(acc)]) / 30.0 > 0.25 THEN acc || x ELSE acc END) AS starts FROM u),
     s AS (SELECT p.camera_id, p.track_id, p.frame, f.part, list_max(list_filter(starts, lambda y: y <= frame)) AS start FROM p JOIN f USING (camera_id, track_id, part)),
     l AS (SELECT *, (max(frame) OVER (PARTITION BY camera_id, track_id, start) - start) / 30.0 AS len_s FROM s)
-    SELECT camera_id, track_id, frame, dense_rank() OVER (PARTITION BY camera_id, track_id ORDER BY start) AS segment FROM l WHERE len_s >= 0.5""")
+    SELECT camera_id, track_id, frame, dense_rank() OVER (PARTITION BY camera_id, track_id ORDER BY start) AS segment FROM l WHERE len_s >= 0.2""")
 def _w6(det):
-    out = tracks.segment_tracks(det.where("frame % 50 > 6"), 30.0, grace=3, longest_s=1.0, least_s=0.5)
+    out = tracks.segment_tracks(det, 30.0, grace=0, longest_s=0.25, least_s=0.2)
     return out.select("camera_id", "track_id", "frame", "segment")
 
 
@@ -561,16 +576,17 @@ def _w12(samples):
     return tracks.sightings(det, samples).select("camera_id", "track_id", "first_ts", "last_ts", "end_ts", "assign_ts", "n_samples")
 
 
-@query("j15_attach_samples", "v_samples", sql="SELECT s.camera_id, count(*) AS n, count(CASE WHEN s.sample_id % 3 = 1 THEN 1 END) AS with_sample FROM v_samples s GROUP BY ALL")
+@query("j15_attach_samples", "v_samples", sql="""
+    SELECT camera_id, frame, track_id, quality FROM v_samples UNION ALL SELECT camera_id, -1 - frame, track_id, NULL FROM v_samples""")
 def _j15(samples):
     det = samples.select("camera_id", "frame", "track_id")
-    out = tracks.attach_samples(det, samples.where("sample_id % 3 = 1").select("camera_id", "frame", "track_id", "quality"))
-    return out.groupBy("camera_id").agg(F.count("*").alias("n"), F.count("quality").alias("with_sample"))
+    det = det.unionByName(det.withColumn("frame", -1 - F.col("frame")))  # as many rows without a sample
+    return tracks.attach_samples(det, samples.select("camera_id", "frame", "track_id", "quality"))
 
 
-@query("j10_time_overlap", "v_tracks", sql="SELECT camera_id, count(*) AS n FROM v_tracks WHERE end_ts >= 8e8 AND start_ts <= 8.5e8 GROUP BY ALL")
+@query("j10_time_overlap", "v_tracks", sql="SELECT camera_id, track_id FROM v_tracks WHERE end_ts >= 8e8 AND start_ts <= 8.5e8")
 def _j10(tr):
-    return tr.where(tracks.time_overlap(F.col("start_ts"), F.col("end_ts"), F.lit(8e8), F.lit(8.5e8))).groupBy("camera_id").agg(F.count("*").alias("n"))
+    return tr.where(tracks.time_overlap(F.col("start_ts"), F.col("end_ts"), F.lit(8e8), F.lit(8.5e8))).select("camera_id", "track_id")
 
 
 # --- identities
@@ -587,9 +603,9 @@ def _j6(samples, gallery):
     return identity.gallery_best_match(samples, gallery).select("sample_id", "person_id", _r("sim", 5))
 
 
-@query("f8_cosine", "v_samples", "v_gallery", sql=f"SELECT sample_id, count(*) AS n, round(max({_COS.format(a='s.emb', b='g.emb')}), 5) AS best FROM v_samples s JOIN v_gallery g ON s.kind = g.kind AND s.sample_id % 9 = g.vec_id % 9 GROUP BY sample_id")
+@query("f8_cosine", "v_samples", "v_gallery", sql=f"SELECT sample_id, count(*) AS n, round(max({_COS.format(a='s.emb', b='g.emb')}), 5) AS best FROM v_samples s JOIN v_gallery g ON s.kind = g.kind GROUP BY sample_id")
 def _f8(samples, gallery):
-    rows = samples.alias("s").join(gallery.alias("g"), F.expr("s.kind = g.kind and s.sample_id % 9 = g.vec_id % 9"))
+    rows = samples.alias("s").join(gallery.alias("g"), F.expr("s.kind = g.kind"))
     return rows.groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.max(fn.cosine(F.col("s.emb"), F.col("g.emb"))), 5).alias("best"))
 
 
@@ -602,13 +618,18 @@ def _f7(samples):
 @query("f18_gallery_similarity", "v_samples", "v_gallery", sql=f"""
     SELECT sample_id, round(list_avg(list_sort(list({_COS.format(a='s.emb', b='g.emb')}), 'DESC')[1:3]), 5) AS sim FROM v_samples s JOIN v_gallery g ON s.kind = g.kind GROUP BY sample_id""")
 def _f18(samples, gallery):
-    rows = samples.alias("s").join(gallery.alias("g"), F.expr("s.kind = g.kind")).groupBy("sample_id").agg(F.collect_list(fn.cosine(F.col("s.emb"), F.col("g.emb"))).alias("sims"))
+    from pyspark.sql import Window
+
+    # the three best of a sample are picked before rows move, so no list is longer than three
+    best = Window.partitionBy("sample_id").orderBy(F.desc("sim"))
+    rows = samples.alias("s").join(gallery.alias("g"), F.expr("s.kind = g.kind")).select("sample_id", fn.cosine(F.col("s.emb"), F.col("g.emb")).alias("sim"))
+    rows = rows.withColumn("place", F.row_number().over(best)).where("place <= 3").groupBy("sample_id").agg(F.collect_list("sim").alias("sims"))
     return rows.select("sample_id", F.round(fn.gallery_similarity(F.col("sims")), 5).alias("sim"))
 
 
-@query("j13_load_gallery", "v_people", "v_gallery", sql="SELECT g.kind, count(*) AS n FROM v_gallery g JOIN v_people p USING (person_id) WHERE consent GROUP BY ALL")
+@query("j13_load_gallery", "v_people", "v_gallery", sql="SELECT g.person_id, g.kind, g.vec_id FROM v_gallery g JOIN v_people p USING (person_id) WHERE consent")
 def _j13(people, gallery):
-    return identity.load_gallery(people, gallery).groupBy("kind").agg(F.count("*").alias("n"))
+    return identity.load_gallery(people, gallery).select("person_id", "kind", "vec_id")
 
 
 def _roles(samples, gallery, people):
@@ -658,9 +679,12 @@ def _a17(existing, alerts):
     return identity.merge_identities(existing, alerts.select("gid", "ts", role.alias("role_state"), F.lit(None).cast("long").alias("person_id")))
 
 
-@query("a21_identity_stats", "v_identities", sql="SELECT role_state, count(*) AS identities FROM v_identities GROUP BY ALL")
-def _a21(ids):
-    return identity.identity_stats(ids)
+@query("a21_identity_stats", "v_identities", "v_gallery", "v_plate_reads", "v_vehicles", sql="""
+    SELECT 'roles' AS section, role_state AS name, count(*) AS n FROM v_identities GROUP BY ALL UNION ALL SELECT 'identities', 'global_ids', count(*) FROM v_identities
+    UNION ALL SELECT 'identities', 'gallery_people', count(DISTINCT person_id) FROM v_gallery UNION ALL SELECT 'plates', 'decided', count(*) FROM (SELECT DISTINCT camera_id, plate FROM v_plate_reads)
+    UNION ALL SELECT 'plates', 'registry', count(DISTINCT plate) FROM v_vehicles""")
+def _a21(ids, gallery, reads, vehicles):
+    return identity.identity_stats(ids, gallery, reads.select("camera_id", F.col("plate").alias("track_id")), vehicles)
 
 
 # --- evaluation
@@ -689,7 +713,13 @@ def _x2(gt):
     return evaluation.shared_identities(gt)
 
 
-@query("t9_pick_cameras", "v_gt")
+@query("t9_pick_cameras", "v_gt", sql="""
+    WITH i AS (SELECT DISTINCT camera_id, id FROM v_gt),
+    c1 AS (SELECT camera_id FROM i GROUP BY camera_id ORDER BY count(*) DESC, camera_id LIMIT 1), s1 AS (SELECT DISTINCT id FROM i WHERE camera_id IN (SELECT camera_id FROM c1)),
+    c2 AS (SELECT camera_id FROM i WHERE camera_id NOT IN (SELECT camera_id FROM c1) GROUP BY camera_id ORDER BY count(CASE WHEN id IN (SELECT id FROM s1) THEN 1 END) DESC, count(*) DESC, camera_id LIMIT 1),
+    c AS (SELECT camera_id FROM c1 UNION SELECT camera_id FROM c2), s2 AS (SELECT DISTINCT id FROM i WHERE camera_id IN (SELECT camera_id FROM c)),
+    c3 AS (SELECT camera_id FROM i WHERE camera_id NOT IN (SELECT camera_id FROM c) GROUP BY camera_id ORDER BY count(CASE WHEN id IN (SELECT id FROM s2) THEN 1 END) DESC, count(*) DESC, camera_id LIMIT 1)
+    SELECT camera_id, count(*) AS ids FROM i WHERE camera_id IN (SELECT camera_id FROM c UNION SELECT camera_id FROM c3) GROUP BY camera_id""")
 def _t9(gt):
     chosen = evaluation.pick_cameras(gt, 3)
     return gt.where(F.col("camera_id").isin(chosen)).groupBy("camera_id").agg(F.countDistinct("id").alias("ids"))
@@ -773,9 +803,9 @@ def _a19(alerts):
     return evaluation.headline_metrics(reports, wanted)
 
 
-@query("x1_unknown_people", "v_gt", sql="SELECT DISTINCT id FROM v_gt WHERE frame >= 4000 AND id NOT IN (SELECT id FROM v_gt WHERE id % 5 = 0)")
+@query("x1_unknown_people", "v_gt", sql="SELECT DISTINCT id FROM v_gt WHERE frame >= 500 AND id NOT IN (SELECT id FROM v_gt WHERE id % 5 = 0)")
 def _x1(gt):
-    return evaluation.unknown_people(gt, gt.where("id % 5 = 0").select("id").distinct(), 4000)
+    return evaluation.unknown_people(gt, gt.where("id % 5 = 0").select("id").distinct(), 500)
 
 
 @query("x12_select_enrolment", "v_gt", sql="""
@@ -801,6 +831,17 @@ def _f11(pred):
     return pred.groupBy("camera_id", "track_id", fn.namespaced_id(F.col("camera_id"), F.col("track_id")).alias("id")).agg(F.count("*").alias("n"))
 
 
+@query("f11_parse_clip_name", "v_det", sql="""
+    SELECT track_id, '2018-03-' || lpad((track_id % 28 + 1)::VARCHAR, 2, '0') AS date, lpad((track_id % 24)::VARCHAR, 2, '0') || '-05-00' AS start, lpad((track_id % 24)::VARCHAR, 2, '0') || '-10-00' AS end,
+           CASE WHEN track_id % 2 = 0 THEN 'school' ELSE 'bus' END AS site, 'G' || (track_id % 500) AS camera FROM (SELECT DISTINCT track_id FROM v_det)""")
+def _f11b(det):
+    k, two = F.col("track_id"), lambda c: F.lpad(c.cast("string"), 2, "0")
+    site = F.when(k % 2 == 0, "school").otherwise("bus")
+    name = F.concat(F.lit("/clips/2018-03-"), two(k % 28 + 1), F.lit("."), two(k % 24), F.lit("-05-00."), two(k % 24), F.lit("-10-00."), site, F.lit(".G"), (k % 500).cast("string"), F.lit(".r13.avi"))
+    rows = det.select("track_id").distinct().withColumn("c", fn.parse_clip_name(name))
+    return rows.select("track_id", "c.date", "c.start", "c.end", "c.site", "c.camera")
+
+
 # --- search
 
 _ROLE = "coalesce(i.role_state, t.role)"
@@ -846,14 +887,14 @@ def _t6(reads, edges):
 
 @query("t7_batch_search", "part", "v_tracks", sql="""
     WITH q AS (SELECT p_partkey AS query_id, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE concat('cam_', (p_partkey % 8)::VARCHAR) END AS camera_id, CASE WHEN p_partkey % 2 = 0 THEN 'unknown' END AS role,
-                      PICK(p_partkey % 5 | 'red', 'blue', NULL, 'white', 'green') AS upper_color, CASE WHEN p_partkey % 7 = 0 THEN 7.5e8 END AS since FROM part WHERE p_partkey % 20 = 1),
+                      PICK(p_partkey % 5 | 'red', 'blue', NULL, 'white', 'green') AS upper_color, CASE WHEN p_partkey % 7 = 0 THEN 7.5e8 END AS since FROM part WHERE p_partkey % 20 = 0),
     m AS (SELECT query_id, track_id, row_number() OVER (PARTITION BY query_id ORDER BY start_ts DESC, track_id) AS place FROM q JOIN v_tracks t
           ON (q.camera_id IS NULL OR q.camera_id = t.camera_id) AND (q.role IS NULL OR q.role = t.role) AND (q.upper_color IS NULL OR q.upper_color = t.upper_color) AND (since IS NULL OR end_ts >= since))
     SELECT query_id, track_id, place FROM m WHERE place <= 5""")
 def _t7(part, tr):
     k = F.col("p_partkey")
     color = F.element_at(F.array(F.lit("red"), F.lit("blue"), F.lit(None).cast("string"), F.lit("white"), F.lit("green")), (k % 5 + 1).cast("int"))
-    q = part.where(k % 20 == 1).select(
+    q = part.where(k % 20 == 0).select(
         k.alias("query_id"), F.when(k % 3 != 0, F.concat(F.lit("cam_"), (k % 8).cast("string"))).alias("camera_id"), F.when(k % 2 == 0, "unknown").alias("role"),
         color.alias("upper_color"), F.when(k % 7 == 0, 7.5e8).alias("since"), F.lit(None).cast("double").alias("until"))
     return search.batch_search(q, tr, 5)
@@ -893,13 +934,15 @@ def _f12(rows):
 
 
 @query("j14_blur_worklist", "v_det", "v_tracks", sql="""
-    WITH d AS (SELECT camera_id, track_id, frame / 30.0e0 AS ts FROM v_det WHERE label = 'person'), c AS (SELECT DISTINCT track_id AS clip_id, camera_id, min(ts) OVER w - 1 AS low, max(ts) OVER w + 1 AS high FROM d WHERE track_id % 400 = 4 WINDOW w AS (PARTITION BY camera_id, track_id))
-    SELECT DISTINCT clip_id, d.camera_id, ts, d.track_id FROM d JOIN c ON d.camera_id = c.camera_id AND ts BETWEEN low AND high LEFT JOIN v_tracks t ON t.track_id = d.track_id WHERE coalesce(t.role, 'pending') IN ('unknown', 'pending')""")
+    WITH d AS (SELECT camera_id, track_id, frame / 30.0e0 AS ts FROM v_det WHERE label = 'person'), c AS (SELECT track_id AS clip_id, camera_id, min(ts) - 0.1e0 AS low, max(ts) + 0.1e0 AS high FROM d GROUP BY ALL),
+    b AS (SELECT clip_id, low, high, camera_id, unnest(range(CAST(floor(low / 60) AS BIGINT), CAST(floor(high / 60) AS BIGINT) + 1)) AS bucket FROM c),
+    h AS (SELECT DISTINCT clip_id, d.camera_id, ts, d.track_id FROM d JOIN b ON d.camera_id = b.camera_id AND floor(ts / 60) = bucket AND ts BETWEEN low AND high LEFT JOIN v_tracks t ON t.track_id = d.track_id WHERE coalesce(t.role, 'pending') IN ('unknown', 'pending'))
+    SELECT clip_id, camera_id, track_id, count(*) AS boxes, min(ts) AS first_ts, max(ts) AS last_ts FROM h GROUP BY ALL""")
 def _j14(det, tr):
     d = det.where("label = 'person'").select("camera_id", "track_id", (F.col("frame") / 30.0).alias("ts"))
-    clips = d.where("track_id % 400 = 4").groupBy("camera_id", "track_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
-    roles = tr.join(det.select("camera_id", "track_id").distinct().withColumnRenamed("camera_id", "cam"), "track_id").select(F.col("cam").alias("camera_id"), "track_id", "role")
-    return search.blur_worklist(clips.withColumn("clip_id", F.col("track_id")).drop("track_id"), d, roles)
+    clips = d.groupBy("camera_id", "track_id").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
+    rows = search.blur_worklist(clips.withColumnRenamed("track_id", "clip_id"), d, tr.select("camera_id", "track_id", "role"), 0.1)
+    return rows.groupBy("clip_id", "camera_id", "track_id").agg(F.count("*").alias("boxes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
 # --- maintenance
@@ -914,10 +957,10 @@ def _x3(edges):
     return maintenance.upsert_cameras(old, new)
 
 
-@query("x4_replace_tracks", "v_tracks", "v_samples", sql="SELECT camera_id, count(*) AS n FROM (SELECT camera_id FROM v_tracks WHERE camera_id <> 'cam_3' UNION ALL SELECT camera_id FROM v_tracks WHERE camera_id = 'cam_3' AND track_id % 2 = 0) GROUP BY ALL")
+@query("x4_replace_tracks", "v_tracks", "v_samples", sql="SELECT camera_id, track_id FROM v_tracks WHERE camera_id <> 'cam_3' OR end_ts < 8e8")
 def _x4(tr, samples):
-    out, _ = maintenance.replace_tracks(tr, _clip(samples), tr.where("camera_id = 'cam_3' and track_id % 2 = 0"), ["cam_3"])
-    return out.groupBy("camera_id").agg(F.count("*").alias("n"))
+    out, _ = maintenance.replace_tracks(tr, _clip(samples), tr.where("camera_id = 'cam_3' and end_ts < 8e8"), ["cam_3"])
+    return out.select("camera_id", "track_id")
 
 
 @query("x4_delete_unit", "v_people", "v_gallery", sql="SELECT g.kind, count(*) AS n FROM v_gallery g WHERE person_id NOT IN (SELECT person_id FROM v_people WHERE unit = 'unit1') GROUP BY ALL")
@@ -955,14 +998,14 @@ def _x7c(tr, ids, samples, alerts):
 
 
 @query("x8_enroll_batch", "v_samples", "customer", sql="""
-    WITH r AS (SELECT c_custkey % 1000 AS request_id, c_custkey % 4 <> 0 AS consent, PICK(c_custkey % 3 | 'resident', 'staff', 'guest') AS role FROM customer WHERE c_custkey < 40),
+    WITH r AS (SELECT c_custkey AS request_id, c_custkey % 4 <> 0 AS consent, PICK(c_custkey % 3 | 'resident', 'staff', 'guest') AS role FROM customer),
     n AS (SELECT gid AS request_id, count(*) FILTER (kind = 'face') AS f, count(*) FILTER (kind = 'body') AS b FROM v_samples GROUP BY ALL)
     SELECT r.request_id, CASE WHEN NOT consent THEN 'no consent' WHEN role NOT IN ('resident', 'staff') THEN 'role' ELSE 'too few shots' END AS reason FROM r LEFT JOIN n USING (request_id)
     WHERE NOT consent OR role NOT IN ('resident', 'staff') OR (coalesce(f, 0) < 3 AND coalesce(b, 0) < 3)""")
 def _x8(samples, customer):
     k = F.col("c_custkey")
     role = F.element_at(F.array(F.lit("resident"), F.lit("staff"), F.lit("guest")), (k % 3 + 1).cast("int"))
-    requests = customer.where(k < 40).select((k % 1000).alias("request_id"), "c_name", (k % 4 != 0).alias("consent"), role.alias("role"))
+    requests = customer.select(k.alias("request_id"), "c_name", (k % 4 != 0).alias("consent"), role.alias("role"))
     return maintenance.enroll_batch(requests, samples.select(F.col("gid").alias("request_id"), "kind", "emb"))[2]
 
 
@@ -977,11 +1020,11 @@ def _a9(people, gallery):
 
 
 @query("x10_register_vehicles", "v_vehicles", "v_reads", sql=f"""
-    WITH b AS ({_plate_sql("v_reads WHERE track_id % 10 = 0", "text", "track_id * 1000 + frame AS row, text")}),
+    WITH b AS ({_plate_sql("v_reads", "text", "track_id * 1000 + frame AS row, text")}),
     t AS (SELECT *, row_number() OVER (PARTITION BY plate ORDER BY row) AS turn FROM b)
     SELECT row, CASE WHEN kind = 'invalid' THEN 'invalid' ELSE 'duplicate' END AS reason FROM t WHERE kind = 'invalid' OR turn > 1 OR plate IN (SELECT plate FROM v_vehicles)""")
 def _x10(vehicles, reads):
-    batch = reads.where("track_id % 10 = 0").select((F.col("track_id") * 1000 + F.col("frame")).alias("row"), F.col("text").alias("plate"), F.lit("x").alias("owner"))
+    batch = reads.select((F.col("track_id") * 1000 + F.col("frame")).alias("row"), F.col("text").alias("plate"), F.lit("x").alias("owner"))
     return maintenance.register_vehicles(vehicles.dropDuplicates(["plate"]), batch)[1].select("row", "reason")
 
 
@@ -1000,18 +1043,29 @@ def _x11b(alerts):
 _ZONES, _CAMERAS = ["resident_parking", "visitor_parking", "gate", "lobby"], {"cam_1": "main gate", "cam_2": "north lobby"}
 
 
-@query("f16_parse_query_log", "part")
-def _f16(part):
+def query_log(part: DataFrame, talk: DataFrame) -> DataFrame:
+    """query_id, text, now: a log put together from the parts' names and sizes, and every turn of the conversations."""
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    color = F.element_at(F.array(*[F.lit(c) for c in ("red", "navy", "grey", "black", "olive")]), (F.col("p_size") % 5 + 1).cast("int"))
+    text = F.when(F.lit(False), "")
+    shapes = [
+        lambda c: F.concat(F.lit("unknown people in "), c, F.lit(" shirt and jeans near the gate after "), (k % 12 + 1).cast("string"), F.lit(" pm")),
+        lambda c: F.concat(F.lit("guard about "), (k % 40 + 150).cast("string"), F.lit(" cm in the resident parking yesterday evening")),
+        lambda c: F.concat(F.lit("car tn 09 ab "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" at main gate today")),
+        lambda c: F.concat(F.lit("tall visitor wearing "), c, F.lit(" between "), (k % 11 + 1).cast("string"), F.lit(" and "), (k % 9 + 2).cast("string"), F.lit(":15 pm with a "), F.col("p_name")),
+        lambda c: F.concat((k % 4 + 4).cast("string"), F.lit("'"), (k % 12).cast("string"), F.lit('" man on cam_2 in the last '), size, F.lit(" minutes")),
+        lambda c: F.concat(F.lit("anyone with trousers in "), c, F.lit(" around "), (k % 12 + 1).cast("string"), F.lit(":30 this morning")),
+    ]
+    for n, shape in enumerate(shapes):
+        text = F.when(k % len(shapes) == n, shape(color)).otherwise(text)
+    now = F.lit(1.79e9)
+    parts = part.select(F.concat(F.lit("p"), k.cast("string")).alias("query_id"), text.alias("text"), (now + k * 3600.0).alias("now"))
+    turns = talk.select(F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("query_id"), "text", (now + F.col("turn") * 60.0).alias("now"))
+    return parts.unionByName(turns)
+
+
+@query("f16_parse_query_log", "part", "conversations")
+def _f16(part, talk):
     from ..operators.query_log import parse_query_log
 
-    k = F.col("p_partkey")
-    color = F.element_at(F.array(*[F.lit(c) for c in ("red", "navy", "grey", "black", "dark")]), (k % 5 + 1).cast("int"))
-    sentence = (
-        F.when(k % 6 == 0, F.concat(F.lit("show unknown people in a "), color, F.lit(" shirt and blue jeans near the gate")))
-        .when(k % 6 == 1, F.concat(F.lit("guard about "), (k % 40 + 150).cast("string"), F.lit(" cm in the resident parking")))
-        .when(k % 6 == 2, F.concat(F.lit("car tn 09 ab "), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(" at main gate")))
-        .when(k % 6 == 3, F.concat(F.lit("tall visitor wearing "), color, F.lit(" and white")))
-        .when(k % 6 == 4, "five foot eight man on cam_2")
-        .otherwise(F.concat(F.lit("anyone with trousers in "), color))
-    )
-    return parse_query_log(part.select(k.alias("query_id"), sentence.alias("text")), _ZONES, _CAMERAS)
+    return parse_query_log(query_log(part, talk), _ZONES, _CAMERAS)

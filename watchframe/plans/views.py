@@ -28,16 +28,16 @@ def plate_of(key: str) -> str:
 
 VIEWS = {
     "v_det": """
-        SELECT concat('cam_', CAST(DIV(k | 4) % 8 AS VARCHAR(8))) AS camera_id, k AS track_id, (k * 37) % 9000 + i AS frame,
+        SELECT concat('cam_', CAST(k % 8 AS VARCHAR(8))) AS camera_id, k AS track_id, DIV(k | 2) + i AS frame,
                (k * 53) % 1100 + 0.5e0 * i AS x1, CAST((k * 29) % 380 AS DOUBLE) AS y1,
                (k * 53) % 1100 + 0.5e0 * i + 0.4e0 * (60 + (k * 7) % 240 + i % 5) AS x2, CAST((k * 29) % 380 + 60 + (k * 7) % 240 + i % 5 AS DOUBLE) AS y2,
-               0.5e0 + (c % 50) / 100e0 AS conf, CASE WHEN DIV(k | 4) % 5 = 0 THEN 'car' ELSE 'person' END AS label
-        FROM (SELECT o_orderkey AS k, o_custkey AS c, SEQ(20 + (o_orderkey * 13) % 180) AS i FROM {orders} WHERE o_orderkey % 4 = 0) AS t
+               0.5e0 + (c % 50) / 100e0 AS conf, CASE WHEN k % 5 = 0 THEN 'car' ELSE 'person' END AS label
+        FROM (SELECT o_orderkey AS k, o_custkey AS c, SEQ(5 + (o_orderkey * 13) % 45) AS i FROM {orders}) AS t
         WHERE i % 11 <> 7
     """,
     "v_edges": """
         SELECT concat('cam_', CAST(n AS VARCHAR(8))) AS camera_id, zone, restricted, ax, ay, bx, by_, e
-        FROM (SELECT DISTINCT DIV(o_orderkey | 4) % 8 AS n FROM {orders}) AS c, (VALUES
+        FROM (SELECT DISTINCT o_orderkey % 8 AS n FROM {orders}) AS c, (VALUES
             ('gate', TRUE, 1, 0e0, 0e0, 0.5e0, 0e0), ('gate', TRUE, 2, 0.5e0, 0e0, 0.5e0, 1e0), ('gate', TRUE, 3, 0.5e0, 1e0, 0e0, 1e0), ('gate', TRUE, 4, 0e0, 1e0, 0e0, 0e0),
             ('yard', FALSE, 1, 0.5e0, 0.2e0, 0.95e0, 0.3e0), ('yard', FALSE, 2, 0.95e0, 0.3e0, 0.7e0, 0.6e0), ('yard', FALSE, 3, 0.7e0, 0.6e0, 0.9e0, 0.95e0),
             ('yard', FALSE, 4, 0.9e0, 0.95e0, 0.55e0, 0.9e0), ('yard', FALSE, 5, 0.55e0, 0.9e0, 0.5e0, 0.2e0)
@@ -91,9 +91,9 @@ VIEWS = {
                CAST(c_custkey AS DOUBLE) AS first_seen, CAST(c_custkey * 2 AS DOUBLE) AS last_seen
         FROM {customer} WHERE c_custkey % 9 <> 0
     """,
-    "v_gt": "SELECT camera_id, frame, DIV(track_id | 12) AS id, x1, y1, x2, y2, label FROM {v_det}",
+    "v_gt": "SELECT camera_id, frame, DIV(track_id | 3) AS id, x1, y1, x2, y2, label FROM {v_det}",
     "v_pred": """
-        SELECT camera_id, frame, track_id, CASE WHEN track_id % 3 = 0 AND frame - (track_id * 37) % 9000 >= 60 THEN track_id + 1 ELSE track_id END AS id, x1 + track_id % 7 AS x1, y1, x2 + track_id % 7 AS x2, y2
+        SELECT camera_id, frame, track_id, CASE WHEN track_id % 3 = 0 AND frame - DIV(track_id | 2) >= 15 THEN -track_id ELSE track_id END AS id, x1 + track_id % 7 AS x1, y1, x2 + track_id % 7 AS x2, y2
         FROM {v_det} WHERE (frame + track_id) % 17 <> 0
     """,
     "v_plate_reads": """
