@@ -81,7 +81,8 @@ def sets(texts):
     return out
 
 
-def brute(texts):
+def brute(texts, groups=False):
+    """(id, size, component) of each text; with groups, a number of the component in place of its least id."""
     own = sets(texts)
     top = list(range(len(own)))
 
@@ -94,6 +95,8 @@ def brute(texts):
         for b in range(a):
             if own[a] and own[b] and 100 * len(own[a] & own[b]) >= 75 * len(own[a] | own[b]):
                 top[find(a)] = find(b)
+    if groups:
+        return [(i, len(own[n]), find(n)) for n, (i, _) in enumerate(texts)]
     ids = defaultdict(list)
     for n, (i, _) in enumerate(texts):
         if i is not None:
@@ -112,11 +115,36 @@ def test_jaccard_of_an_empty_table(empty):
     assert ngram_join.jaccard_components(empty).count() == 0
 
 
-def test_keep_one_of_each(docs, texts):
-    kept = ngram_join.keep_one_of_each(docs.where("doc_id is not null"))
-    gone = {i for i, n, c in brute([t for t in texts if t[0] is not None]) if i != c}
+def test_keep_one_of_each(spark, docs, texts):
+    kept = ngram_join.keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in texts if i is not None and i not in gone)
+    groups = {}
+    for (i, _), (_, n, c) in zip(texts, brute(texts, True), strict=True):
+        groups.setdefault(c if n else object(), []).append(i)
+    want = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
+    assert sorted(map(str, want)) == sorted(str(r["doc_id"]) for r in kept.collect())
+    rows = [(None, "a b c d e f", 1, 1, 1), (7, "a b c d e f", 2, 2, 2), (8, "A b c d e f", 3, 3, 3), (7, "a b c d e f", 4, 4, 4), (None, None, 5, 5, 5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key int, row int, gone int")
+    got = ngram_join.keep_one_of_each(table)
+    assert got.columns == table.columns and sorted(str(r["doc_id"]) for r in got.collect()) == ["7", "None"]
+    assert ngram_join.keep_one_of_each(table.where("false")).count() == 0
+
+
+def test_hot_sets_and_labels(spark, monkeypatch, texts, docs):
+    monkeypatch.setattr(skew, "HOT_ROWS", 2)
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(key, ngram_join.jaccard_components(docs).collect())) == sorted(map(key, brute(texts)))
+
+
+def test_trie_is_fast_on_unlinked_sets():
+    import time
+
+    rng = np.random.default_rng(5)
+    # neighbours share a part of their rare shingles, but no two sets link
+    own = [np.unique(np.concatenate((rng.integers(0, 1 << 40, 100), np.arange(60 * i, 60 * i + 100)))) for i in range(2000)]
+    began = time.time()
+    assert not ngram_join.trie_links(np.arange(2000), np.arange(2000), [len(x) for x in own], own, 75, 100)
+    assert time.time() - began < 2
 
 
 def test_trie_finds_every_component():
@@ -125,7 +153,8 @@ def test_trie_finds_every_component():
         base = [set(rng.integers(0, 60, rng.integers(3, 14)).tolist()) for _ in range(4)]
         own = [s ^ set(rng.integers(0, 60, rng.integers(0, 3)).tolist()) for s in base for _ in range(4)]
         own = [s or {1} for s in own]
-        links = ngram_join.trie_links(np.arange(16), np.arange(16), np.array([len(s) for s in own]), [np.array(sorted(s)) for s in own], 75, 100)
+        counts = [np.array([t % 7 for t in sorted(s)]) for s in own] if rng.random() < 0.5 else None
+        links = ngram_join.trie_links(np.arange(16), np.arange(16), np.array([len(s) for s in own]), [np.array(sorted(s)) for s in own], 75, 100, counts=counts)
         top = list(range(16))
 
         def find(x, top=top):

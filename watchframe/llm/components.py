@@ -1,35 +1,5 @@
-"""Connected components of an edge table, as joins and aggregates."""
+"""Connected components, as the whole library uses them."""
 
-from __future__ import annotations
+from ..helpers.components import connected_components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .storage import materialise
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest reachable node for each node of `edges` (columns a, b): columns node, label.
-
-    Alternates large-star and small-star steps (Kiveris et al., 2014) until the edges are stars. Each
-    step is an aggregate with map-side combination and one join; a hub's rows are never gathered in a
-    list. Lineage is cut after each round through the shared folder.
-    """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    for _ in range(max_rounds):
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
-        e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
-    )
+__all__ = ["connected_components"]

@@ -13,15 +13,17 @@ Plan
 3. Exact document frequencies of the remaining sets' shingles give the global order. A set with less
    than 75 % shared shingles leaves. The rest are grouped by their rare prefix shingles into candidate
    groups, as components over star edges, not pairs.
-4. Each group's sets go into tries in global order (common shingles first), one trie for each component
-   found so far. A set is compared with a trie until its first match, since one link joins the whole
-   component; partial overlaps are shared along paths, and a subtree is left when its remaining length
-   cannot reach the needed overlap.
-   Groups above a size go in blocks: tries within blocks, then among one set of each component, then
-   blocks against blocks for sets that are still in different components. No pair is given up.
-
-Only 64-bit shingle hashes are compared; two different shingles of one pair of sets share a hash with a
-probability of about 2**-64.
+4. Each group's sets go into one trie in the global order, rare shingles first, with a dictionary from each
+   prefix shingle to the nodes that hold it. A set enters the trie only at nodes of its own prefix
+   shingles; from there partial overlaps are shared along the paths, and a subtree is left when its
+   remaining length cannot reach the needed overlap. A set is compared with a component found so far
+   until its first match, since one link joins the whole component.
+   Groups above a size go in blocks: a trie for each block, then tries among one set of each component,
+   then pairs of blocks for sets that are still in different components. Of these, a set goes only to the
+   blocks that hold a prefix shingle of it in another component. No pair is given up.
+
+Shingles are compared by 64-bit hashes; two different shingles of one pair of sets share a hash with a
+probability of about 2**-64. Sets are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -35,13 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .skew import hot_keys, join_split
 from .storage import materialise, partitions_for, small_batches
 from .textops import shingle_sets
 
 #: Postings held by a map task before they are packed and sent.
 FLUSH = 1_000_000
 #: Shingles of one trie task; larger groups are cut in blocks of this size.
-BLOCK = 2_000_000
+BLOCK = 200_000
 
 _POSTS = "bucket int, kind int, doc_id long, n long, sig long, sig2 long, tokens binary, sigs binary, runs binary"
 _FACTS = "kind int, doc_id long, n long, sig long, sig2 long"
@@ -219,144 +222,162 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [s.view(np.int64) for s in shingle_sets(_utf8(batch.column(0)), width)]
-            sids = [_digest(s)[0] for s in found]
+            sigs = np.array([_digest(s) for s in found], np.int64).reshape(-1, 2)
             ends = np.cumsum([0] + [len(s) for s in found])
             flat = np.concatenate(found) if found else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(sids, pa.int64()), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["sid", "n", "tokens"]
+                [pa.array(sigs[:, 0]), pa.array(sigs[:, 1]), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
+                ["sig", "sig2", "n", "tokens"],
             )
 
     return run
 
 
 class _Node:
-    __slots__ = ("seg", "next", "ends", "rest", "least", "most")
+    """Ranks [low, high) of a path, which many sets may share; longest, least and most are of the sets below."""
 
-    def __init__(self, seg):
-        self.seg, self.next, self.ends = seg, [], []
-        self.rest, self.least, self.most = 0, np.inf, 0
+    __slots__ = ("path", "low", "high", "above", "kids", "ends", "longest", "least", "most", "live")
 
+    def __init__(self, path, low: int, high: int, above):
+        self.path, self.low, self.high, self.above = path, low, high, above
+        self.kids, self.ends = {}, []
+        self.longest, self.least, self.most, self.live = 0, 1 << 62, 0, False
 
-class _Trie:
-    """Sets of ascending ranks with shared beginnings; each node knows its longest rest and its set sizes."""
 
-    def __init__(self):
-        self.root = _Node(np.empty(0, np.int64))
+class Trie:
+    """All sets of a group by ascending ranks. `live` sets are those that later ones are compared with."""
 
-    def add(self, ranks: np.ndarray, n: int, who: int) -> None:
-        node, at = self.root, 0
+    def __init__(self, ranks: list[np.ndarray], sizes: list[int], prefixes: list[int]):
+        self.ranks, self.sizes, self.prefixes = ranks, sizes, prefixes
+        self.root = _Node(np.empty(0, np.int64), 0, 0, None)
+        self.home: list[_Node] = [self.root] * len(ranks)
+        #: rank -> component -> {node: place of the rank in its path}, for live sets' prefixes
+        self.holders: dict[int, dict[int, dict[_Node, int]]] = {}
+        self.alive = np.zeros(len(ranks), bool)
+        for i, r in enumerate(ranks):
+            self._add(i, r)
+
+    def _add(self, i: int, r: np.ndarray) -> None:
+        node, n = self.root, self.sizes[i]
         while True:
-            node.rest = max(node.rest, len(ranks) - at)  # below this node's own segment
-            node.least, node.most = min(node.least, n), max(node.most, n)
-            if at == len(ranks):
-                node.ends.append((n, who))
-                return
-            for i, child in enumerate(node.next):
-                if child.seg[0] == ranks[at]:
-                    m = min(len(child.seg), len(ranks) - at)
-                    differ = np.flatnonzero(child.seg[:m] != ranks[at : at + m])
-                    same = int(differ[0]) if len(differ) else m
-                    if same < len(child.seg):  # split the child
-                        top = _Node(child.seg[:same])
-                        child.seg = child.seg[same:]
-                        top.next, top.rest, top.least, top.most = [child], child.rest + len(child.seg), child.least, child.most
-                        node.next[i] = child = top
-                    node, at = child, at + same
-                    break
-            else:
-                leaf = _Node(ranks[at:])
-                leaf.least = leaf.most = n
-                leaf.ends.append((n, who))
-                node.next.append(leaf)
-                return
-
-    def match(self, has: np.ndarray, before: np.ndarray, size: int, n: int, num: int, den: int) -> int | None:
-        """Some set of this trie that links with the probe, or None.
-
-        has: which ranks the probe holds; before[r]: how many of them are below r; size: all of them;
-        n: the probe's whole size.
-        """
+            node.longest, node.least, node.most = max(node.longest, len(r)), min(node.least, n), max(node.most, n)
+            at = node.high
+            if at == len(r):
+                break
+            kid = node.kids.get(int(r[at]))
+            if kid is None:
+                kid = node.kids[int(r[at])] = _Node(r, at, len(r), node)
+                continue
+            end = min(kid.high, len(r))
+            differ = np.flatnonzero(kid.path[at:end] != r[at:end])
+            same = at + int(differ[0]) if len(differ) else end
+            if same < kid.high:  # nodes are only split before any of them is live
+                top = node.kids[int(r[at])] = _Node(kid.path, at, same, node)
+                top.longest, top.least, top.most = kid.longest, kid.least, kid.most
+                top.kids[int(kid.path[same])] = kid
+                kid.low, kid.above = same, top
+                kid = top
+            node = kid
+        node.ends.append(i)
+        self.home[i] = node
+
+    def enliven(self, i: int, component: int) -> None:
+        """Later sets meet set i, under the prefix ranks that it holds."""
+        self.alive[i] = True
+        node, prefix = self.home[i], self.prefixes[i]
+        while node is not None:
+            node.live = True
+            for at in range(node.low, min(node.high, prefix)):
+                self.holders.setdefault(int(node.path[at]), {}).setdefault(component, {})[node] = at
+            node = node.above
+
+    def match(self, i: int, node: _Node, at: int, has: np.ndarray, num: int, den: int, wanted) -> int | None:
+        """A live set below node that links with set i and is wanted, if their first shared rank is at `at`."""
+        if has[node.path[:at]].any():  # they share an earlier one, and meet there
+            return None
+        mine, n = self.ranks[i], self.sizes[i]
         low, high = -(-num * n // den), n * den // num
-        todo = [(self.root, 0)]
+        todo = [(node, at, 0)]
         while todo:
-            node, got = todo.pop()
-            if node.least > high or node.most < low:
+            node, at, got = todo.pop()
+            if not node.live or node.least > high or node.most < low:
                 continue
-            if len(node.seg):
-                got += int(np.count_nonzero(has[node.seg]))
-                left = size - int(before[node.seg[-1] + 1])
-            else:
-                left = size
+            got += int(np.count_nonzero(has[node.path[at : node.high]]))
+            left = len(mine) - int(np.searchsorted(mine, node.path[node.high - 1], "right"))
             # |A & B| * (num + den) >= num * (|A| + |B|), for the smallest size below
-            if (got + min(left, node.rest)) * (num + den) < num * (n + max(node.least, low)):
+            if (got + min(left, node.longest - node.high)) * (num + den) < num * (n + max(node.least, low)):
                 continue
-            for m, who in node.ends:
-                if got * (num + den) >= num * (n + m):
-                    return who
-            todo.extend((child, got) for child in reversed(node.next))
+            for k in node.ends:
+                if self.alive[k] and got * (num + den) >= num * (n + self.sizes[k]) and wanted(k):
+                    return k
+            todo.extend((kid, kid.low, got) for kid in node.kids.values())
         return None
 
 
-def trie_links(sids, labels, sizes, tokens: list[np.ndarray], num: int, den: int, sides=None) -> list[tuple[int, int]]:
+def trie_links(sids, labels, sizes, tokens: list[np.ndarray], num: int, den: int, sides=None, counts: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """Links that join the components among some sets; sets with one label are in one already.
 
-    With sides, only sets of different sides are compared.
+    counts: how often each token occurs anywhere, which gives the global order (without it: in these
+    sets). With sides, only sets of different sides are compared.
     """
     if not len(sids):
         return []
-    flat, inverse = np.unique(np.concatenate(tokens), return_inverse=True)
-    order = np.lexsort((flat, -np.bincount(inverse)))  # common shingles first
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    flat, first, inverse = np.unique(np.concatenate(tokens), return_index=True, return_inverse=True)
+    often = np.bincount(inverse) if counts is None else np.concatenate(counts)[first]
+    rank = np.empty(len(flat), np.int64)
+    rank[np.lexsort((flat, often))] = np.arange(len(flat))  # rare shingles first
     ranks = [np.sort(x) for x in np.split(rank[inverse], np.cumsum([len(t) for t in tokens])[:-1])]
-    has = np.zeros(len(flat), bool)
-    links, parts = [], {}  # component -> {side: [tries]}
-    home = {}  # label -> component
+    sizes = [int(n) for n in sizes]
+    # shingles that no other set anywhere holds are not among the tokens; they stand before all others
+    trie = Trie(ranks, sizes, [max(0, len(r) + 1 - needed(n, num, den)) for r, n in zip(ranks, sizes, strict=True)])
+    home: dict[int, int] = {}
 
-    def find(x):
+    def find(x: int) -> int:
         while home[x] != x:
             home[x] = home[home[x]]
             x = home[x]
         return x
 
-    for i in np.lexsort((sids, sizes)):
-        r, n, side = ranks[i], int(sizes[i]), 0 if sides is None else int(sides[i])
-        label = int(labels[i])
-        home.setdefault(label, label)
-        mine = find(label)
+    labels = [int(x) for x in labels]
+    for x in labels:
+        home[x] = x
+    has, links = np.zeros(len(flat), bool), []
+    for i in np.lexsort((sids, sizes)).tolist():
+        r, label = ranks[i], labels[i]
         has[r] = True
-        before = np.concatenate(([0], np.cumsum(has)))
-        for other in list(parts):
-            mine = find(label)
-            if other == mine or other not in parts:
+        wanted = lambda k: find(labels[k]) != find(label) and (sides is None or sides[k] != sides[i])  # noqa: B023, E731
+        for x in r[: trie.prefixes[i]].tolist():
+            holders = trie.holders.get(x)
+            if not holders:
                 continue
-            tries = [t for s, ts in parts[other].items() for t in ts if sides is None or s != side]
-            hit = next((h for t in tries if (h := t.match(has, before, len(r), n, num, den)) is not None), None)
-            if hit is not None:
-                links.append((int(sids[i]), hit))
-                root, gone = other, mine
-                home[gone] = root
-                for s, ts in parts.pop(gone, {}).items():
-                    parts[root].setdefault(s, []).extend(ts)
+            for component in list(holders):
+                now = find(component)
+                if now != component:  # it has become part of another one
+                    holders.setdefault(now, {}).update(holders.pop(component))
+            for component in list(holders):
+                if find(component) == find(label):
+                    continue
+                for node, at in holders[component].items():
+                    k = trie.match(i, node, at, has, num, den, wanted)
+                    if k is not None:
+                        links.append((int(sids[i]), int(sids[k])))
+                        home[find(label)] = find(labels[k])
+                        break
         has[r] = False
-        mine = find(label)
-        tries = parts.setdefault(mine, {}).setdefault(side, [])
-        if not tries:
-            tries.append(_Trie())
-        tries[0].add(r, n, int(sids[i]))
+        trie.enliven(i, find(label))
     return links
 
 
 def _link_groups(num: int, den: int, two_sided: bool):
-    """Rows (key, side, label, sid, n, tokens), sorted by key, to links of each key's sets."""
+    """Rows (key, side, label, sid, n, tokens, counts), sorted by key, to links of each key's sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
         def solve() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
-                sides, labels, sids, sizes, tokens = zip(*rows, strict=True)
-                links = trie_links(np.array(sids), np.array(labels), np.array(sizes), list(tokens), num, den, np.array(sides) if two_sided else None)
+                sides, labels, sids, sizes, tokens, counts = zip(*rows, strict=True)
+                links = trie_links(np.array(sids), np.array(labels), np.array(sizes), list(tokens), num, den, np.array(sides) if two_sided else None, list(counts))
                 if links:
                     a, b = zip(*links, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -364,21 +385,23 @@ def _link_groups(num: int, den: int, two_sided: bool):
 
         for batch in batches:
             keys, sides, labels, sids, sizes = (batch.column(i).to_pylist() for i in range(5))
-            flat, at = batch.column(5).flatten().to_numpy(), batch.column(5).offsets.to_numpy()
+            tokens, at = batch.column(5).flatten().to_numpy(), batch.column(5).offsets.to_numpy()
+            counts = batch.column(6).flatten().to_numpy()
             at = at - at[0]
             for i, k in enumerate(keys):
                 if k != key:
                     yield from solve()
                     key = k
-                rows.append((sides[i], labels[i], sids[i], sizes[i], flat[at[i] : at[i + 1]]))
+                part = slice(at[i], at[i + 1])
+                rows.append((sides[i], labels[i], sids[i], sizes[i], tokens[part].copy(), counts[part].copy()))
         yield from solve()
 
     return run
 
 
 def _solve(groups: DataFrame, num: int, den: int, two_sided: bool = False) -> DataFrame:
-    """groups: key, side, label, sid, n, tokens."""
-    rows = groups.select("key", "side", "label", "sid", "n", "tokens").repartition("key").sortWithinPartitions("key")
+    """groups: key, side, label, sid, n, tokens, counts."""
+    rows = groups.select("key", "side", "label", "sid", "n", "tokens", "counts").repartition("key").sortWithinPartitions("key")
     return rows.mapInArrow(_link_groups(num, den, two_sided), "a long, b long")
 
 
@@ -388,7 +411,7 @@ def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _pair_links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links that join all components among candidate groups: sets has comp, sid, n, tokens."""
+    """Links that join all components among candidate groups: sets has comp, sid, n, ahead, tokens, counts."""
     sizes = sets.groupBy("comp").agg(F.sum(F.size("tokens")).alias("load"), F.count("*").alias("members"))
     blocks = F.ceil(F.col("load") / F.lit(block)).cast("int")
     sets = sets.join(sizes.where("members > 1").select("comp", blocks.alias("blocks")), "comp")
@@ -403,18 +426,23 @@ def _pair_links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
     while True:
         large = materialise(_labelled(large, links))
         heads = large.where("sid = label")
-        load = heads.groupBy("comp").agg(F.sum(F.size("tokens")).alias("load"))
+        load = heads.groupBy("comp").agg(F.sum(F.size("tokens")).alias("load"), F.count("*").alias("members")).where("members > 1")
         heads = heads.drop("blocks", "block").join(load, "comp").withColumn("blocks", F.ceil(F.col("load") / block).cast("int"))
         heads = heads.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), "blocks")).withColumn("side", F.lit(0))
         more = materialise(_solve(shape(heads, F.xxhash64("comp", "block")), num, den))
         if more.isEmpty():
             break
         links = materialise(links.unionByName(more))
-    # what is left in several components of one group: blocks against blocks
+    # what is left in several components of one group: pairs of blocks
     open_ = large.groupBy("comp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("comp")
-    rest = large.join(open_, "comp")
-    spread = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("side", (F.col("block") > F.col("other")).cast("int")).where("block <> other")
+    rest = materialise(large.join(open_, "comp"))
+    if rest.isEmpty():
+        return links
+    posts = rest.select("comp", "sid", "block", "label", F.explode(F.slice("tokens", F.lit(1), F.col("ahead"))).alias("token"))
+    # prefix shingles of several components, and the blocks (never more than the group has) that hold them
+    held = posts.groupBy("comp", "token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("block").alias("others")).where("x <> y AND size(others) > 1")
+    meets = posts.join(held, ["comp", "token"]).select("sid", "block", F.explode("others").alias("other")).where("block <> other").select("sid", "other").distinct()
+    spread = rest.join(meets, "sid").withColumn("side", (F.col("block") > F.col("other")).cast("int"))
     key = F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other"))
     return links.unionByName(_solve(shape(spread, key), num, den, two_sided=True))
 
@@ -425,7 +453,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Columns: id_col, n_shingles, component_id. Null and empty texts, and texts without words, have no
     shingle and link with nothing, not even with each other. Rows with equal sets link. Repeated rows
     and repeated ids each keep their row; component_id is the least id of the linked rows (null where
-    all of them are null). Other columns are not read. An empty table gives an empty result.
+    all of them are null). Texts are read whole, however long they are. Other columns, whatever their
+    names, are not read. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -437,44 +466,54 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     low = F.ceil(F.lit(num) * F.col("n") / den)
     enough = F.greatest(F.lit(1), F.floor(low / 4))  # spare() of the smallest possible partner
     heads = members.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    heads = materialise(heads.join(shared, "sig").where(F.col("shared") >= enough).select("sig", "sig2", "doc_id"))
+    heads = heads.join(shared, "sig").where(F.col("shared") >= enough).select("sig", "sig2", "doc_id")
+    # a set's number, once written, stands for its 128 bits
+    heads = materialise(heads.withColumn("sid", F.monotonically_increasing_id()))
     # ids may repeat, and be null, so a set is known by its digest, and one reading of each is kept
     wanted = heads.select(F.col("doc_id").alias("head_id")).distinct()
     # always by shuffle: the list of ids grows with the table
     again = src.join(wanted.hint("merge"), src["doc_id"].eqNullSafe(wanted["head_id"]), "left_semi").select("text")
-    sets = again.mapInArrow(_sets(width), "sid long, n long, tokens array<long>")
-    if not members.groupBy("doc_id").count().where("count > 1").isEmpty():
-        # repeated ids bring other sets along, or one set several times
-        sets = sets.join(heads.select(F.col("sig").alias("sid")), "sid", "left_semi").dropDuplicates(["sid"])
-    sets = materialise(sets)
+    sets = again.mapInArrow(_sets(width), "sig long, sig2 long, n long, tokens array<long>").dropDuplicates(["sig", "sig2"])
+    sets = materialise(sets.join(heads.select("sig", "sig2", "sid").hint("merge"), ["sig", "sig2"]).select("sid", "n", "tokens"))
     # exact document frequencies among what is left; a shingle of one set only counts in n
     posts = sets.select("sid", "n", F.explode("tokens").alias("token"))
-    df = posts.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    df = posts.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     ordered = posts.join(df, "token").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     ordered = ordered.where(F.size("common") >= F.ceil(F.lit(num) * F.col("n") / den))
     # the rare shingles of the set that come before its common ones take up places of the prefix
     ahead = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1 - (F.col("n") - F.size("common"))
-    ordered = materialise(ordered.select("sid", "n", F.col("common.token").alias("tokens"), ahead.cast("int").alias("ahead")))
+    ordered = materialise(ordered.select("sid", "n", F.col("common.token").alias("tokens"), F.col("common.df").alias("counts"), ahead.cast("int").alias("ahead")))
     prefix = ordered.select("sid", F.explode(F.slice("tokens", F.lit(1), F.col("ahead"))).alias("token"))
     star = prefix.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("token", "a")
     edges = prefix.join(star, "token").select("a", F.col("sid").alias("b")).where("a <> b")
     comps = connected_components(edges).select(F.col("node").alias("sid"), F.col("label").alias("comp"))
-    links = materialise(_pair_links(ordered.select("sid", "n", "tokens").join(comps, "sid"), num, den, block))
-    labels = connected_components(links).select(F.col("node").alias("sig"), "label")
-    firsts = members.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("first_id"))
-    firsts = firsts.join(labels, "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    least = firsts.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    found = firsts.join(least, "label").select("sig", "component_id")
-    out = members.join(found, "sig", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    links = materialise(_pair_links(ordered.join(comps, "sid"), num, den, block))
+    labels = connected_components(links).select(F.col("node").alias("sid"), "label")
+    firsts = members.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("held"))
+    linked = heads.select("sig", "sig2", "sid").join(labels, "sid").select("sig", "sig2", "label")
+    firsts = materialise(firsts.join(linked, ["sig", "sig2"], "left"))
+    joined = firsts.where("label IS NOT NULL")
+    least = materialise(joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held")))
+    found = join_split(joined.drop("held"), least.drop("held"), ["label"], "inner", hot_keys(joined, ["label"], least)).select("sig", "sig2", "component_id")
+    found = found.unionByName(firsts.where("label IS NULL").select("sig", "sig2", F.col("first_id").alias("component_id")))
+    full = members.where("n > 0")
+    out = join_split(full, found, ["sig", "sig2"], "inner", hot_keys(full, ["sig", "sig2"], firsts)).select("doc_id", "n", "component_id")
+    out = out.unionByName(members.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+    return out.select(F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that link, directly or over others, with a row of a smaller id.
+    """One row of each group of rows that link, directly or over others: that of the smallest id.
 
-    Rows without shingles stay. Rows that share an id stay or go together.
+    Null ids come last; of rows that repeat the smallest id one stays. Rows without shingles stay. All
+    columns, whatever their names, are returned; an empty table gives an empty result.
     """
-    found = jaccard_components(docs, id_col, text_col)
-    gone = found.where(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = materialise(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*columns).alias("row")))
+    found = jaccard_components(keyed.select("key", F.col("row")[text_col].alias("text")), "key", "text").where("n_shingles > 0")
+    found = found.join(keyed.select("key", F.col("row")[id_col].alias("id")), "key").select(F.col("component_id").alias("group"), F.struct(F.col("id").isNull().alias("none"), "id", "key").alias("rank"))
+    found = materialise(found)
+    groups = found.groupBy("group").agg(F.min("rank").alias("first"), F.count("*").alias("held"))
+    groups = materialise(groups.where("held > 1"))
+    gone = join_split(found, groups.drop("held"), ["group"], "inner", hot_keys(found, ["group"], groups)).where("rank.key <> first.key").select(F.col("rank.key").alias("gone"))
+    return keyed.join(gone, keyed["key"] == gone["gone"], "left_anti").select("row.*")

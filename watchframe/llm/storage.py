@@ -3,30 +3,21 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..helpers.tables import write_again
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where none is set (tests), the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
-    return folder.rstrip("/")
+#: Writes a frame into the application's shared folder and reads it back; the files outlive every executor.
+materialise = write_again
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back.
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1,000 rows in this session, as whole texts are long rows.
 
-    Unlike a cached or locally checkpointed frame, the files outlive every executor.
+    Frames are worked out after their function returns, so the setting stays; it only ever gets smaller.
     """
-    path = f"{shared_folder(df.sparkSession)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 1,000 rows from here on in this session: whole texts are long rows."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= 1000:
         spark.conf.set(name, "1000")
