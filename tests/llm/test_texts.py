@@ -229,6 +229,6 @@ def test_fits_read_bounded_rows_of_repeated_ids(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(toxicity, "train", lambda texts, labels, **_: seen.append(texts))
     monkeypatch.setattr(language_id, "train", lambda texts, labels, **_: seen.append(texts))
-    toxicity.fit(table, spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int"), most=8)
+    toxicity.fit(table, spark.createDataFrame([(i, i % 2) for i in range(1, 5)], "doc_id long, toxic int"), most=8, lang_col=None)
     language_id.fit(table, most=8)
     assert len(seen) == 2 and all(len(t) == 8 and max(map(len, t)) < 100 for t in seen)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import small_batches
-from .textops import _NON_LETTER, Words, mix, slices
+from .textops import _NON_LETTER, Words, in_pieces, mix, slices
 
 BUCKETS = 1 << 15
 DIM = 16
@@ -72,8 +72,14 @@ class Model:
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """Row of calibrated probabilities for each text; texts without letters have equal ones."""
         rows = []
-        for i, j in slices(texts):
-            sums, counts = _summed(texts[i:j], self.table)
+        for i, j in slices(texts) if texts else ():
+            parts, first = in_pieces(texts[i:j], letters_only=True)
+            sums, counts = np.zeros((j - i, self.table.shape[1])), np.zeros(j - i)
+            for a, b in slices(parts):  # a very long text is summed up piece by piece
+                s, c = _summed(parts[a:b], self.table)
+                owner = np.searchsorted(first, np.arange(a, b), side="right") - 1
+                np.add.at(sums, owner, s)
+                np.add.at(counts, owner, c)
             z = (sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
             z[counts == 0] = 0
             e = np.exp(z - z.max(1, keepdims=True))
@@ -147,7 +153,9 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """id_col, held_out, lang_pred, score, rejected for each row of docs.
 
     lang_pred is `und`, with score 0, for texts that are null or have no letter, and where the model has
-    learned no language. rejected: `und`, or less sure than calibration supports. Rows keep their number.
+    learned no language. rejected: `und`, or less sure than calibration supports. Rows keep their number,
+    repeated and null ids too. Very long texts are read whole, in pieces. Other columns, whatever their
+    names, are not read; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights

@@ -63,12 +63,47 @@ def slices(texts: Iterable[bytes]) -> Iterator[tuple[int, int]]:
         yield start, at + 1
 
 
+def gaps(letters_only: bool) -> np.ndarray:
+    """Which byte values separate words."""
+    return _NON_LETTER if letters_only else _SPACE
+
+
+def pieces(text: bytes, gap: np.ndarray, overlap: int = 0, most: int | None = None) -> list[bytes]:
+    """The text in parts of about `most` bytes, cut between words; each part begins with the last `overlap` words of the one before.
+
+    So a very long text never needs temporary arrays of its own size. A word longer than `most` stays whole.
+    """
+    most = most or SLICE_BYTES
+    if len(text) <= most:
+        return [text]
+    data, out, at = np.frombuffer(text, np.uint8), [], 0
+    while len(text) - at > most:
+        free = np.flatnonzero(gap[data[at : at + most]])
+        end = at + int(free[-1]) + 1 if len(free) else at + most
+        while not len(free) and end < len(text):  # one word fills the part
+            more = np.flatnonzero(gap[data[end : end + most]])
+            end = end + int(more[0]) + 1 if len(more) else min(len(text), end + most)
+            if len(more):
+                break
+        out.append(text[at:end])
+        edges = np.flatnonzero(np.diff(gap[data[at:end]], prepend=True))[0::2] if overlap else ()
+        at = at + int(edges[-overlap]) if overlap and len(edges) > overlap else end
+    return [*out, text[at:]] if at < len(text) else out
+
+
+def in_pieces(texts: list[bytes], letters_only: bool, overlap: int = 0) -> tuple[list[bytes], np.ndarray]:
+    """All texts' pieces in order, and the place of each text's first one."""
+    gap = gaps(letters_only)
+    parts = [pieces(t, gap, overlap) for t in texts]
+    return [p for ps in parts for p in ps], np.cumsum([0] + [len(ps) for ps in parts])[:-1]
+
+
 class Words:
     """The words of some texts: byte range, hash and count for each text."""
 
     def __init__(self, texts: list[bytes], letters_only: bool = False):
         data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        gap = (_NON_LETTER if letters_only else _SPACE)[data]
+        gap = gaps(letters_only)[data]
         self.lower = _LOWER[data]
         edge = np.flatnonzero(np.diff(gap, prepend=True))
         self.start, self.end = edge[0::2], edge[1::2]
@@ -98,23 +133,29 @@ def shingle_sets(texts: list[bytes], width: int = 5) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit hashes of each text's word shingles.
 
     Words are runs of non-white-space, A-Z lower-cased. A text of fewer words than `width` has its
-    whole sequence as its one shingle; a text without words has none.
+    whole sequence as its one shingle; a text without words has none. Of a very long text only word and
+    shingle hashes are held at once (about 8 bytes a word each, and as much to sort them).
     """
     places = [_U((_PLACES[i % 5] + 2 * (i // 5)) % 2**64) for i in range(width)]
     for lo, hi in slices(texts):
-        w = Words(texts[lo:hi])
-        n = len(w.hash)
+        if hi - lo == 1 and len(texts[lo]) > SLICE_BYTES:
+            words = np.concatenate([Words([p]).hash for p in pieces(texts[lo], _SPACE)])
+            first = np.array([0, len(words)])
+        else:
+            w = Words(texts[lo:hi])
+            words, first = w.hash, w.first
+        n = len(words)
         rolled = np.zeros(max(n - width + 1, 0), np.uint64)
         for i, p in enumerate(places):
-            rolled += w.hash[i : i + len(rolled)] * p
+            rolled += words[i : i + len(rolled)] * p
         rolled = mix(rolled)
-        for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+        for a, b in zip(first[:-1], first[1:], strict=True):
             if b - a >= width:
                 yield distinct(rolled[a : b - width + 1])
             elif b > a:
                 short = np.array([b - a], np.uint64)
                 for i in range(a, b):
-                    short = (short ^ w.hash[i]) * places[i - a]
+                    short = (short ^ words[i]) * places[i - a]
                 yield mix(short)
             else:
                 yield np.empty(0, np.uint64)
