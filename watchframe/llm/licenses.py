@@ -231,7 +231,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: i
     """
     key, text = F.col(id_col).cast("string"), F.col(text_col).cast("string")
     rows = docs.where(F.octet_length(text) <= most_bytes).select(key.alias("i"), text.alias("t"))
-    rows = rows.orderBy(F.xxhash64("i", F.lit(1)), "i", F.xxhash64("t")).limit(most)
+    # ids first, so that only the chosen rows' texts are read into the sample; then rows, as ids may repeat
+    order = [F.xxhash64("i", F.lit(1)), "i"]
+    rows = rows.join(F.broadcast(rows.select("i").distinct().orderBy(*order).limit(most)), "i").orderBy(*order, F.xxhash64("t")).limit(most)
     parts = F.flatten(F.transform(F.split("t", PARAGRAPH, -1), lambda p: F.split(p, SENTENCE, -1)))
     rows = rows.select("i", F.posexplode(parts).alias("k", "p")).where(F.col("p").rlike(r"(?U)\S"))
     rows = rows.orderBy(F.xxhash64("i", "k", "p"), "i", "k", "p").limit(sentences)
