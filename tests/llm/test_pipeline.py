@@ -1,9 +1,14 @@
+import hashlib
 from collections import defaultdict
 
+import numpy as np
+from tokenizers import Tokenizer
+
 import __spark_entry__
 import corpus_pipeline
 from watchframe.llm import toxicity
 from watchframe.llm.mixing import fair_mix
+from watchframe.llm.queries import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
 
@@ -63,7 +68,12 @@ def test_stages_equal_brute_force(spark):
         assert r == rows[r["doc_id"]]
     assert uses == want
     five = stage["bpe"](spark, four, SF)
-    assert five.count() == four.count()
+    own = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    want = []
+    for r in four.collect():
+        ids = own.encode(r["text"] or "", add_special_tokens=False).ids
+        want.append((r["doc_id"], len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(own.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(tuple(r) for r in five.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()) == sorted(want)
 
 
 def test_pipeline_is_registered(spark):
