@@ -161,11 +161,12 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     next text by ascending id; the last row's next is the first. Ids may repeat: rows of one id are in
     order of their texts. Null ids come first. Null texts are empty; texts without words have an empty
     fingerprint, alike 1 to another empty one and 0 to the rest. A lone row is its own next. Other
-    columns are not read; an empty table gives an empty result.
+    columns, whatever their names, are not read; an empty table gives an empty result. Very long texts are
+    read whole, in pieces.
 
-    The id range is cut at ids that the table holds into runs of about `run_rows` rows; the rows of
-    each cut id are copied to the run before, so each text crosses the network about once and each
-    row meets its next one without any global order in one task.
+    The id range is cut at ids that the table holds into runs of about `run_rows` rows; the first row of
+    each cut id is copied to the run before, so each text crosses the network about once and each row meets
+    its next one without any global order in one task. Rows that share one id are in one run.
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -179,12 +180,12 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = sorted({low, *cuts[0]} - ({cuts[2]} if cuts[2] != low else set()))
     key = F.coalesce("doc_id", F.lit(-(2**63)))
     own = src.withColumn("k", key).withColumn("run", _place(F.col("k"), edges))
-    # rows of a cut id also end the run before; those of the first cut end the last run
-    ahead = F.when(F.col("k") == F.lit(low), F.lit(len(edges))).otherwise(F.col("run") - 1)
     is_cut = F.col("k").isin(edges) if len(edges) < 50 else _element(F.col("k"), edges) == F.col("k")
-    places = F.when(is_cut, F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead")), F.struct(ahead.alias("run"), F.lit(True).alias("ahead"))))
-    places = places.otherwise(F.array(F.struct(F.col("run").alias("run"), F.lit(False).alias("ahead"))))
-    rows = own.select("doc_id", "k", "text", F.explode(places).alias("p")).select(F.col("p.run").alias("run"), "doc_id", "k", "text", F.col("p.ahead").alias("ahead"))
+    # the first row of a cut id also ends the run before; that of the first cut ends the last run
+    before = F.when(F.col("k") == F.lit(low), F.lit(len(edges))).otherwise(F.col("run") - 1)
+    heads = own.where(is_cut).groupBy("k", "run").agg(F.min(F.struct("text")).alias("first"), F.max("doc_id").alias("doc_id"))
+    heads = heads.select(before.alias("run"), "doc_id", "k", F.col("first.text").alias("text"), F.lit(True).alias("ahead"))
+    rows = own.select("run", "doc_id", "k", "text", F.lit(False).alias("ahead")).unionByName(heads)
     parts = max(int(src.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs // 2))
     dealt = rows.repartition(parts, "run").sortWithinPartitions("run", "ahead", "k", "text").select("run", "doc_id", "text", "ahead")
     return dealt.mapInArrow(_compare(bins, bits, width), _EDITED)
