@@ -346,6 +346,7 @@ def trie_links(sids, labels, sizes, tokens: list[np.ndarray], num: int, den: int
         r, label = ranks[i], labels[i]
         has[r] = True
         wanted = lambda k: find(labels[k]) != find(label) and (sides is None or sides[k] != sides[i])  # noqa: B023, E731
+        entered: set[_Node] = set()  # nothing below them links, as seen from an earlier shared rank
         for x in r[: trie.prefixes[i]].tolist():
             holders = trie.holders.get(x)
             if not holders:
@@ -358,8 +359,12 @@ def trie_links(sids, labels, sizes, tokens: list[np.ndarray], num: int, den: int
                 if find(component) == find(label):
                     continue
                 for node, at in holders[component].items():
+                    if node in entered:
+                        continue
                     k = trie.match(i, node, at, has, num, den, wanted)
-                    if k is not None:
+                    if k is None:
+                        entered.add(node)
+                    else:
                         links.append((int(sids[i]), int(sids[k])))
                         home[find(label)] = find(labels[k])
                         break
