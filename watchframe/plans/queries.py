@@ -1069,3 +1069,7 @@ def _f16(part, talk):
     from ..operators.query_log import parse_query_log
 
     return parse_query_log(query_log(part, talk), _ZONES, _CAMERAS)
+
+
+# readers, writers and streams register themselves with these
+from . import round_trips as _round_trips  # noqa: E402, F401
