@@ -373,8 +373,25 @@ def trie_links(sids, labels, sizes, tokens: list[np.ndarray], num: int, den: int
     return links
 
 
-def _link_groups(num: int, den: int, two_sided: bool):
-    """Rows (key, side, label, sid, n, tokens, counts), sorted by key, to links of each key's sets."""
+def joined_labels(labels, links: list[tuple[int, int]], sids) -> list[tuple[int, int]]:
+    """(label, least label that links join it with) of the labels that are not the least themselves."""
+    of = {int(s): int(x) for s, x in zip(sids, labels, strict=True)}
+    home = {x: x for x in of.values()}
+
+    def find(x: int) -> int:
+        while home[x] != x:
+            home[x] = home[home[x]]
+            x = home[x]
+        return x
+
+    for a, b in links:
+        x, y = find(of[a]), find(of[b])
+        home[max(x, y)] = min(x, y)
+    return [(x, find(x)) for x in home if find(x) != x]
+
+
+def _join_groups(num: int, den: int, two_sided: bool):
+    """Rows (key, side, label, sid, n, tokens, counts), sorted by key, to the labels that each key's sets join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
@@ -384,8 +401,8 @@ def _link_groups(num: int, den: int, two_sided: bool):
                 sides, labels, sids, sizes, tokens, counts = zip(*rows, strict=True)
                 links = trie_links(np.array(sids), np.array(labels), np.array(sizes), list(tokens), num, den, np.array(sides) if two_sided else None, list(counts))
                 if links:
-                    a, b = zip(*links, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    a, b = zip(*joined_labels(labels, links, sids), strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["node", "least"])
             rows.clear()
 
         for batch in batches:
@@ -404,52 +421,61 @@ def _link_groups(num: int, den: int, two_sided: bool):
     return run
 
 
-def _solve(groups: DataFrame, num: int, den: int, two_sided: bool = False) -> DataFrame:
-    """groups: key, side, label, sid, n, tokens, counts."""
-    rows = groups.select("key", "side", "label", "sid", "n", "tokens", "counts").repartition("key").sortWithinPartitions("key")
-    return rows.mapInArrow(_link_groups(num, den, two_sided), "a long, b long")
+def _solve(groups: DataFrame, key, num: int, den: int, two_sided: bool = False) -> DataFrame:
+    """groups: side, label, sid, n, tokens, counts, which meet by key. Written: node, least."""
+    rows = groups.select(key.alias("key"), "side", "label", "sid", "n", "tokens", "counts").repartition("key").sortWithinPartitions("key")
+    return materialise(rows.mapInArrow(_join_groups(num, den, two_sided), "node long, least long"))
 
 
-def _labelled(sets: DataFrame, links: DataFrame) -> DataFrame:
-    labels = connected_components(links).select(F.col("node").alias("sid"), F.col("label").alias("found"))
-    return sets.drop("label").join(labels, "sid", "left").withColumn("label", F.coalesce("found", "sid")).drop("found")
+def _relabelled(names: DataFrame, found: DataFrame) -> DataFrame:
+    """names (with label) after each label became the least one that it was joined with."""
+    return materialise(names.join(found, names["label"] == found["node"], "left").withColumn("label", F.coalesce("least", "label")).drop("node", "least"))
 
 
-def _pair_links(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links that join all components among candidate groups: sets has comp, sid, n, ahead, tokens, counts."""
+def _group_labels(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """(sid, label): the least set of each set's component, for those that are not it themselves.
+
+    sets: comp (candidate group), sid, n, ahead, tokens, counts.
+    """
     sizes = sets.groupBy("comp").agg(F.sum(F.size("tokens")).alias("load"), F.count("*").alias("members"))
     blocks = F.ceil(F.col("load") / F.lit(block)).cast("int")
     sets = sets.join(sizes.where("members > 1").select("comp", blocks.alias("blocks")), "comp")
     sets = sets.withColumn("block", F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("sid"), "blocks")).otherwise(F.lit(0)))
-    sets = materialise(sets.withColumn("label", F.col("sid")))
-    shape = lambda d, key: d.withColumn("key", key)
-    links = materialise(_solve(shape(sets.withColumn("side", F.lit(0)), F.xxhash64("comp", "block")), num, den))
+    sets = materialise(sets.withColumns({"label": F.col("sid"), "side": F.lit(0)}))
+    # all components within blocks; a group of one block is done
+    found = _solve(sets, F.xxhash64("comp", "block"), num, den)
     large = sets.where("blocks > 1")
     if large.isEmpty():
-        return links
-    # one set of each component that a block has found, until no round joins any
+        return found.select(F.col("node").alias("sid"), F.col("least").alias("label"))
+    names = _relabelled(large.select("comp", "sid", "block", "label"), found)
+    # one set of each component, again in blocks, until they fit one or join no more
+    heads = materialise(large.join(names.where("sid = label").select("sid"), "sid", "left_semi"))
     while True:
-        large = materialise(_labelled(large, links))
-        heads = large.where("sid = label")
         load = heads.groupBy("comp").agg(F.sum(F.size("tokens")).alias("load"), F.count("*").alias("members")).where("members > 1")
-        heads = heads.drop("blocks", "block").join(load, "comp").withColumn("blocks", F.ceil(F.col("load") / block).cast("int"))
-        heads = heads.withColumn("block", F.pmod(F.xxhash64("sid", F.lit(1)), "blocks")).withColumn("side", F.lit(0))
-        more = materialise(_solve(shape(heads, F.xxhash64("comp", "block")), num, den))
+        heads = materialise(heads.drop("blocks", "block").join(load.select("comp", F.ceil(F.col("load") / block).cast("int").alias("blocks")), "comp"))
+        mixed = F.pmod(F.xxhash64("sid", F.lit(1)), "blocks")
+        more = _solve(heads, F.xxhash64("comp", mixed), num, den)
         if more.isEmpty():
             break
-        links = materialise(links.unionByName(more))
+        names = _relabelled(names, more)
+        heads = materialise(heads.where("blocks > 1").join(more, F.col("sid") == F.col("node"), "left_anti"))
+        if heads.isEmpty():
+            break
     # what is left in several components of one group: pairs of blocks
-    open_ = large.groupBy("comp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("comp")
-    rest = materialise(large.join(open_, "comp"))
-    if rest.isEmpty():
-        return links
-    posts = rest.select("comp", "sid", "block", "label", F.explode(F.slice("tokens", F.lit(1), F.col("ahead"))).alias("token"))
-    # prefix shingles of several components, and the blocks (never more than the group has) that hold them
-    held = posts.groupBy("comp", "token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("block").alias("others")).where("x <> y AND size(others) > 1")
-    meets = posts.join(held, ["comp", "token"]).select("sid", "block", F.explode("others").alias("other")).where("block <> other").select("sid", "other").distinct()
-    spread = rest.join(meets, "sid").withColumn("side", (F.col("block") > F.col("other")).cast("int"))
-    key = F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other"))
-    return links.unionByName(_solve(shape(spread, key), num, den, two_sided=True))
+    open_ = names.groupBy("comp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("comp")
+    rest = materialise(large.drop("label").join(names.join(open_, "comp", "left_semi").select("sid", "label"), "sid"))
+    if not rest.isEmpty():
+        posts = rest.select("comp", "sid", "block", "label", F.explode(F.slice("tokens", F.lit(1), F.col("ahead"))).alias("token"))
+        # prefix shingles of several components, and the blocks (never more than the group has) that hold them
+        held = posts.groupBy("comp", "token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("block").alias("others")).where("x <> y AND size(others) > 1")
+        meets = posts.join(held, ["comp", "token"]).select("sid", "block", F.explode("others").alias("other")).where("block <> other").select("sid", "other").distinct()
+        spread = rest.drop("side").join(meets, "sid").withColumn("side", (F.col("block") > F.col("other")).cast("int"))
+        last = _solve(spread, F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")), num, den, two_sided=True)
+        if not last.isEmpty():
+            joined = connected_components(last.select(F.col("node").alias("a"), F.col("least").alias("b")))
+            names = _relabelled(names, joined.select("node", F.col("label").alias("least")))
+    small = found.join(large.select("sid"), found["node"] == large["sid"], "left_anti")
+    return small.select(F.col("node").alias("sid"), F.col("least").alias("label")).unionByName(names.where("sid <> label").select("sid", "label"))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100, width: int = 5, block: int = BLOCK) -> DataFrame:
@@ -492,10 +518,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     star = prefix.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("token", "a")
     edges = prefix.join(star, "token").select("a", F.col("sid").alias("b")).where("a <> b")
     comps = connected_components(edges).select(F.col("node").alias("sid"), F.col("label").alias("comp"))
-    links = materialise(_pair_links(ordered.join(comps, "sid"), num, den, block))
-    labels = connected_components(links).select(F.col("node").alias("sid"), "label")
+    labels = _group_labels(ordered.join(comps, "sid"), num, den, block)
     firsts = members.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("held"))
-    linked = heads.select("sig", "sig2", "sid").join(labels, "sid").select("sig", "sig2", "label")
+    # the least set of a component has no row of its own among the labels
+    linked = labels.unionByName(labels.select(F.col("label").alias("sid"), "label").distinct())
+    linked = heads.select("sig", "sig2", "sid").join(linked, "sid").select("sig", "sig2", "label")
     firsts = materialise(firsts.join(linked, ["sig", "sig2"], "left"))
     joined = firsts.where("label IS NOT NULL")
     least = materialise(joined.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("held")))
