@@ -42,7 +42,9 @@ from .storage import materialise, partitions_for, small_batches
 from .textops import shingle_sets
 
 #: Postings held by a map task before they are packed and sent.
-FLUSH = 1_000_000
+FLUSH = 500_000
+#: Buckets of postings that a task meets one after the other.
+BUCKETS = 4
 #: Shingles of one trie task; larger groups are cut in blocks of this size.
 BLOCK = 200_000
 
@@ -182,40 +184,53 @@ _POST_NAMES = [x.split()[0] for x in _POSTS.split(", ")]
 _FACT_NAMES = [x.split()[0] for x in _FACTS.split(", ")]
 
 
+def _shared_of(tokens: list[np.ndarray], sigs: list[np.ndarray], common: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of one bucket with how many of their postings in it are shared."""
+    t, s = np.concatenate(tokens), np.concatenate(sigs)
+    order = np.lexsort((s, t))
+    t, s = t[order], s[order]
+    keep = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
+    t, s = t[keep], s[keep]
+    group = np.cumsum(np.append(True, t[1:] != t[:-1])) - 1
+    shared = (np.bincount(group) > 1)[group]
+    if common:
+        shared |= np.isin(t, np.unique(np.concatenate(common)))
+    return np.unique(s[shared], return_counts=True)
+
+
 def _count_shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents and known counts pass; postings become (set, how many of its postings are shared)."""
-    tokens, sigs, common = [], [], []
+    """Documents and known counts pass; postings become (set, how many of its postings are shared).
+
+    Rows come sorted by bucket, and one bucket is held at a time.
+    """
+    bucket, tokens, sigs, common = None, [], [], []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if tokens:
+            who, times = _shared_of(tokens, sigs, common)
+            for i in range(0, len(who), 10_000):
+                j = min(i + 10_000, len(who))
+                none = pa.nulls(j - i, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, 2), pa.int32()), none, pa.array(times[i:j].astype(np.int64)), pa.array(who[i:j]), none], _FACT_NAMES)
+        tokens.clear(), sigs.clear(), common.clear()
+
     for batch in batches:
-        kind = batch.column(1).to_numpy()
+        buckets, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         plain = np.flatnonzero((kind == 0) | (kind == 2))
         if len(plain):
             part = batch.take(pa.array(plain))
             yield pa.RecordBatch.from_arrays(part.columns[1:6], _FACT_NAMES)
         for i in np.flatnonzero((kind == 1) | (kind == 3)).tolist():
-            t = _unpack(batch.column(6)[i].as_py(), batch.column(0)[i].as_py())
+            if buckets[i] != bucket:
+                yield from settle()
+                bucket = buckets[i]
+            t = _unpack(batch.column(6)[i].as_py(), int(bucket))
             if kind[i] == 3:
                 common.append(t)
                 continue
             tokens.append(t)
             sigs.append(np.repeat(np.frombuffer(batch.column(7)[i].as_py(), np.int64), np.frombuffer(batch.column(8)[i].as_py(), "<u4")))
-    if not tokens:
-        return
-    t, s = np.concatenate(tokens), np.concatenate(sigs)
-    tokens.clear(), sigs.clear()
-    order = np.lexsort((s, t))
-    t, s = t[order], s[order]
-    keep = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
-    t, s = t[keep], s[keep]
-    group = np.cumsum(np.append(True, t[1:] != t[:-1])) - 1
-    shared = (np.bincount(group) > 1)[group]
-    if common:
-        shared |= np.isin(t, np.unique(np.concatenate(common)))
-    who, times = np.unique(s[shared], return_counts=True)
-    size = len(who)
-    for i in range(0, size, 10_000):
-        j = min(i + 10_000, size)
-        none = pa.nulls(j - i, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(j - i, 2), pa.int32()), none, pa.array(times[i:j].astype(np.int64)), pa.array(who[i:j]), none], _FACT_NAMES)
+    yield from settle()
 
 
 def _sets(width: int):
@@ -489,9 +504,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    buckets = partitions_for(src, "text", 64)
-    posts = src.mapInArrow(_postings(buckets, num, den, width), _POSTS)
-    facts = materialise(posts.repartition(buckets, "bucket").mapInArrow(_count_shared, _FACTS))
+    parts = partitions_for(src, "text", 64)
+    posts = src.mapInArrow(_postings(BUCKETS * parts, num, den, width), _POSTS)
+    facts = materialise(posts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, _FACTS))
     members = facts.where("kind = 0").select("doc_id", "n", "sig", "sig2")
     shared = facts.where("kind = 2").groupBy("sig").agg(F.sum("n").alias("shared"))
     low = F.ceil(F.lit(num) * F.col("n") / den)
