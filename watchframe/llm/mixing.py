@@ -92,9 +92,10 @@ def fair_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix itself: docs' rows as often as they are used, in the order of virtual finish times.
+    """The mix itself: docs' rows as often as they are used.
 
-    Every use is the whole row with all its columns, whatever their names. Rows without words (null, empty
+    Rows are dealt to partitions by a hash of their keys, so each is a fair part of the mix, and stand in the
+    order of virtual finish times there; whole texts move once. Every use is the whole row with all its columns, whatever their names. Rows without words (null, empty
     or white space) are not part of a mix. Null and repeated ids and repeated rows are rows of their own:
     each row has a key from its first reading to the output. An empty table gives an empty result.
     """
@@ -105,5 +106,4 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mix = served_uses(rows, seed, repeats).where("uses > 0 AND size > 0").select("key", "uses", "first_finish", (F.col("source_size") / F.col("target")).alias("round"))
     found = keyed.join(mix, "key").withColumn("use", F.explode(F.sequence(F.lit(0), F.col("uses").cast("int") - 1)))
     found = found.withColumn("finish", F.col("first_finish") + F.col("use") * F.col("round"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartitionByRange(n, "finish", "key").sortWithinPartitions("finish", "key").select("row.*")
+    return found.sortWithinPartitions("finish", "key").select("row.*")
