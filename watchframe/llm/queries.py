@@ -10,6 +10,7 @@ from .exact_dedup import exact_groups
 from .fingerprints import edit_likeness
 from .mixing import fair_mix
 from .ngram_join import jaccard_components
+from .packing import pack_documents
 from .pii import span_digests
 from .token_counts import token_counts
 
@@ -71,6 +72,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_one_permutation_minhash": op1_one_permutation_minhash,
     "op2_personal_data": op2_personal_data,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
