@@ -13,6 +13,7 @@ from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .pii import span_digests
 from .token_counts import token_counts
+from .turn_repair import repair_digests
 
 
 def tokenizer_file(name: str) -> str:
@@ -72,6 +73,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -87,9 +92,24 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
+    "op11_turn_repair": op11_turn_repair,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
+
+
+def _crc32_sql(text: str) -> str:
+    """crc32 of an ASCII text, bit by bit: 0xEDB88320 is the reflected polynomial."""
+    bits = f"[((ascii({text}[i // 8 + 1]) >> (i % 8)::INT) & 1)::UBIGINT for i in range(8 * len({text}))]"
+    return f"xor(list_reduce(list_concat([4294967295::UBIGINT], {bits}), lambda c, b: CASE WHEN (xor(c, b) & 1) = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END), 4294967295::UBIGINT)"
+
+
+def _least_with_inserts(of: str) -> str:
+    """The better of each grammar state's own way and one more insertion before the ways `of`."""
+    way = f"{{'c': 2 + {of}[nx[g]].c, 'a': 'I' || {of}[nx[g]].a, 'r': chr(10) || nm[g] || ':' || {of}[nx[g]].r}}"
+    return f"[CASE WHEN {way} < b[g] THEN {way} ELSE b[g] END for g in [1, 2, 3, 4]]"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": """
         WITH d AS (
@@ -135,4 +155,60 @@ ORACLE_SQL: dict[str, str] = {
                (sum(CASE WHEN 2 * served - size <= 2 * budget THEN size ELSE 0 END))::BIGINT AS taken, min(finish) AS first_finish
         FROM g GROUP BY row, doc_id
     """,
+    # cheapest edits from the last turn to the first: a list of four states' cost, audit and repaired text
+    "op11_turn_repair": f"""
+        WITH RECURSIVE k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key
+            FROM conversations
+        ), fated AS (
+            SELECT *, {_crc32_sql("key")} % 20 AS fate FROM k
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+                   CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN fate = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM fated WHERE fate <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(role) || ':' || role || text), copy) AS n FROM damaged
+        ), flags AS (
+            SELECT *, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again,
+                   NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut,
+                   left(role, 1) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before
+            FROM placed
+        ), stats AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+                   count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
+                   count(*) FILTER (n > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS turns
+            FROM flags GROUP BY conv_id
+        ), steps AS (
+            SELECT conv_id, turns AS n, [{{'c': 0, 'a': '', 'r': ''}}, {{'c': 4, 'a': 'II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+                                         {{'c': 2, 'a': 'I', 'r': chr(10) || 'assistant:'}}, {{'c': 0, 'a': '', 'r': ''}}] AS m,
+                   [3, 3, 4, 3] AS nx, ['user', 'user', 'assistant', 'user'] AS nm
+            FROM stats
+            UNION ALL
+            SELECT conv_id, n, {_least_with_inserts("m2")} AS m, nx, nm FROM (
+                SELECT *, {_least_with_inserts("m1")} AS m2 FROM (
+                    SELECT *, {_least_with_inserts("b")} AS m1 FROM (
+                        SELECT conv_id, n, nx, nm, [list_sort(list_filter([
+                            {{'c': 3 + m[g].c, 'a': 'D' || m[g].a, 'r': m[g].r}},
+                            CASE WHEN goes[g] > 0 AND NOT lost THEN {{'c': cut + m[goes[g]].c, 'a': 'K' || m[goes[g]].a, 'r': chr(10) || role || ':' || text || m[goes[g]].r}} END,
+                            CASE WHEN NOT lost THEN {{'c': 2 + cut + m[nx[g]].c, 'a': 'R' || m[nx[g]].a, 'r': chr(10) || nm[g] || ':' || text || m[nx[g]].r}} END
+                        ], lambda w: w IS NOT NULL))[1] for g in [1, 2, 3, 4]] AS b
+                        FROM (
+                            SELECT s.conv_id, s.n - 1 AS n, s.m, s.nx, s.nm, f.role, f.text, f.blank OR f.again AS lost, f.cut::INT AS cut,
+                                   CASE f.i WHEN 's' THEN [2, 0, 0, 0] WHEN 'u' THEN [3, 3, 0, 3] WHEN 'a' THEN [0, 0, 4, 0] ELSE [0, 0, 0, 0] END AS goes
+                            FROM steps s JOIN flags f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.n = s.n
+                        )
+                    )
+                )
+            )
+        ), best AS (
+            SELECT conv_id, m[1].c AS cost, m[1].a AS audit, m[1].r AS repaired FROM steps WHERE n = 0
+        )
+        SELECT o.conv_id, coalesce(s.gaps, 0)::BIGINT AS gaps, coalesce(s.blank, 0)::BIGINT AS blank, coalesce(s.duplicate, 0)::BIGINT AS duplicate,
+               coalesce(s.truncated, 0)::BIGINT AS truncated, coalesce(s.illegal, 0)::BIGINT AS illegal, coalesce(b.cost, 0)::BIGINT AS cost,
+               coalesce(b.audit, '') AS audit, sha256(coalesce(b.repaired[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o
+        LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
 }
