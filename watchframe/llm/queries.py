@@ -14,6 +14,7 @@ from .packing import pack_documents
 from .pii import span_digests
 from .token_counts import token_counts
 from .turn_repair import repair_digests
+from .turn_trie import prefix_tree
 
 
 def tokenizer_file(name: str) -> str:
@@ -77,6 +78,10 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_tree(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -93,6 +98,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_language_id": op10_language_id,
     "op11_turn_repair": op11_turn_repair,
+    "op12_turn_trie": op12_turn_trie,
     "op13_best_fit_packing": op13_best_fit_packing,
 }
 
@@ -211,4 +217,36 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT DISTINCT conv_id FROM conversations) o
         LEFT JOIN stats s ON s.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
     """,
+    "op12_turn_trie": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(len(role) || ':' || role || text)[:32]) AS place FROM t
+        ), h AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS block, {_crc32_sql("(conv_id::VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)
+        ), turns AS (
+            SELECT h.conv_id, 0 AS own, place, role, text FROM h JOIN placed p ON p.conv_id = h.block WHERE place <= h
+            UNION ALL
+            SELECT h.conv_id, 1, place, role, text FROM h JOIN placed p ON p.conv_id = h.conv_id WHERE place > h
+        ), rebuilt AS (
+            SELECT h.conv_id, coalesce(list({{'role': role, 'text': text}} ORDER BY own, place) FILTER (place IS NOT NULL), []) AS turns
+            FROM h LEFT JOIN turns t ON t.conv_id = h.conv_id GROUP BY h.conv_id
+        ), members AS (
+            SELECT conv_id, unnest(range(0, len(turns) + 1)) AS depth, turns FROM rebuilt
+        ), nodes AS (
+            SELECT turns[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+                   sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = depth), '')) AS ends_sha256
+            FROM members GROUP BY 1, 2
+        ), children AS (
+            SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1
+        ), full_ AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children c ON c.node = n.node
+        ), above AS (
+            SELECT node[1:up] AS node, count(*) FILTER (n_children = 0) AS n_leaves,
+                   sum(CASE WHEN depth > 0 THEN (n_convs - 1) * len(node[depth].text) ELSE 0 END)::BIGINT AS saved_tokens
+            FROM (SELECT *, unnest(range(0, depth + 1)) AS up FROM full_) GROUP BY 1
+        )
+        SELECT f.conv_id, f.depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, a.saved_tokens, f.ends_sha256
+        FROM full_ f JOIN above a ON a.node = f.node LEFT JOIN full_ p ON f.depth > 0 AND p.node = f.node[1:f.depth - 1]
+    """,
 }
