@@ -105,3 +105,130 @@ def test_cases(spark):
     got = {r["query_id"]: r for r in parse_query_log(df, ["resident_parking", "visitor_parking", "gate"], {"cam_1": "Main gate"}).collect()}
     for i, (text, want) in enumerate(CASES):
         assert {k: got[i][k] for k in want} == want, text
+
+
+def plain_parser(text, now, zones, cameras):
+    """The parser's rules one after the other, for one sentence: every output field."""
+    from watchframe.functions.scalar import PLATE_MENTION
+    from watchframe.operators import query_log as ql
+
+    text = text or ""
+    q = text.lower().replace("’", "'")
+    plate = None
+    if m := re.search(PLATE_MENTION, text):
+        p = re.sub("[^A-Z0-9]", "", m[1].upper())
+        if re.fullmatch("[A-Z]{2}[0-9]{1,2}[A-Z]{0,3}[0-9]{4}|[0-9]{2}BH[0-9]{4}[A-Z]{1,2}", p):
+            plate, q = p, q.replace(m[1].lower(), " ")
+    local = now + 19800
+    day = local // 86400 * 86400 - (86400 if re.search(r"\byesterday\b", q) else 0)
+    whole = (None, None)
+    if re.search(r"\byesterday\b", q):
+        whole = day, day + 86400
+    elif re.search(r"\b(today|tonight)\b", q):
+        whole = day, local
+
+    def clock(hour, minute, half):
+        hour = int(hour)
+        hour += 12 if half == "pm" and hour < 12 else -12 if half == "am" and hour == 12 else 0
+        return day + hour % 24 * 3600 + int(minute or 0) * 60
+
+    c, found = r"([0-9]{1,2})(?::([0-9]{2}))?(?:\s*(am|pm))?", None
+    if m := re.search(rf"\bbetween\s+{c}\s+(?:and|to|-)\s+{c}", q):
+        found = clock(m[1], m[2], m[3] or m[6]), clock(m[4], m[5], m[6])
+    elif m := re.search(rf"\b(?:after|since|from)\s+{c}", q):
+        found = clock(m[1], m[2], m[3] or ("pm" if int(m[1]) < 8 else None)), day + 86400 if whole[1] is None else whole[1]
+    elif m := re.search(rf"\bbefore\s+{c}", q):
+        found = day, clock(*m.groups())
+    elif m := re.search(rf"\b(?:around|at|about)\s+{c}(?!\w)", q):
+        if m[2] or m[3]:
+            found = clock(*m.groups()) - 1800, clock(*m.groups()) + 1800
+    elif m := re.search(r"\b(?:last|past)\s+(?:([0-9]+|an?|one|two|three)\s*)?(hour|minute|min)s?\b", q):
+        n = {"two": 2, "three": 3}.get(m[1]) or (int(m[1]) if (m[1] or "").isdigit() else 1)
+        found = local - n * (3600 if m[2] == "hour" else 60), local
+    else:
+        for word, a, b in (("morning", 6, 12), ("afternoon", 12, 17), ("evening", 17, 21), ("night", 21, 30)):
+            if re.search(rf"\b{word}\b", q):
+                found = day + a * 3600, day + b * 3600
+                break
+    if found:
+        e = r"[0-9]{1,2}(?::[0-9]{2})?\s*(?:am|pm)?"
+        q = re.sub(rf"\b(?:between|after|since|from|before|around|at|about)\s+{e}(?:\s+(?:and|to|-)\s+{e})?", " ", q)
+    span = found or whole
+
+    marks = re.findall("[a-z]+|[0-9]+", q.replace("'", " ft ").replace('"', " in "))
+    value = lambda t, low, high, n: int(t) if re.fullmatch(f"[0-9]{{1,{n}}}", t) else ql.NUMBERS.index(t) if t in ql.NUMBERS[low : high + 1] else None
+    height = (None, None)
+    metric = [int(a) for a, b in zip(marks, marks[1:], strict=False) if re.fullmatch("[0-9]{3}", a) and b == "cm"]
+    imperial = [i for i in range(len(marks) - 1) if value(marks[i], 4, 7, 1) is not None and marks[i + 1] in ("ft", "foot", "feet")]
+    if metric:
+        height = metric[0] - 5.0, metric[0] + 5.0
+    elif imperial:
+        i = imperial[0]
+        feet, inch = value(marks[i], 4, 7, 1) * 30.48, value(marks[i + 2], 1, 11, 2) if i + 2 < len(marks) else None
+        height = (round(feet - 8), round(feet + 7)) if inch is None else (round(feet + inch * 2.54 - 5), round(feet + inch * 2.54 + 5))
+    elif re.search(r"\btall\b", q):
+        height = 180.0, None
+    elif re.search(r"\bshort\b", q):
+        height = None, 162.0
+
+    names = [(k, i) for i, n in cameras.items() for k in (i.lower(), n.lower())]
+    met = list(dict.fromkeys(i for k, i in names if re.search(rf"\b{re.escape(k)}\b", q)))
+    phrases = {z.replace("_", " "): z for z in zones if "_" in z}
+    places = {z for p, z in phrases.items() if re.search(rf"\b{re.escape(p)}\b", q)}
+    for k in sorted({k for k, _ in names} | set(phrases), key=lambda k: (-len(k), k)):
+        q = re.sub(rf"\b{re.escape(k)}\b", " ", q)
+    tokens = re.findall(r"[a-z][a-z'\-]*|[0-9]+", q)
+    role_of = {w: r for r, ws in ql.ROLE_WORDS.items() for w in ws.split()}
+    keys = {w: [z for z in zones if w in z.split("_")] for z in zones for w in z.split("_") if len(w) > 2 and w not in role_of and w not in ("floor", "zone", "area")}
+    for t in tokens:
+        places |= {z for w, own in keys.items() if t in (w, w + "s") for z in own}
+    person = plate is None and not set(tokens) & set(ql.VEHICLE_WORDS)
+    worn, loose = {}, []
+    for i, t in enumerate(tokens):
+        if t in ql.COLOR_WORDS:
+            part = lambda w: "upper" if w in ql.UPPER_WORDS else "lower" if w in ql.LOWER_WORDS else None
+            near = [p for p in map(part, tokens[i + 1 : i + 4]) if p][:1] or [p for p in map(part, tokens[max(0, i - 3) : i]) if p][-1:]
+            if near:
+                worn.setdefault(near[0], ql.COLOR_WORDS[t])
+            else:
+                loose.append(ql.COLOR_WORDS[t])
+    for color in loose:
+        free = [p for p in ("upper", "lower") if p not in worn]
+        if free:
+            worn[free[0]] = color
+    taken = {*ql.STOP_WORDS, *ql.VEHICLE_WORDS, *role_of, *keys, *(k + "s" for k in keys)}
+    feet = ("ft", "foot", "feet")
+    measured = lambda i: value(tokens[i], 1, 11, 2) is not None and (tokens[i + 1 : i + 2] and tokens[i + 1] in feet or i and tokens[i - 1] in feet)
+    words = [t for i, t in enumerate(tokens) if not t.isdigit() and t not in taken and not measured(i)]
+    return {
+        "plate": plate, "entity": "person" if person else "vehicle", "roles": sorted({role_of[t] for t in tokens if t in role_of}),
+        "upper_color": worn.get("upper") if person else None, "lower_color": worn.get("lower") if person else None,
+        "height_min": height[0], "height_max": height[1], "cameras": met, "zones": sorted(places),
+        "time_from": span[0] and span[0] - 19800, "time_to": span[1] and span[1] - 19800,
+        "free_text": " ".join(words) if person and set(words) - set(ql.PERSON_WORDS) else None,
+    }
+
+
+def test_every_field_of_the_registered_log_equals_a_plain_parser(spark):
+    from watchframe.plans import queries
+
+    sf = "/root/testdata/sf0.01"
+    log = {r["query_id"]: r for r in queries.query_log(spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/conversations.parquet")).collect()}
+    got = {r["query_id"]: r.asDict() for r in queries.QUERIES["f16_parse_query_log"](spark, sf).collect()}
+    assert got.keys() == log.keys() and len(got) > 2_000
+    for i, r in got.items():
+        del r["query_id"]
+        assert r == plain_parser(log[i]["text"], log[i]["now"], queries._ZONES, queries._CAMERAS), log[i]["text"]
+    said = [t for t, _, _ in TIMES] + [t for t, _ in CASES]
+    df = spark.createDataFrame(list(enumerate(said)), "query_id long, text string")
+    for r in parse_query_log(df, queries._ZONES, queries._CAMERAS, NOW).collect():
+        own = r.asDict()
+        text = said[own.pop("query_id")]
+        assert own == plain_parser(text, NOW, queries._ZONES, queries._CAMERAS), text
+
+
+def test_the_plan_stays_small(spark):
+    """Steps are bound, not inlined into every field that uses them."""
+    df = spark.createDataFrame([("x", "y")], "query_id string, text string")
+    plan = parse_query_log(df, ["resident_parking", "gate"], {"cam_1": "Main gate"}, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 30_000

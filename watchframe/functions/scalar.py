@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,33 +24,13 @@ def clean_plate(text: Column) -> Column:
     return F.regexp_replace(F.upper(text), "[^A-Z0-9]", "")
 
 
-def _fit(s: Column, turn: int, parts: list[tuple[str, int]]) -> Column:
-    """struct(cost, penalty, turn, text, kind) if the cleaned text fits the layout, else null."""
-    at, ok, fixed, cost = 1, [], [], []
-    bh = any(kind == "BH" for kind, _ in parts)
-    for kind, n in parts:
-        if not n:
-            continue
-        piece = F.substring(s, at, n)
-        at += n
-        if kind == "BH":
-            ok.append(piece.isin("BH", "8H"))
-            fixed.append(F.lit("BH"))
-            cost.append((piece == "8H").cast("int"))
-            continue
-        good, swaps = ("[A-Z]", READ_AS_LETTER) if kind == "L" else ("[0-9]", READ_AS_DIGIT)
-        ok.append(F.translate(piece, *swaps).rlike(f"^{good}+$"))
-        fixed.append(F.translate(piece, *swaps))
-        cost.append(F.length(F.regexp_replace(piece, good, "")))
-    penalty = F.lit(0) if bh else (~fixed[0].isin(STATE_CODES)).cast("int")
-    row = F.struct(
-        reduce(lambda a, b: a + b, cost).cast("int").alias("cost"),
-        penalty.alias("penalty"),
-        F.lit(turn).alias("turn"),
-        F.concat(*fixed).alias("text"),
-        F.lit("bh" if bh else "standard").alias("kind"),
-    )
-    return F.when((F.length(s) == at - 1) & reduce(lambda a, b: a & b, ok), row)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once however often body names it: a lambda variable is never inlined."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Layouts of a plate: L a letter, D a digit; the BH series has these letters themselves.
+_LAYOUTS = ["LL" + "D" * d + "L" * n + "DDDD" for d in (1, 2) for n in range(4)] + ["DDBHDDDD" + "L" * n for n in (1, 2)]
 
 
 def normalize_plate(raw: Column) -> Column:
@@ -60,12 +40,25 @@ def normalize_plate(raw: Column) -> Column:
     the least (cost, unknown state) wins, the first layout of equal ones. Text that fits none is invalid
     and stays cleaned. Null gives null.
     """
-    layouts = [[("L", 2), ("D", d), ("L", s), ("D", 4)] for d in (1, 2) for s in range(4)]
-    layouts += [[("D", 2), ("BH", 2), ("D", 4), ("L", t)] for t in (1, 2)]
+    one = F.lit(1)
+    of_length = lambda s: F.filter(F.array(*[F.lit(x) for x in _LAYOUTS]), lambda x: F.length(x) == F.length(s))
+    kinds = lambda text: F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "L" * 26 + "D" * 10)
 
     def best(s):
-        tries = F.array(*[_fit(s, i, p) for i, p in enumerate(layouts)])
-        return F.struct(s.alias("s"), F.array_min(F.filter(tries, lambda t: t.isNotNull())).alias("b"))
+        def fit(layout, turn):
+            bh = F.contains(layout, F.lit("BH"))
+            read = lambda i: F.when(F.substr(layout, i, one) == "D", F.translate(F.substr(s, i, one), *READ_AS_DIGIT)).otherwise(F.translate(F.substr(s, i, one), *READ_AS_LETTER))
+            places = F.sequence(one, F.length(s))
+
+            def scored(text):
+                cost = F.size(F.filter(places, lambda i: F.substr(s, i, one) != F.substr(text, i, one)))
+                penalty = (~bh & ~F.left(text, F.lit(2)).isin(STATE_CODES)).cast("int")
+                fits = (kinds(text) == F.replace(layout, F.lit("BH"), F.lit("LL"))) & (~bh | (F.substr(text, F.lit(3), F.lit(2)) == "BH"))
+                return F.when(fits, F.struct(cost.alias("cost"), penalty.alias("penalty"), turn.alias("turn"), text.alias("text"), F.when(bh, "bh").otherwise("standard").alias("kind")))
+
+            return let(F.array_join(F.transform(places, read), ""), scored)
+
+        return F.struct(s.alias("s"), F.array_min(F.filter(F.transform(of_length(s), fit), lambda t: t.isNotNull())).alias("b"))
 
     def named(x):
         b = x["b"]
@@ -76,8 +69,7 @@ def normalize_plate(raw: Column) -> Column:
             F.coalesce(b["penalty"] == 0, F.lit(False)).alias("valid_state"),
         )
 
-    # one-element arrays, so that every step is evaluated once
-    return F.when(raw.isNotNull(), F.transform(F.transform(F.array(clean_plate(raw)), best), named)[0])
+    return F.when(raw.isNotNull(), let(let(clean_plate(raw), best), named))
 
 
 def bounded_levenshtein(a: Column, b: Column, limit: int) -> Column:
@@ -86,16 +78,8 @@ def bounded_levenshtein(a: Column, b: Column, limit: int) -> Column:
     return F.when(d < 0, F.lit(limit + 1)).otherwise(d)
 
 
-# A mention's parts with their least and most characters, and what may stand between them.
-_MENTIONS = [([("0-9", 2, 2), ("BH",), ("0-9", 4, 4), ("A-Z", 1, 2)], r"\s?"), ([("A-Z", 2, 2), ("0-9", 1, 2), ("A-Z", 0, 3), ("0-9", 4, 4)], r"[\s-]?")]
-
-
-def _part(kind: str, *size: int) -> str:
-    return f"[{kind}]{{{size[0]},{size[1]}}}" if size else kind
-
-
-#: One plate in free text, in the layouts of normalize_plate.
-PLATE_MENTION = r"(?i)\b(" + "|".join(gap.join(_part(*p) for p in parts) for parts, gap in _MENTIONS) + r")\b"
+# Fixed value: how a plate is written in free text.
+PLATE_MENTION = r"(?i)\b([0-9]{2}\s?BH\s?[0-9]{4}\s?[A-Z]{1,2}|[A-Z]{2}[\s-]?[0-9]{1,2}[\s-]?[A-Z]{0,3}[\s-]?[0-9]{4})\b"
 
 
 def extract_plates(text: Column) -> Column:
