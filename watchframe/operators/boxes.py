@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.scalar import box, clip, height_m, image_to_ground, iou
+from ..helpers.folds import codes, whole_groups
 
 #: Polygons of at most so many points are tested edge by edge in plain expressions.
 UNROLLED = 12
@@ -157,35 +162,70 @@ def track_height(det: DataFrame, calib: DataFrame, least: float = 120.0, most: f
     )
 
 
-def iou_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Pairs (gt_id, pred_id) of one frame whose boxes overlap enough. Both: camera_id, frame, id, x1..y2."""
+def iou_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.5, cell: float = 320.0) -> DataFrame:
+    """Pairs (gt_id, pred_id) of one frame whose boxes overlap enough. Both: camera_id, frame, id, x1..y2.
+
+    Boxes go to every cell of a grid that they touch and meet the other side's boxes of that cell; a pair is
+    told by the cell that holds the top left corner of its intersection, hence once. So a crowd's frame is
+    many small keys, and a pair of boxes far apart never meets. threshold is above 0; boxes without an area or with
+    nulls overlap nothing.
+    """
     names = ("id", "x1", "y1", "x2", "y2")
-    g = gt.select("camera_id", "frame", *[F.col(c).alias(f"gt_{c}") for c in names])
-    p = pred.select("camera_id", "frame", *[F.col(c).alias(f"pred_{c}") for c in names])
-    # boxes that do not overlap along x are dropped before the full test
-    near = (F.col("gt_x1") < F.col("pred_x2")) & (F.col("pred_x1") < F.col("gt_x2"))
-    rows = g.join(p, ["camera_id", "frame"]).where(near).withColumn("iou", iou(box("gt_"), box("pred_")))
+    at = lambda c: F.floor(F.col(c) / cell)
+
+    def tiled(boxes: DataFrame, prefix: str) -> DataFrame:
+        rows = boxes.where("x1 < x2 AND y1 < y2").withColumn("cx", F.explode(F.sequence(at("x1"), at("x2")))).withColumn("cy", F.explode(F.sequence(at("y1"), at("y2"))))
+        return rows.select("camera_id", "frame", "cx", "cy", *[F.col(c).alias(f"{prefix}_{c}") for c in names])
+
+    x, y = F.greatest("gt_x1", "pred_x1"), F.greatest("gt_y1", "pred_y1")
+    here = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy")) & (x < F.least("gt_x2", "pred_x2")) & (y < F.least("gt_y2", "pred_y2"))
+    rows = tiled(gt, "gt").join(tiled(pred, "pred"), ["camera_id", "frame", "cx", "cy"]).where(here).withColumn("iou", iou(box("gt_"), box("pred_")))
     return rows.where(F.col("iou") >= threshold).select("camera_id", "frame", "gt_id", "pred_id", "iou")
 
 
+def hidden_shares(frame: np.ndarray, track: np.ndarray, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """The largest share of each box that one box of another track in its frame covers; rows sorted by frame and x1.
+
+    A sweep along x, for all frames at once: in step k each box that is still open meets the k-th box after
+    it, and closes at the first one that begins behind its right side. Time is that of boxes and overlaps along x.
+    """
+    area = np.maximum(1.0, x2 - x1) * np.maximum(1.0, y2 - y1)
+    hidden, open_, k = np.zeros(len(x1)), np.arange(len(x1)), 1
+    while len(open_):
+        open_ = open_[open_ + k < len(x1)]
+        after = open_ + k
+        open_ = open_[(frame[open_] == frame[after]) & (x1[after] < x2[open_])]
+        after = open_ + k
+        w = np.minimum(x2[open_], x2[after]) - x1[after]
+        h = np.minimum(y2[open_], y2[after]) - np.maximum(y1[open_], y1[after])
+        met = (w > 0) & (h > 0) & (track[open_] != track[after])
+        a, b, both = open_[met], after[met], (w * h)[met]
+        np.maximum.at(hidden, a, both / area[a])
+        np.maximum.at(hidden, b, both / area[b])
+        k += 1
+    return hidden
+
+
 def crop_quality(det: DataFrame, width: int, height: int, least: float = 64.0, full: float = 256.0) -> DataFrame:
-    """Adds quality: size ramp x confidence x border x aspect x the least visible share among the frame's others."""
+    """Adds quality: size ramp x confidence x border x aspect x the least visible share among the frame's others.
+
+    Frames are sorted by x1 and swept (hidden_shares), several in one batch; a frame's boxes are in one task.
+    Nulls in a box give a null quality; a row never hides another of its own track.
+    """
+    rows = det.repartition("camera_id", "frame").sortWithinPartitions("camera_id", "frame", "x1")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, frame in whole_groups(batches, ["camera_id", "frame"]):
+            sides = [table.column(c).cast(pa.float64()).to_numpy() for c in ("x1", "y1", "x2", "y2")]
+            yield from table.append_column("hidden", pa.array(hidden_shares(frame, codes(table.column("track_id")), *sides))).to_batches()
+
     w, h = F.greatest(F.lit(1.0), F.col("x2") - F.col("x1")), F.greatest(F.lit(1.0), F.col("y2") - F.col("y1"))
-    sides = ("x1", "y1", "x2", "y2")
-    one = det.select("camera_id", "frame", "track_id", *sides)
-    other = det.select("camera_id", "frame", F.col("track_id").alias("o_track"), *[F.col(c).alias(f"o_{c}") for c in sides])
-    # each pair of boxes that overlap meets once and tells both how much of them the other one hides
-    meets = (F.col("track_id") < F.col("o_track")) & (F.col("x1") < F.col("o_x2")) & (F.col("o_x1") < F.col("x2")) & (F.col("y1") < F.col("o_y2")) & (F.col("o_y1") < F.col("y2"))
-    area = (F.least("x2", "o_x2") - F.greatest("x1", "o_x1")) * (F.least("y2", "o_y2") - F.greatest("y1", "o_y1"))
-    own, theirs = w * h, F.greatest(F.lit(1.0), F.col("o_x2") - F.col("o_x1")) * F.greatest(F.lit(1.0), F.col("o_y2") - F.col("o_y1"))
-    both = F.array(F.struct("track_id", (area / own).alias("part")), F.struct(F.col("o_track").alias("track_id"), (area / theirs).alias("part")))
-    pairs = one.join(other, ["camera_id", "frame"]).where(meets).select("camera_id", "frame", F.explode(both).alias("b"))
-    hidden = pairs.groupBy("camera_id", "frame", F.col("b.track_id").alias("track_id")).agg(F.max("b.part").alias("hidden"))
     size = clip((h - least) / max(1.0, full - least), 0.0, 1.0)
     cut = (F.col("x1") <= 2) | (F.col("y1") <= 2) | (F.col("x2") >= width - 2) | (F.col("y2") >= height - 2)
-    seen = F.greatest(F.lit(0.0), 1.0 - F.coalesce("hidden", F.lit(0.0)))
+    seen = F.greatest(F.lit(0.0), 1.0 - F.col("hidden"))
+    whole_box = reduce(lambda a, c: a & F.col(c).isNotNull(), ("x1", "y1", "x2", "y2"), F.lit(True))
     quality = size * F.col("conf") * F.when(cut, 0.5).otherwise(1.0) * F.when((w / h).between(0.25, 0.65), 1.0).otherwise(0.5) * seen
-    return det.join(hidden, ["camera_id", "frame", "track_id"], "left").withColumn("quality", quality).drop("hidden")
+    return rows.mapInArrow(run, StructType([*det.schema.fields, StructField("hidden", DoubleType())])).withColumn("quality", F.when(whole_box, quality)).select(*det.columns, "quality")
 
 
 def nearest_position(a: DataFrame, b: DataFrame, max_dt: float = 1.0) -> DataFrame:

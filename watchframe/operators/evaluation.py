@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import namespaced_id
-from ..helpers.assignment import assign
+from ..helpers.assignment import heaviest_pairs
 from ..helpers.components import connected_components
+from ..helpers.folds import codes, whole_groups
 from ..helpers.tables import write_again
 from .boxes import iou_pairs
 
@@ -17,25 +21,23 @@ from .boxes import iou_pairs
 def match_frame(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches (camera_id, frame, gt_id, pred_id, iou) of the largest total overlap in each frame.
 
-    Pairs under the threshold are dropped after the assignment. A frame's boxes meet in one task.
+    Pairs under the threshold are dropped after the assignment. A frame's pairs of overlapping boxes meet in one
+    task; of a pair of ids that occurs several times the largest overlap counts.
     """
-
     columns = ["camera_id", "frame", "gt_id", "pred_id", "iou"]
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        gts, g = np.unique(pdf.gt_id.to_numpy(), return_inverse=True)
-        preds, p = np.unique(pdf.pred_id.to_numpy(), return_inverse=True)
-        table = np.zeros((len(gts), len(preds)))
-        np.maximum.at(table, (g, p), pdf.iou.to_numpy())
-        r, c = np.array(assign(-table)).T
-        return pd.DataFrame({"camera_id": pdf.camera_id.iloc[0], "frame": pdf.frame.iloc[0], "gt_id": gts[r], "pred_id": preds[c], "iou": table[r, c]})
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, frame in whole_groups(batches, columns[:2]):
+            # ids of different frames are different nodes, so one matching does for all frames
+            side = lambda c: frame.astype(np.int64) << 32 | codes(table.column(c)).astype(np.int64)  # noqa: E731, B023
+            yield from table.take(np.sort(heaviest_pairs(side("gt_id"), side("pred_id"), table.column("iou").to_numpy()))).to_batches()
 
     pairs = iou_pairs(gt, pred, 1e-12)
     # a pair whose boxes overlap no other is matched as it stands; only the rest needs an assignment
     of_gt, of_pred = Window.partitionBy("camera_id", "frame", "gt_id"), Window.partitionBy("camera_id", "frame", "pred_id")
     pairs = pairs.withColumn("alone", (F.count("*").over(of_gt) == 1) & (F.count("*").over(of_pred) == 1))
-    kinds = dict(pairs.dtypes)
-    rest = pairs.where("not alone").select(*columns).groupBy("camera_id", "frame").applyInPandas(solve, ", ".join(f"{c} {kinds[c]}" for c in columns))
+    rest = pairs.where("not alone").select(*columns)
+    rest = rest.repartition("camera_id", "frame").sortWithinPartitions("camera_id", "frame").mapInArrow(solve, rest.schema)
     return pairs.where("alone").select(*columns).unionByName(rest).where(F.col("iou") >= threshold)
 
 
@@ -92,36 +94,35 @@ def trajectory_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) ->
     return iou_pairs(gt, pred, threshold).groupBy("gt_id", "pred_id").agg(F.count("*").alias("n"))
 
 
-def _pair_components(pairs: DataFrame) -> DataFrame:
-    """Pairs with the number of their component in the graph of trajectories that share frames."""
-    edges = pairs.select((F.col("gt_id").cast("long") * 2).alias("a"), (F.col("pred_id").cast("long") * 2 + 1).alias("b"))
-    labels = connected_components(edges).select(F.col("node").alias("node_"), F.col("label").alias("comp"))
-    return pairs.join(labels, F.col("gt_id").cast("long") * 2 == F.col("node_")).drop("node_")
-
+def _matched_frames(pairs: DataFrame) -> DataFrame:
+    """pairs (mode, gt_id, pred_id, n): for each mode idtp, the frames of the heaviest one-to-one match of trajectories.
 
-def id_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One row: idtp, fp, fn, idf1, idp, idr, gt_ids, pred_ids, from the best one-to-one match of trajectories.
-
-    Counts of pairs are sparse; each connected component is assigned on its own. A component with one
-    trajectory on either side has its largest count; the others, which hold whoever was confused with each
-    other, are tables of their trajectories in one task each.
+    Trajectories that share frames are one component, told for all modes at once. A component with one
+    trajectory on either side has its largest count and never leaves the JVM; the others, which hold whoever was
+    confused with each other, are lists of pairs, one for each task, matched by shortest augmenting paths.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = pdf.pivot_table(index="gt_id", columns="pred_id", values="n", fill_value=0, aggfunc="sum").to_numpy()
-        return pd.DataFrame({"idtp": [int(sum(table[r, c] for r, c in assign(-table)))]})
-
-    comps = write_again(_pair_components(write_again(trajectory_pairs(gt, pred, threshold))))
-    kinds = comps.groupBy("comp").agg(F.min("gt_id").alias("g1"), F.max("gt_id").alias("g2"), F.min("pred_id").alias("p1"), F.max("pred_id").alias("p2"), F.max("n").alias("most"))
+        chosen = heaviest_pairs(pdf.gt_id.to_numpy(), pdf.pred_id.to_numpy(), pdf.n.to_numpy())
+        return pd.DataFrame({"mode": [pdf["mode"].iloc[0]], "idtp": [int(pdf.n.to_numpy()[chosen].sum())]})
+
+    node = lambda side, c: F.struct("mode", F.lit(side).alias("side"), F.col(c).cast("long").alias("id"))
+    pairs = write_again(pairs)
+    labels = connected_components(pairs.select(node(0, "gt_id").alias("a"), node(1, "pred_id").alias("b"))).select(F.col("node").alias("a"), "label")
+    comps = write_again(pairs.withColumn("a", node(0, "gt_id")).join(labels, "a").drop("a"))
+    kinds = comps.groupBy("label").agg(F.first("mode").alias("mode"), F.min("gt_id").alias("g1"), F.max("gt_id").alias("g2"), F.min("pred_id").alias("p1"), F.max("pred_id").alias("p2"), F.max("n").alias("most"))
     plain = (F.col("g1") == F.col("g2")) | (F.col("p1") == F.col("p2"))
-    tables = comps.join(kinds.where(~plain).select("comp"), "comp", "left_semi")
-    each = kinds.where(plain).select(F.col("most").alias("idtp")).unionByName(tables.groupBy("comp").applyInPandas(solve, "idtp long"))
-    tp = each.agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
-    g = gt.agg(F.count("*").alias("ng"), F.countDistinct("id").alias("gt_ids"))
-    p = pred.agg(F.count("*").alias("np"), F.countDistinct("id").alias("pred_ids"))
-    rows = tp.join(g, F.lit(True)).join(p, F.lit(True))
+    mixed = comps.join(kinds.where(~plain).select("label"), "label", "left_semi")
+    each = kinds.where(plain).select("mode", F.col("most").alias("idtp")).unionByName(mixed.groupBy("label").applyInPandas(solve, "mode string, idtp long"))
+    return each.groupBy("mode").agg(F.sum("idtp").alias("idtp"))
+
+
+def _metrics(sizes: DataFrame, matched: DataFrame) -> DataFrame:
+    """sizes: mode, ng, gt_ids, np, pred_ids; matched: mode, idtp."""
+    rows = sizes.join(matched, "mode", "left").withColumn("idtp", F.coalesce("idtp", F.lit(0)))
     share = lambda a, b: F.coalesce(a / F.when(b > 0, b), F.lit(0.0))
     return rows.select(
+        "mode",
         "idtp",
         (F.col("np") - F.col("idtp")).alias("fp"),
         (F.col("ng") - F.col("idtp")).alias("fn"),
@@ -133,23 +134,37 @@ def id_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFr
     )
 
 
+def _sizes(gt: DataFrame, pred: DataFrame, modes: dict[str, tuple[str, str]]) -> DataFrame:
+    """Rows and ids of both sides for each mode, which names the id columns; each side is read once."""
+    of = lambda rows, n, ids, at: rows.agg(*[F.count("*").alias("n_"), *[F.countDistinct(c[at]).alias(m) for m, c in modes.items()]]).select(F.col("n_").alias(n), F.explode(F.create_map(*[x for m in modes for x in (F.lit(m), F.col(m))])).alias("mode", ids))
+    return of(gt, "ng", "gt_ids", 0).join(of(pred, "np", "pred_ids", 1), "mode")
+
+
+def id_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One row: idtp, fp, fn, idf1, idp, idr, gt_ids, pred_ids, from the best one-to-one match of trajectories."""
+    pairs = trajectory_pairs(gt, pred, threshold).withColumn("mode", F.lit("all"))
+    return _metrics(_sizes(gt, pred, {"all": ("id", "id")}), _matched_frames(pairs)).drop("mode")
+
+
 def mtmc_report(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """id_metrics by mode: `single` (ids kept apart by camera), `online` (gid, pending rows their own id), `tracklet` (each track's last gid).
 
-    pred: camera_id, frame, track_id, gid (may be null), x1..y2.
+    pred: camera_id, frame, track_id, gid (may be null), x1..y2. Boxes meet once: a pair has the ids of all modes.
     """
     own = -namespaced_id(F.col("camera_id"), F.col("track_id")) - 1
     last = Window.partitionBy("camera_id", "track_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    modes = {
-        "single": (gt.withColumn("id", namespaced_id(F.col("camera_id"), F.col("id"))), pred.withColumn("id", namespaced_id(F.col("camera_id"), F.col("track_id")))),
-        "online": (gt, pred.withColumn("id", F.coalesce(F.col("gid"), own))),
-        "tracklet": (gt, pred.withColumn("id", F.coalesce(F.last("gid", ignorenulls=True).over(last), own))),
-    }
-    out = None
-    for mode, (g, p) in modes.items():
-        row = id_metrics(g, p, threshold).select(F.lit(mode).alias("mode"), "*")
-        out = row if out is None else out.unionByName(row)
-    return out
+    modes = {"single": ("id_single", "id_single"), "online": ("id", "id_online"), "tracklet": ("id", "id_tracklet")}
+    gt = gt.withColumn("id_single", namespaced_id(F.col("camera_id"), F.col("id")))
+    pred = pred.withColumns({
+        "id_single": namespaced_id(F.col("camera_id"), F.col("track_id")),
+        "id_online": F.coalesce(F.col("gid"), own),
+        "id_tracklet": F.coalesce(F.last("gid", ignorenulls=True).over(last), own),
+    })
+    ids = lambda rows, names: rows.withColumn("id", F.struct(*[F.col(c).cast("long").alias(c) for c in dict.fromkeys(names)]))
+    met = iou_pairs(ids(gt, [g for g, _ in modes.values()]), ids(pred, [p for _, p in modes.values()]), threshold)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"gt_id.{g}").alias("gt_id"), F.col(f"pred_id.{p}").alias("pred_id")) for m, (g, p) in modes.items()]))
+    pairs = met.select(each.alias("k")).groupBy("k").agg(F.count("*").alias("n")).select("k.*", "n")
+    return _metrics(_sizes(gt, pred, modes), _matched_frames(pairs))
 
 
 def role_confusion(rows: DataFrame) -> DataFrame:

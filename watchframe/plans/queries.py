@@ -340,11 +340,15 @@ def _f10(det):
     return rows.select("camera_id", "track_id", "frame", F.abs(F.round(off, 5)).alias("error"))
 
 
-_IOU = "(greatest(0, least(g.x2, p.x2) - greatest(g.x1, p.x1)) * greatest(0, least(g.y2, p.y2) - greatest(g.y1, p.y1)))"
-_PAIRS = f"""
-    SELECT g.camera_id, g.frame, g.id AS gt_id, p.id AS pred_id,
-           {_IOU} / greatest((g.x2 - g.x1) * (g.y2 - g.y1) + (p.x2 - p.x1) * (p.y2 - p.y1) - {_IOU}, 1e-9) AS iou
-    FROM v_gt g JOIN v_pred p ON g.camera_id = p.camera_id AND g.frame = p.frame AND g.x1 < p.x2 AND p.x1 < g.x2
+# boxes of a frame meet by equal keys alone; whether they overlap is asked of the result
+_PAIRS = """
+    WITH met AS MATERIALIZED (
+        SELECT g.camera_id, g.frame, g.id AS gt_id, p.id AS pred_id, g.x1, g.y1, g.x2, g.y2, p.x1 AS px1, p.y1 AS py1, p.x2 AS px2, p.y2 AS py2
+        FROM v_gt g JOIN v_pred p ON g.camera_id = p.camera_id AND g.frame = p.frame
+    ), inside AS (
+        SELECT *, greatest(0, least(x2, px2) - greatest(x1, px1)) * greatest(0, least(y2, py2) - greatest(y1, py1)) AS shared FROM met
+    )
+    SELECT camera_id, frame, gt_id, pred_id, shared / greatest((x2 - x1) * (y2 - y1) + (px2 - px1) * (py2 - py1) - shared, 1e-9) AS iou FROM inside WHERE shared > 0
 """
 
 
@@ -359,8 +363,10 @@ def _f9(gt, pred):
 
 
 @query("j4_crop_quality", "v_det", sql="""
-    WITH h AS (SELECT d.camera_id, d.frame, d.track_id, max(greatest(0, least(d.x2, o.x2) - greatest(d.x1, o.x1)) * greatest(0, least(d.y2, o.y2) - greatest(d.y1, o.y1)) / ((d.x2 - d.x1) * (d.y2 - d.y1))) AS hidden
-               FROM v_det d JOIN v_det o ON d.camera_id = o.camera_id AND d.frame = o.frame AND d.track_id <> o.track_id AND d.x1 < o.x2 AND o.x1 < d.x2 GROUP BY ALL)
+    WITH met AS MATERIALIZED (
+        SELECT d.*, o.track_id AS o_track, o.x1 AS ox1, o.y1 AS oy1, o.x2 AS ox2, o.y2 AS oy2 FROM v_det d JOIN v_det o ON d.camera_id = o.camera_id AND d.frame = o.frame
+    ), h AS (SELECT camera_id, frame, track_id, max(greatest(0, least(x2, ox2) - greatest(x1, ox1)) * greatest(0, least(y2, oy2) - greatest(y1, oy1)) / ((x2 - x1) * (y2 - y1))) AS hidden
+               FROM met WHERE track_id <> o_track GROUP BY ALL)
     SELECT d.camera_id, d.frame, d.track_id, floor(least(greatest((y2 - y1 - 64) / 192, 0), 1) * conf * CASE WHEN x1 <= 2 OR y1 <= 2 OR x2 >= 1278 OR y2 >= 718 THEN 0.5 ELSE 1 END
         * CASE WHEN (x2 - x1) / (y2 - y1) BETWEEN 0.25 AND 0.65 THEN 1 ELSE 0.5 END * greatest(0, 1 - coalesce(hidden, 0)) * 1e6 + 0.2718) AS quality
     FROM v_det d LEFT JOIN h USING (camera_id, frame, track_id)""")

@@ -93,8 +93,8 @@ VIEWS = {
     """,
     "v_gt": "SELECT camera_id, frame, DIV(track_id | 3) AS id, x1, y1, x2, y2, label FROM {v_det}",
     "v_pred": """
-        SELECT camera_id, frame, track_id, CASE WHEN track_id % 3 = 0 AND frame - DIV(track_id | 2) >= 15 THEN -track_id ELSE track_id END AS id, x1 + track_id % 7 AS x1, y1, x2 + track_id % 7 AS x2, y2
-        FROM {v_det} WHERE (frame + track_id) % 17 <> 0
+        SELECT camera_id, frame, track_id, CASE WHEN track_id % 3 = 0 AND frame - DIV(track_id | 2) >= 15 THEN -track_id ELSE track_id END AS id, x1 + off AS x1, y1, x2 + off AS x2, y2
+        FROM (SELECT *, CASE WHEN track_id % 8 = 5 THEN 0.4e0 * (x2 - x1) ELSE track_id % 7 END AS off FROM {v_det}) AS t WHERE (frame + track_id) % 17 <> 0
     """,
     "v_plate_reads": """
         SELECT l_orderkey * 10 + l_linenumber AS read_id, concat('cam_', CAST(l_orderkey % 8 AS VARCHAR(8))) AS camera_id, PLATE(l_orderkey) AS plate, EPOCH(l_shipdate) AS ts,
