@@ -62,6 +62,27 @@ def test_copies_with_hot_groups_and_clashing_names(spark, monkeypatch):
     assert kept.columns == table.columns and sorted(map(tuple, kept.collect())) == [tuple(rows[38]), tuple(rows[39]), (99, "alone", 0, 0, 0, 0)]
 
 
+def test_copies_with_maps_inside_other_types(spark):
+    schema = "doc_id long, text string, s struct<a:int,m:map<string,int>>, m map<string,int>, l array<struct<m:map<string,int>>>"
+    rows = [(1, "T", (2, {"k": 1}), {"z": 1}, []), (1, "t", (1, {"k": 2}), {"z": 2}, [({"q": 1},)]), (1, "t", (1, {"k": 3}), {"z": 3}, None), (2, "u", None, None, None)]
+    kept = exact_dedup.drop_exact_copies(spark.createDataFrame(rows, schema))
+    assert kept.count() == 2 and kept.columns == ["doc_id", "text", "s", "m", "l"]
+    # a row is returned whole, its parts are never mixed
+    first = kept.where("doc_id = 1").first()
+    assert any(first["s"]["m"] == r[2][1] and first["m"] == r[3] for r in rows[:3])
+
+
+def test_a_hot_text_without_ids_is_spread(spark, monkeypatch):
+    """A third of all rows have no id and one text: they are combined where they are read."""
+    monkeypatch.setattr(skew, "HOT_ROWS", 100)
+    rows = [(None if n % 3 == 0 else n, "hot text" if n % 3 == 0 else f"own text {n}", n) for n in range(6_000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(8)
+    kept = exact_dedup.drop_exact_copies(table)
+    assert kept.count() == 4_001 and kept.where("doc_id IS NULL").select("n").collect() == [(0,)]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Window" not in plan
+
+
 def test_split_joins_equal_plain_ones(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 2)
     rows = spark.createDataFrame([(k, n) for n, k in enumerate([None] * 9 + ["a"] * 9 + ["b", "c", "c", "d"])], "k string, n int")
@@ -136,6 +157,33 @@ def test_hot_sets_and_labels(spark, monkeypatch, texts, docs):
     assert sorted(map(key, ngram_join.jaccard_components(docs).collect())) == sorted(map(key, brute(texts)))
 
 
+def test_a_passage_in_a_third_of_all_rows(spark, monkeypatch):
+    """Its shingles are hot keys of the join with the frequencies: no task gets them all."""
+    import random
+
+    monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    asked = []
+    real = ngram_join.hot_keys
+    monkeypatch.setattr(ngram_join, "hot_keys", lambda *a: asked.append(real(*a)) or asked[-1])
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows, at = [], 0
+    for n in range(150):
+        own = [word() for _ in range(120)]
+        for _ in range(2):  # every text has a near copy, so that all of them are candidates
+            near = list(own)
+            near[rng.randrange(120)] = word()
+            rows.append((at, " ".join(near) + (f" {passage}" if n % 3 == 0 else "")))
+            at += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(table).collect()}
+    want = {i: c for i, _, c in brute(rows)}
+    assert got == want and len(set(want.values())) < 200
+    tokens = [h for h in asked if h.columns == ["token"]]
+    assert tokens and tokens[0].count() >= 26
+
+
 def test_trie_is_fast_on_unlinked_sets():
     import time
 

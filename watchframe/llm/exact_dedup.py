@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from .skew import hot_keys, join_split
 from .storage import materialise
@@ -58,17 +59,8 @@ def _recipes(texts: DataFrame, least: int, most: int) -> DataFrame:
     return lists.unionByName(empty.withColumn("recipe", none))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
-    """The group of equal texts of each row: id_col, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical after A-Z are lower-cased; null counts as empty, and empty texts are
-    equal. Of each group the row with the largest id stays (null ids only where all are null). Where
-    rows repeat both id and text, one of them is kept. Texts are read whole, however long they are. Other
-    columns, whatever their names, are not read; an empty table gives an empty result.
-
-    A digest that a large part of all rows share is joined by broadcast (see skew.join_split); groups are
-    aggregated with map-side combination.
-    """
+def _equal_texts(docs: DataFrame, id_col: str, text_col: str, least: int, most: int) -> DataFrame:
+    """One row for each different (id, text): id, text_sha256, times that it occurs, keep_id, group_size."""
     lowered = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     src = docs.select(F.col(id_col).alias("id"), lowered.alias("text")).withColumn("text_sha256", F.sha2("text", 256))
     digest = F.xxhash64(F.transform(chunks(F.col("text"), least, most), lambda c: F.xxhash64(c)))
@@ -89,18 +81,56 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = ["digest", "bytes", "text_sha256"]
     equal = join_split(maybe.drop("held"), groups, keys, "inner", hot_keys(maybe, keys, groups)).select("id", "text_sha256", "times", "keep_id", "group_size")
     alone = alone.select("id", "text_sha256", "times", F.col("id").alias("keep_id"), F.col("times").alias("group_size"))
-    each = equal.unionByName(alone).withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    return equal.unionByName(alone)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> DataFrame:
+    """The group of equal texts of each row: id_col, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical after A-Z are lower-cased; null counts as empty, and empty texts are
+    equal. Of each group the row with the largest id stays (null ids only where all are null). Where
+    rows repeat both id and text, one of them is kept. Texts are read whole, however long they are. Other
+    columns, whatever their names, are not read; an empty table gives an empty result.
+
+    A digest that a large part of all rows share is joined by broadcast (see skew.join_split); groups are
+    aggregated with map-side combination.
+    """
+    each = _equal_texts(docs, id_col, text_col, least, most)
+    each = each.withColumn("turn", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     kept = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("turn") == 1)
     return each.select(F.col("id").alias(id_col), "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
+def _orders(kind: DataType) -> bool:
+    """Whether values of a type can be ordered; maps and variants inside it cannot."""
+    if isinstance(kind, ArrayType):
+        return _orders(kind.elementType)
+    if isinstance(kind, StructType):
+        return all(_orders(f.dataType) for f in kind.fields)
+    return kind.typeName() not in ("map", "variant")
+
+
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns, whatever their names."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+    """The rows of docs that exact_groups keeps, with all their columns, whatever their names and types.
+
+    Of rows that repeat both id and text the first stays, in the order of the other columns: those that have an
+    order, then the JSON of the others (maps, and what holds them). Such rows are combined before the shuffle, and
+    those of a pair that a large part of all rows repeat (null ids of one text) do not move at all.
+    """
+    kept = _equal_texts(docs, id_col, text_col, MIN_CHUNK, MAX_CHUNK).where(F.col("id").eqNullSafe(F.col("keep_id")))
+    kept = materialise(kept.select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"), "times"))
     lowered = lower_ascii(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), F.sha2(lowered, 256).alias("sha"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    rows = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["sha"] == kept["kept_sha"]), "left_semi")
-    # rows that repeat id and text: the first in the order of the other columns that have an order
-    order = [F.col("row")[f.name] for f in docs.schema.fields if f.name != id_col and not f.dataType.typeName() in ("map", "variant")]
-    one = Window.partitionBy("id", "sha").orderBy(*order or [F.lit(1)])
-    return rows.withColumn("turn", F.row_number().over(one)).where("turn = 1").select("row.*")
+    same = lambda r, k: r["id"].eqNullSafe(k["kept_id"]) & (r["sha"] == k["kept_sha"])
+    several = kept.where("times > 1")
+    if several.isEmpty():
+        return rows.join(kept, same(rows, kept), "left_semi").select("row.*")
+    others = [f for f in docs.schema.fields if f.name != id_col]
+    ordered = [F.col("row")[f.name].alias(f"o{i}") for i, f in enumerate(others) if _orders(f.dataType)]
+    told = [F.to_json(F.struct(*[F.col("row")[f.name].alias(f.name) for f in others if not _orders(f.dataType)])).alias("rest")] if any(not _orders(f.dataType) for f in others) else []
+    first = F.min_by("row", F.struct(*ordered, *told) if ordered or told else F.lit(1))
+    hot = hot_keys(kept, ["kept_id", "kept_sha"], several.withColumnRenamed("times", "held"))
+    cold = rows.join(F.broadcast(hot), same(rows, hot), "left_anti")
+    cold = cold.join(kept, same(cold, kept))
+    out = cold.where("times = 1").select("row").unionByName(cold.where("times > 1").groupBy("id", "sha").agg(first.alias("row")).select("row"))
+    return out.unionByName(rows.join(F.broadcast(hot), same(rows, hot), "left_semi").groupBy("id", "sha").agg(first.alias("row")).select("row")).select("row.*")

@@ -482,8 +482,9 @@ def _group_labels(sets: DataFrame, num: int, den: int, block: int) -> DataFrame:
     if not rest.isEmpty():
         posts = rest.select("comp", "sid", "block", "label", F.explode(F.slice("tokens", F.lit(1), F.col("ahead"))).alias("token"))
         # prefix shingles of several components, and the blocks (never more than the group has) that hold them
-        held = posts.groupBy("comp", "token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("block").alias("others")).where("x <> y AND size(others) > 1")
-        meets = posts.join(held, ["comp", "token"]).select("sid", "block", F.explode("others").alias("other")).where("block <> other").select("sid", "other").distinct()
+        held = posts.groupBy("comp", "token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.collect_set("block").alias("others"), F.count("*").alias("held")).where("x <> y AND size(others) > 1")
+        held = materialise(held.select("comp", "token", "others", "held"))
+        meets = join_split(posts, held.drop("held"), ["comp", "token"], "inner", hot_keys(posts, ["comp", "token"], held)).select("sid", "block", F.explode("others").alias("other")).where("block <> other").select("sid", "other").distinct()
         spread = rest.drop("side").join(meets, "sid").withColumn("side", (F.col("block") > F.col("other")).cast("int"))
         last = _solve(spread, F.xxhash64("comp", F.least("block", "other"), F.greatest("block", "other")), num, den, two_sided=True)
         if not last.isEmpty():
@@ -523,15 +524,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = materialise(sets.join(heads.select("sig", "sig2", "sid").hint("merge"), ["sig", "sig2"]).select("sid", "n", "tokens"))
     # exact document frequencies among what is left; a shingle of one set only counts in n
     posts = sets.select("sid", "n", F.explode("tokens").alias("token"))
-    df = posts.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1")
-    ordered = posts.join(df, "token").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
+    df = materialise(posts.groupBy("token").agg(F.count("*").cast("int").alias("df")).where("df > 1"))
+    # a passage in a third of all texts makes its shingles hot: they do not move
+    hot = hot_keys(posts, ["token"], df.withColumnRenamed("df", "held"))
+    ordered = join_split(posts, df, ["token"], "inner", hot).groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("common"))
     ordered = ordered.where(F.size("common") >= F.ceil(F.lit(num) * F.col("n") / den))
     # the rare shingles of the set that come before its common ones take up places of the prefix
     ahead = F.col("n") - F.ceil(F.lit(num) * F.col("n") / den) + 1 - (F.col("n") - F.size("common"))
     ordered = materialise(ordered.select("sid", "n", F.col("common.token").alias("tokens"), F.col("common.df").alias("counts"), ahead.cast("int").alias("ahead")))
     prefix = ordered.select("sid", F.explode(F.slice("tokens", F.lit(1), F.col("ahead"))).alias("token"))
     star = prefix.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("z")).where("a <> z").select("token", "a")
-    edges = prefix.join(star, "token").select("a", F.col("sid").alias("b")).where("a <> b")
+    edges = join_split(prefix, star, ["token"], "inner", hot).select("a", F.col("sid").alias("b")).where("a <> b")
     comps = connected_components(edges).select(F.col("node").alias("sid"), F.col("label").alias("comp"))
     labels = _group_labels(ordered.join(comps, "sid"), num, den, block)
     firsts = members.where("n > 0").groupBy("sig", "sig2").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("held"))
