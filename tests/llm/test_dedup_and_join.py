@@ -162,6 +162,7 @@ def test_a_passage_in_a_third_of_all_rows(spark, monkeypatch):
     import random
 
     monkeypatch.setattr(skew, "HOT_ROWS", 50)
+    monkeypatch.setattr(skew, "HOT_SHARE", 400)  # as with a few hundred partitions
     asked = []
     real = ngram_join.hot_keys
     monkeypatch.setattr(ngram_join, "hot_keys", lambda *a: asked.append(real(*a)) or asked[-1])
