@@ -1,18 +1,20 @@
 """Licence scans: a trained classifier of paragraphs, an unknown class, and template comparison.
 
-A text falls into paragraphs at blank lines, and a paragraph, its line ends taken as spaces, into
-sentences, the units that are classified. The model is a sparse softmax regression over words and word
-pairs with one class for each licence family, one for licences that it does not know and one for other
-text. It is trained in numpy on variations of the notices below and on a bounded sample of the corpus's own
-sentences. Its few weights are literals of one DataFrame expression, and the sentences of every text are
-scored in place: no Python runs on the executors and nothing is shuffled.
-
-Only sentences with an anchor (ANCHORS: words without which no notice is written) are classified; all
-others are other text. A family is named where it is likely enough against `unknown` and other text, as
-calibrated, and its template comparison agrees: enough of a template's word pairs stand in the sentence, all
-words that the family requires (its version among them) do, and none that it excludes (`lesser` for the
-GPL). Sentences that deny a licence ("not licensed under ...") are other text. Sentences that speak of a
-licence but confirm no family are `unknown`.
+A text falls into paragraphs at blank lines, the units that are classified, and a paragraph, its line ends
+taken as spaces, into sentences. The model is a sparse softmax regression over words and word pairs with one
+class for each licence family, one for licences that it does not know and one for other text. It is trained in
+numpy on variations of the notices below and on a bounded sample of the corpus's own sentences. Its few weights
+are literals of one DataFrame expression, and the paragraphs of every text are scored in place: no Python runs on
+the executors and nothing is shuffled.
+
+What a paragraph says of licences are its sentences with an anchor (ANCHORS: words without which no notice is
+written) that grant something (GRANTS) or are no longer than a heading; a clause that denies a licence ("not
+under version 3", up to the next comma) is cut out first, "not only" denies nothing. Paragraphs without such a
+sentence are other text. A family is named where it is likely enough against `unknown` and other text, as calibrated,
+and its template comparison agrees for one of the sentences: enough of a template's word pairs stand in it, all
+words that the family requires (its version among them) do, and none that it excludes (`lesser` for the GPL).
+Of alternatives ("GPL-2.0 or MIT") each is read as a grant of its own. Paragraphs that speak of a licence but confirm no
+family are `unknown`.
 """
 
 from __future__ import annotations
@@ -84,11 +86,16 @@ FAMILIES = {
 ANCHORS = r"licen[sc]|spdx|gpl|(?<![a-z])[me]pl(?![a-z])|creative commons|(?<![a-z])cc[ -]?(?:by|0|zero)|attribution|public domain|permission (?:is hereby|to use)|redistribution and use|wtfpl|to endorse or promote"
 #: Parts of text that every text with an anchor holds: the quick look before texts are cut up.
 _STEMS = ("licen", "spdx", "gpl", "mpl", "epl", "creative commons", "cc by", "cc-by", "ccby", "cc0", "cc 0", "cc-0", "cc zero", "cc-zero", "cczero", "attribution", "public domain", "permission ", "permission\n", "redistribution", "creative\n", "wtfpl", "endorse", "public\n")
-#: A licence is denied.
-DENIAL = r"(?<![a-z])(?:not|never|neither|nor|no longer|isn't|aren't|wasn't|cannot be|can't be)(?: [a-z]+){0,2} (?:licensed|released|distributed|available|covered|published|provided|offered|under|subject to)(?![a-z])"
+#: A clause that denies a licence, up to the next comma or `but`.
+DENIAL = r"(?<![a-z])(?:not|never|neither|nor|no longer|isn't|aren't|wasn't|cannot be|can't be)(?! only)(?: [a-z]+){0,2} (?:licensed|released|distributed|available|covered|published|provided|offered|under|subject to)(?![a-z])(?:(?! but )[^,;:()])*"
+#: Words that grant something, and what else only notices say; and the words of a heading at most.
+GRANTS = r"(?<![a-z])(?:re-?licen[sc]ed|licen[sc]ed|released|distributed?|redistributed?|available|covered|provided|published|offered|permitted|granted|dedicated|governed|redistribution|permission|spdx-license-identifier|under|subject to|terms|used?|applies|endorse)(?![a-z])"
+HEADING_WORDS = 9
 #: Words that say nothing about a licence.
 STOP_WORDS = "a an and any are as at be for from in is it of on or that the this to was with you".split()
 _WORD = r"[a-z0-9][a-z0-9.\-]*[a-z0-9]|[a-z0-9]"
+#: How a licence's name begins.
+NAMES = r"(?:mit|apache|[la]?gpl|gnu|bsd|[23]-clause|simplified|mpl|mozilla|epl|eclipse|isc|cc0?|creative commons|unlicense|zlib|wtfpl|boost|bsl|artistic)(?![a-z])"
 #: (pattern, replacement), in this order: one spelling for each name and version.
 SPELLINGS = [
     (r"\s+", " "),
@@ -108,6 +115,9 @@ SPELLINGS = [
     (r"(?<![a-z])two-clause", "2-clause"),
     (r"(?<![a-z])three-clause", "3-clause"),
     (r"public license,? v ", "public license version "),
+    # alternatives: each has the grant of the first; twice, for three of them
+    (rf"((?:(?:licensed|released|distributed|available|offered|published|provided|used?) under|spdx-license-identifier)[^;]*?),? (?:and/or|or|and) (?:under )?(?:the |a )?(?={NAMES})", "$1 or licensed under "),
+    (rf"(or licensed under [^;]*?),? (?:and/or|or|and) (?:under )?(?:the |a )?(?={NAMES})", "$1 or licensed under "),
 ]
 PARAGRAPH = r"\n[ \t\r]*\n\s*"
 SENTENCE = r"(?<=[.!?])\s+(?=[A-Z\"'(*#])"
@@ -244,7 +254,7 @@ def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
     """Licence notices of each row: id_col, n_paragraphs, n_notices, families, notices.
 
     notices: array of (paragraph from 0, family or `unknown`, likelihood, coverage of its template), by
-    paragraph, then place of the sentence, then family. families: the confirmed ones, sorted, joined by
+    paragraph, then family; a family counts once in a paragraph. families: the confirmed ones, sorted, joined by
     commas. Null, empty and blank texts have no paragraph. Texts are read whole, however long they are.
     Rows keep their number, repeated and null ids too; other columns, whatever their names, are not read;
     an empty table gives an empty result.
@@ -287,11 +297,12 @@ def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
         return F.when(ok, cover)
 
     def judged(s):
-        """Named families of a sentence (struct i: paragraph, own: grams, z: logits), or `unknown`."""
+        """Named families of a paragraph (struct i, owns: grams of each sentence, z: logits of all), or `unknown`."""
         z = s["z"]
+        covered = lambda n: F.array_max(F.transform(s["owns"], lambda own: confirmed(own, n)))
         top = F.greatest(z[width - 2], z[width - 1])
         rest = top + F.log(F.exp(z[width - 2] - top) + F.exp(z[width - 1] - top))
-        found = [F.struct(s["i"].alias("paragraph"), F.lit(n).alias("family"), F.round(1 / (1 + F.exp(rest - z[k])), 6).alias("likelihood"), F.round(confirmed(s["own"], n), 6).alias("coverage")) for k, n in enumerate(families)]
+        found = [F.struct(s["i"].alias("paragraph"), F.lit(n).alias("family"), F.round(1 / (1 + F.exp(rest - z[k])), 6).alias("likelihood"), F.round(covered(n), 6).alias("coverage")) for k, n in enumerate(families)]
         named = F.filter(F.array(*found), lambda f: f["coverage"].isNotNull() & (f["likelihood"] >= model.least))
         best = F.array_max(F.slice(z, F.lit(1), F.lit(width - 1)))
         none = F.struct(s["i"].alias("paragraph"), F.lit(UNKNOWN).alias("family"), F.round(1 / (1 + F.exp(z[width - 1] - best)), 6).alias("likelihood"), F.lit(0.0).alias("coverage"))
@@ -304,10 +315,11 @@ def license_scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col
         may = may | F.contains(low, F.lit(stem))
     paragraphs = F.when(text.rlike(r"\S"), F.split(F.trim(text), PARAGRAPH, -1)).otherwise(F.array().cast("array<string>"))
     n_paragraphs = F.when(text.rlike(r"\S"), F.regexp_count(F.trim(text), F.lit(PARAGRAPH)) + 1).otherwise(0)
-    sentences = F.flatten(F.transform(paragraphs, lambda p, i: F.transform(F.split(p, SENTENCE, -1), lambda s: F.struct(i.cast("int").alias("i"), s.alias("s")))))
-    likely = F.transform(sentences, lambda x: F.struct(x["i"].alias("i"), F.regexp_replace(F.lower(x["s"]), r"\s+", " ").alias("s")))
-    likely = F.filter(likely, lambda x: x["s"].rlike(ANCHORS) & ~x["s"].rlike(DENIAL))
-    scored = F.transform(F.transform(likely, lambda x: F.struct(x["i"].alias("i"), with_pairs(words(spelled(x["s"]))).alias("own"))), lambda x: F.struct(x["i"].alias("i"), x["own"].alias("own"), logits(x["own"]).alias("z")))
+    clause = lambda x: F.regexp_replace(F.regexp_replace(F.lower(x), r"\s+", " "), DENIAL, " ")
+    speaks = lambda x: x.rlike(ANCHORS) & (x.rlike(GRANTS) | (F.size(F.split(F.trim(x), " +")) <= HEADING_WORDS))
+    likely = F.transform(paragraphs, lambda p, i: F.struct(i.cast("int").alias("i"), F.filter(F.transform(F.split(p, SENTENCE, -1), clause), speaks).alias("said")))
+    told = F.transform(F.filter(likely, lambda x: F.size(x["said"]) > 0), lambda x: F.struct(x["i"].alias("i"), F.transform(x["said"], lambda s: with_pairs(words(spelled(s)))).alias("owns")))
+    scored = F.transform(told, lambda x: F.struct(x["i"].alias("i"), x["owns"].alias("owns"), logits(F.array_distinct(F.flatten(x["owns"]))).alias("z")))
     notices = F.when(may, F.flatten(F.transform(scored, judged))).otherwise(F.array().cast("array<struct<paragraph:int,family:string,likelihood:double,coverage:double>>"))
     rows = docs.select(F.col(id_col), n_paragraphs.alias("n_paragraphs"), notices.alias("notices"))
     named = F.array_sort(F.array_distinct(F.filter(F.col("notices.family"), lambda f: f != UNKNOWN)))
