@@ -666,8 +666,8 @@ def _w10(samples, gallery, people):
 TRACK_RUN, SITE_RUN = 40, 10
 
 
-@query("w11_assign_global_ids", "v_samples")
-def _w11(samples):
+def sightings_of(samples: DataFrame) -> DataFrame:
+    """Sightings with their embeddings and site, from the samples of each camera's runs."""
     samples = samples.withColumn("track_id", F.expr(f"sample_id div {TRACK_RUN}"))
     det = samples.withColumns({"gx": F.lit(None).cast("double"), "gy": F.lit(None).cast("double")})
     from pyspark.sql import Window
@@ -675,7 +675,12 @@ def _w11(samples):
     early = samples.withColumn("turn", F.row_number().over(Window.partitionBy("camera_id", "track_id").orderBy("ts"))).where("turn <= 3")
     keys = ["camera_id", "track_id"]
     rows = tracks.sightings(det, samples).join(tracks.sighting_embedding(early), keys).join(tracks.sighting_embedding(samples).withColumnRenamed("emb", "end_emb"), keys)
-    return identity.assign_global_ids(rows.withColumn("site", F.concat(F.lit("s"), F.expr(f"track_id div {SITE_RUN}"))), threshold=0.3)
+    return rows.withColumn("site", F.concat(F.lit("s"), F.expr(f"track_id div {SITE_RUN}")))
+
+
+@query("w11_assign_global_ids", "v_samples")
+def _w11(samples):
+    return identity.assign_global_ids(sightings_of(samples), threshold=0.3)
 
 
 @query("a17_merge_identities", "v_identities", "v_alerts", sql="""

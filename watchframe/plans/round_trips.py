@@ -11,7 +11,7 @@ from ..functions import scalar as fn
 from ..helpers.tables import step_folder
 from ..sources import io
 from ..streaming import jobs
-from .queries import _KEPT, _MARKED, _TAIL, _TRIGGERS, COOLDOWN, GAP, MATRIX, ORACLE_SQL, RULES, calib_df, query, zones_df
+from .queries import _KEPT, _MARKED, _TAIL, _TRIGGERS, COOLDOWN, GAP, MATRIX, ORACLE_SQL, RULES, calib_df, query, sightings_of, zones_df
 
 #: Times and frames of the closing rows, far behind all others: they move the watermark past them.
 END = 4e9
@@ -155,6 +155,29 @@ def _st5(det):
     return _run(rows, close, lambda s: jobs.stream_track_segments(s, 30.0, 0, 0.25, 0.2)).where("camera_id <> 'end'")
 
 
+@query("st4_stream_identity_roles", "v_samples", "v_gallery", "v_people")
+def _st4(samples, gallery, people):
+    """The gallery before all samples (not before the epoch, where watermarks begin), and without person 3 after them: W9's rows, then W10's."""
+    spark = samples.sparkSession
+    one, two, out, state = (_scratch(spark) for _ in range(4))
+    rows = samples.select("gid", "ts", "kind", "quality", "emb")
+    rows.write.parquet(one)
+    known = gallery.join(people, "person_id").select("person_id", "role", "kind", "emb")
+    versions = known.withColumn("ts", F.lit(0.5)).unionByName(known.where("person_id <> 3").withColumn("ts", F.lit(END)))
+    versions.write.parquet(two)
+    source = lambda path, like: jobs.with_event_time(spark.readStream.schema(like.schema).parquet(path))
+    job = jobs.stream_identity_roles(source(one, rows), source(two, versions), t_face=0.28, t_body=0.28)
+    job.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(job.schema).parquet(out).withColumn("ts", F.when(F.col("kind") != "gallery", F.col("ts")))
+
+
+@query("st6_stream_global_ids", "v_samples")
+def _st6(samples):
+    rows = sightings_of(samples).withColumn("ts", F.col("end_ts"))
+    last = lambda at: tuple({"site": "end", "camera_id": "end", "track_id": -1, "positions": [], "emb": [0.0], "end_emb": [0.0], "n_samples": 0}.get(f.name, at if f.dataType.typeName() == "double" else None) for f in rows.schema)
+    return _run(rows, [last(END), last(END + 1e6)], lambda s: jobs.stream_global_ids(s, longest_s=END, threshold=0.3)).where("site <> 'end'")
+
+
 # these two take the SQL of their batch queries, which holds its views already
 ORACLE_SQL["st3_stream_plate_votes"] = ORACLE_SQL["w8_plate_decisions"]
 ORACLE_SQL["st5_stream_track_segments"] = f"SELECT camera_id, track_id, segment, min(frame) AS start_frame, max(frame) AS end_frame, count(*) AS rows FROM ({ORACLE_SQL['w6_segment_tracks']}) GROUP BY ALL"

@@ -6,16 +6,16 @@ behind it are dropped. On ordered input each job's rows equal its batch job's.
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.identity import GLOBAL_DEFAULTS, RoleState, assign_epoch
+from ..operators.identity import GLOBAL_DEFAULTS, ROLE_DEFAULTS, RoleState, _nearest, _table, assign_epoch
 from ..operators.presence import DEFAULT_ROLES
 
 _TIMEOUT = GroupStateTimeout.EventTimeTimeout
@@ -228,31 +228,137 @@ def stream_plate_votes(reads: DataFrame, grace_s: float = 2.5, min_reads: int =
 
 
 _ROLES = "gid long, ts double, kind string, role string, role_person long, observations long"
-
-
-def stream_identity_roles(matched: DataFrame, roles: dict[int, str], forget_s: float = 86_400.0, **limits) -> DataFrame:
-    """Role of each identity after each of its samples. roles: the registry's people, sent with the job."""
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        one = RoleState(roles, **limits)
-        if state.exists:
-            one.role, person, one.n, people, scores = state.get
-            one.person = None if person is None or person < 0 else person
-            one.evidence = dict(zip(people, scores, strict=True))
-        out, rows = [], pd.concat(list(frames))
-        rows = rows.assign(later=rows.kind == "body").sort_values(["ts", "later", "quality", "person_id"], kind="stable")
-        for r in rows.itertuples():
-            person, sim = (None if pd.isna(r.person_id) else int(r.person_id)), (None if pd.isna(r.sim) else r.sim)
-            out.append((key[0], r.ts, r.kind, one.add(r.kind, person, sim, r.quality), one.person, one.n))
-        state.update((one.role, -1 if one.person is None else one.person, one.n, list(one.evidence), list(one.evidence.values())))
-        state.setTimeoutTimestamp(max(int((rows.ts.max() + forget_s) * 1000), state.getCurrentWatermarkMs() + 1))
+#: Keys of the role job: each has the states of its share of the identities and a copy of the gallery.
+ROLE_KEYS = 64
+_SAMPLES = "ts double, kind string, quality double, emb array<double>"
+_IDENTITY = f"role string, person long, n long, last double, people array<long>, scores array<double>, recent array<struct<{_SAMPLES.replace(' double', ':double').replace(' string', ':string').replace(' array', ':array')}>>"
+_GALLERY = "person_id long, role string, kind string, emb array<double>"
+
+
+def keyed_state(spark: SparkSession) -> None:
+    """The state store that keeps lists, maps and timers; read when a query starts."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Roles(StatefulProcessor):
+    """One key's identities (a map by gid, each with its last samples) and its copy of the newest gallery (a list)."""
+
+    def __init__(self, forget_s: float, limits: dict):
+        self.forget_s, self.limits, self.p = forget_s, limits, ROLE_DEFAULTS | limits
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.identities = handle.getMapState("identities", "gid long", _IDENTITY)
+        self.gallery = handle.getListState("gallery", _GALLERY)
+
+    def _known(self) -> tuple[dict, dict]:
+        """Roles of the gallery's people, and the vectors of each kind."""
+        rows = list(self.gallery.get())
+        kinds = {k: [r for r in rows if r[2] == k] for k in {r[2] for r in rows}}
+        return {r[0]: r[1] for r in rows}, {k: _table([r[0] for r in own], [r[3] for r in own]) for k, own in kinds.items() if k is not None}
+
+    def _match(self, samples: list[tuple]) -> list[tuple]:
+        """(person, similarity) of each sample (ts, kind, quality, emb), or (None, None)."""
+        out: list[tuple] = [(None, None)] * len(samples)
+        for kind, table in self.vectors.items():
+            own = [i for i, s in enumerate(samples) if s[1] == kind and s[3] is not None]
+            if own:
+                person, sim = _nearest(np.stack([np.asarray(samples[i][3], float) for i in own]), *table)
+                for i, a, b in zip(own, person, sim, strict=True):
+                    out[i] = int(a), float(b)
+        return out
+
+    def _load(self, gid: int) -> tuple[RoleState, list, float]:
+        one = RoleState(self.roles, **self.limits)
+        if not self.identities.containsKey((gid,)):
+            return one, [], 0.0
+        one.role, one.person, one.n, last, people, scores, recent = self.identities.getValue((gid,))
+        one.evidence = dict(zip(people, scores, strict=True))
+        return one, [tuple(r) for r in recent], last
+
+    def _keep(self, gid: int, one: RoleState, recent: list, last: float) -> None:
+        scores = {k: float(v) for k, v in one.evidence.items()}
+        self.identities.updateValue((gid,), (one.role, one.person, one.n, last, list(scores), list(scores.values()), recent))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows))
+        self.roles, self.vectors = self._known()
+        out, newest = [], 0.0
+        versions = rows[rows.gid.isna()].sort_values("ts", kind="stable")
+        samples = rows[rows.gid.notna()]
+        marks = [*sorted(versions.ts.unique()), float("inf")]
+        low = float("-inf")
+        for high in marks:  # what came before each version of the gallery, then the version
+            now = samples[(samples.ts >= low) & (samples.ts < high)]
+            for gid, own in now.groupby("gid"):
+                out += self._observe(int(gid), own)
+            if high < float("inf"):
+                new = versions[versions.ts == high]
+                # a version without people is one row without a person
+                self.gallery.put([(int(r.person_id), r.person_role, r.kind, None if r.emb is None else [float(x) for x in r.emb]) for r in new.itertuples() if not pd.isna(r.person_id)] or [(-1, None, None, None)])
+                self.roles, self.vectors = self._known()
+                out += self._rescore(high)
+            low = high
+        newest = float(rows.ts.max())
+        self.handle.registerTimer(int((newest + self.forget_s) * 1000) + 1)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROLES.split(", ")]).astype({"role_person": "Int64"})
 
-    kept = "role string, person long, n long, people array<long>, scores array<double>"
-    return matched.groupBy("gid").applyInPandasWithState(step, _ROLES, kept, "append", _TIMEOUT)
+    def _observe(self, gid: int, own: pd.DataFrame) -> list[tuple]:
+        one, recent, last = self._load(gid)
+        samples = [(float(r.ts), r.kind, float(r.quality), None if r.emb is None else [float(x) for x in r.emb]) for r in own.itertuples()]
+        matched = sorted(zip(samples, self._match(samples), strict=True), key=lambda m: (m[0][0], m[0][1] == "body", m[0][2], m[1][0] is None, m[1][0] or 0))
+        out = []
+        for sample, (person, sim) in matched:
+            ts, kind, quality, _ = sample
+            role = one.add(kind, person, sim, quality)
+            if quality >= self.p["min_quality"]:
+                recent = [*recent, sample][-self.p["recent"] :]
+            out.append((gid, ts, kind, role, one.person, one.n))
+        self._keep(gid, one, recent, max(last, samples[-1][0], *(s[0] for s in samples)))
+        return out
+
+    def _rescore(self, ts: float) -> list[tuple]:
+        """Every identity anew from its last samples; one whose person is gone is pending again."""
+        out = []
+        for (gid,) in list(self.identities.keys()):
+            one, recent, last = self._load(gid)
+            one.evidence = {}
+            if one.person is not None and one.person not in self.roles:
+                one.person, one.role = None, "pending"
+            for (_, kind, quality, _), (person, sim) in zip(recent, self._match(recent), strict=True):
+                one.score(kind, person, sim, quality)
+            one.decide()
+            self._keep(gid, one, recent, last)
+            out.append((gid, ts, "gallery", one.role, one.person, one.n))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() / 1000 - self.forget_s
+        for (gid,) in list(self.identities.keys()):
+            if self.identities.getValue((gid,))[3] <= due:
+                self.identities.removeKey((gid,))
+        yield pd.DataFrame([], columns=[c.split()[0] for c in _ROLES.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_identity_roles(samples: DataFrame, gallery: DataFrame, forget_s: float = 86_400.0, keys: int = ROLE_KEYS, **limits) -> DataFrame:
+    """Role of each identity after each of its samples and after each version of the gallery: gid, ts, kind, role, role_person, observations.
+
+    samples: gid, ts, kind, quality, emb, event_time; gallery: ts (of the version), person_id, role, kind, emb,
+    event_time, both as streams. A version is the whole gallery, its rows come in one batch, and it replaces the
+    one before: every identity is scored anew from its last samples (`recent`, 20), which gives rows of kind
+    `gallery`. A sample is matched against the version that was in force at its time.
+
+    Identities are dealt to `keys` keys by the hash of their gid; the gallery, which is small, goes to each of
+    them, so a change reaches every identity and no key holds more than its share. An identity without a sample
+    for forget_s is forgotten.
+    """
+    keyed_state(samples.sparkSession)
+    rows = samples.select(F.pmod(F.xxhash64("gid"), F.lit(keys)).alias("key"), "event_time", "gid", "ts", "kind", "quality", F.col("emb").cast("array<double>").alias("emb"), F.lit(None).cast("long").alias("person_id"), F.lit(None).cast("string").alias("person_role"))
+    known = gallery.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(keys - 1).cast("long"))).alias("key"), "event_time", F.lit(None).cast("long").alias("gid"), "ts", "kind", F.lit(None).cast("double").alias("quality"), F.col("emb").cast("array<double>").alias("emb"), F.col("person_id").cast("long").alias("person_id"), F.col("role").alias("person_role"))
+    return rows.unionByName(known).groupBy("key").transformWithStateInPandas(_Roles(forget_s, limits), _ROLES, "append", "eventTime")
 
 
 _SEGMENTS = "camera_id string, track_id long, segment long, start_frame long, end_frame long, rows long"
@@ -296,47 +402,98 @@ def stream_track_segments(det: DataFrame, fps: float, grace: int = 45, longest_s
 _GLOBAL = "site string, camera_id string, track_id long, gid long"
 
 
+class _GlobalIds(StatefulProcessor):
+    """One site's open sightings (a list, a row each), the time spans that they make up, and the number of ids used."""
+
+    def __init__(self, wait_s: float, limits: dict, columns: list[tuple[str, str]]):
+        self.wait_s, self.limits, self.columns = wait_s, limits, columns
+        self.quiet = (GLOBAL_DEFAULTS | limits)["forget_s"]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getListState("open", ", ".join(f"{c} {t}" for c, t in self.columns))
+        self.spans = handle.getValueState("spans", "starts array<double>, ends array<double>, used long")
+
+    def _told(self) -> tuple[list, list, int]:
+        found = self.spans.get()
+        return (list(found[0]), list(found[1]), found[2]) if found is not None else ([], [], 0)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names = [c for c, _ in self.columns]
+        starts, ends, used = self._told()
+        spans, newest = list(zip(starts, ends, strict=True)), None
+        for chunk in rows:
+            chunk = chunk[chunk.assign_ts.notna()]
+            if len(chunk):
+                # only new rows are written; what is there is not read
+                self.open.appendList([tuple(_plain(v) for v in r) for r in chunk[names].itertuples(index=False)])
+                spans += zip(chunk.first_ts.astype(float), chunk.end_ts.astype(float), strict=True)
+                newest = max(chunk.end_ts.max(), newest or 0.0)
+        merged: list[list[float]] = []
+        for start, end in sorted(spans):
+            if merged and start - merged[-1][1] <= self.quiet:
+                merged[-1][1] = max(merged[-1][1], end)
+            else:
+                merged.append([start, end])
+        self.spans.update(([a for a, _ in merged], [b for _, b in merged], used))
+        if newest is not None:
+            self.handle.registerTimer(int((newest + self.quiet + self.wait_s) * 1000) + 1)
+        yield self._rows([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        starts, ends, used = self._told()
+        now = timerValues.getCurrentWatermarkInMs() / 1000
+        over = sum(end + self.quiet + self.wait_s <= now for end in ends)  # spans are in order, and so are their ends
+        if not over:
+            yield self._rows([])
+            return
+        rows = pd.DataFrame(list(self.open.get()), columns=[c for c, _ in self.columns])
+        rows = rows.sort_values(["assign_ts", "camera_id", "track_id"]).reset_index(drop=True)
+        done, out = rows.end_ts <= ends[over - 1], []
+        part = rows[done]
+        busy = part.end_ts.cummax().shift()
+        for _, epoch in part.groupby((busy.isna() | (part.first_ts - busy > self.quiet)).cumsum()):
+            found = assign_epoch(epoch, **self.limits)
+            out += [(key[0], c, t, used + n) for c, t, n in found.itertuples(index=False)]
+            used += int(found.number.max())
+        left = [tuple(_plain(v) for v in r) for r in rows[~done].itertuples(index=False)]
+        self.open.put(left) if left else self.open.clear()
+        self.spans.update((starts[over:], ends[over:], used))
+        yield self._rows(out)
+
+    def _rows(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _GLOBAL.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    """A cell as Python values, as the state store takes them."""
+    if isinstance(value, np.generic):
+        return value.item()
+    if isinstance(value, (np.ndarray, list)):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return tuple(_plain(v) for v in value.values())
+    return tuple(_plain(v) for v in value) if isinstance(value, tuple) else value
+
+
 def stream_global_ids(sightings: DataFrame, longest_s: float = 120.0, **limits) -> DataFrame:
     """Global ids of sightings as their epochs close: site, camera_id, track_id, gid, equal to the batch job's.
 
     sightings: the batch job's rows (site, camera_id, track_id, first_ts, last_ts, end_ts, assign_ts, emb,
-    end_emb, positions) with event_time of end_ts; none lasts longer than longest_s. State by site: the rows
-    of the epochs that are still open, and how many ids the closed ones have used. An epoch is closed once
-    the watermark has passed its end by forget_s and longest_s, as no sighting can join it any more.
+    end_emb, positions) with event_time of end_ts; none lasts longer than longest_s. State by site: a list with one
+    element for each sighting of the open epochs, to which a batch only appends, the few spans of time that they
+    cover, and how many ids the closed ones have used. A timer of each batch asks whether the first spans are over:
+    once the watermark has passed a span's end by forget_s and longest_s, no sighting can join it any more. Only
+    then are the rows read: a sighting is read when its span closes, and written anew only if it belongs to a later one.
     """
-    quiet = (GLOBAL_DEFAULTS | limits)["forget_s"]
+    keyed_state(sightings.sparkSession)
+    kinds = dict(sightings.dtypes)
     names = ["camera_id", "track_id", "first_ts", "last_ts", "end_ts", "assign_ts", "emb", "end_emb", "positions"]
-
-    def epochs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        rows = rows.sort_values(["assign_ts", "camera_id", "track_id"]).reset_index(drop=True)
-        busy = rows.end_ts.cummax().shift()
-        number = (busy.isna() | (rows.first_ts - busy > quiet)).cumsum()
-        yield from (part for _, part in rows.groupby(number))
-
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows, used = [], 0
-        if state.exists:
-            data, used = state.get
-            rows.append(pickle.loads(data))
-        if not state.hasTimedOut:
-            rows += [f[f.assign_ts.notna()][names] for f in frames]
-        rows = pd.concat(rows) if rows else pd.DataFrame(columns=names)
-        out, kept, now = [], [], state.getCurrentWatermarkMs() / 1000
-        for part in epochs(rows) if len(rows) else ():
-            if kept or now < part.end_ts.max() + quiet + longest_s:
-                kept.append(part)  # later epochs wait for this one: ids go up in time
-                continue
-            found = assign_epoch(part, **limits)
-            out += [(key[0], c, t, used + n) for c, t, n in found.itertuples(index=False)]
-            used += int(found.number.max())
-        left = pd.concat(kept) if kept else rows.iloc[:0]
-        state.update((pickle.dumps(left), used))
-        if len(left):
-            due = min(part.end_ts.max() for part in kept[:1]) + quiet + longest_s
-            state.setTimeoutTimestamp(max(int(due * 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _GLOBAL.split(", ")])
-
-    return sightings.groupBy("site").applyInPandasWithState(step, _GLOBAL, "rows binary, used long", "append", _TIMEOUT)
+    job = _GlobalIds(longest_s, limits, [(c, kinds[c]) for c in names])
+    return sightings.groupBy("site").transformWithStateInPandas(job, _GLOBAL, "append", "eventTime")
 
 
 def write_latest_frame(det: DataFrame, path: str, checkpoint: str):
