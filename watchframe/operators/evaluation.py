@@ -220,11 +220,13 @@ def unknown_people(gt: DataFrame, enrolled: DataFrame, after: int) -> DataFrame:
 def pick_shots(boxes: DataFrame, n: int = 8, apart: int = 15) -> DataFrame:
     """Up to n shots of each person: tallest first, at least `apart` frames from the chosen ones of the same camera.
 
-    boxes: id, camera_id, frame, height. A person's boxes are cut to the tallest of each stretch of
-    frames before they are gathered.
+    boxes: id, camera_id, frame, height; of several boxes of a person in one frame the tallest counts. A shot that is
+    chosen rules out fewer than 2 x apart frames, so all n are among the tallest n x (2 x apart - 1), which is all
+    that is gathered.
     """
-    tall = Window.partitionBy("id", "camera_id", F.floor(F.col("frame") / apart)).orderBy(F.desc("height"), "frame")
-    rows = boxes.withColumn("place", F.row_number().over(tall)).where(F.col("place") <= apart)
+    one = boxes.groupBy("id", "camera_id", "frame").agg(F.max("height").alias("height"))
+    tall = Window.partitionBy("id").orderBy(F.desc("height"), "camera_id", "frame")
+    rows = one.withColumn("place", F.row_number().over(tall)).where(F.col("place") <= n * (2 * apart - 1))
     lists = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("height")).alias("h"), "camera_id", "frame"))).alias("all"))
     none = F.array().cast(lists.schema["all"].dataType.simpleString())
 

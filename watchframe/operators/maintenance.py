@@ -28,6 +28,36 @@ def replace_tracks(tracks: DataFrame, embeddings: DataFrame, new: DataFrame, cam
     return kept.unionByName(new), embeddings.join(gone.select("track_id"), "track_id", "left_anti")
 
 
+def replace_partitions(rows: DataFrame, path: str, by: str, values: list) -> None:
+    """Writes rows anew for `values` of the partition column `by` of the Parquet table at path; other partitions' files stay as they are.
+
+    Partitions that rows have are overwritten when the job commits; those of `values` that they have not are removed
+    after it. Rows of other values are an error. A new table is made if there is none.
+    """
+    spark = rows.sparkSession
+    if not rows.where(~F.coalesce(F.col(by).isin(values), F.lit(False))).isEmpty():
+        raise ValueError(f"rows of other partitions than {values}")
+    there = {r[by] for r in rows.select(by).distinct().collect()}  # at most the values given
+    rows.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    for value in values:
+        if value not in there:
+            files.delete(spark._jvm.org.apache.hadoop.fs.Path(folder, names.getPartitionPathString(by, str(value))), True)
+
+
+def overwrite_cameras(tracks: DataFrame, embeddings: DataFrame, folder: str, cameras: list[str]) -> None:
+    """The cameras' tracks and embeddings in the tables folder/tracks and folder/embeddings, both partitioned by camera_id, written anew.
+
+    The unit of change is the camera: embeddings carry their track's camera, so what depends on the tracks is replaced
+    with them and no other camera's files are read or written. Tracks come last: a run that stopped in between leaves
+    no track whose embedding is not there, and is done again with the same result.
+    """
+    replace_partitions(embeddings, f"{folder.rstrip('/')}/embeddings", "camera_id", cameras)
+    replace_partitions(tracks, f"{folder.rstrip('/')}/tracks", "camera_id", cameras)
+
+
 def delete_unit(people: DataFrame, embeddings: DataFrame, unit: str) -> tuple[DataFrame, DataFrame]:
     """(people, embeddings) without a unit's people."""
     gone = people.where(F.col("unit") == unit)

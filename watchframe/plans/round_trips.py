@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as fn
-from ..helpers.tables import step_folder
+from ..helpers.tables import step_folder, write_again
+from ..operators import maintenance
 from ..sources import io
 from ..streaming import jobs
 from .queries import _KEPT, _MARKED, _TAIL, _TRIGGERS, COOLDOWN, GAP, MATRIX, ORACLE_SQL, RULES, calib_df, query, sightings_of, zones_df
@@ -42,6 +43,14 @@ def _s2(det):
     return io.read_kpf(det.sparkSession, geom, types)
 
 
+@query("s3_read_ground_truth_json", "v_gt", sql="SELECT camera_id AS camera, frame, id AS global_id, x1, y1, x2, y2, label AS class FROM v_gt")
+def _s3(gt):
+    path = _scratch(gt.sparkSession)
+    head = {"dataset": F.lit("site"), "camera": F.col("camera_id"), "fps": F.lit(30.0), "width": F.lit(1280), "height": F.lit(720), "num_frames": F.lit(0), "exhaustive": F.lit(True), "cross_camera_ids": F.lit(True), "global_id": F.col("id"), "class": F.col("label")}
+    io.write_ground_truth(gt.withColumns(head), path)
+    return io.read_ground_truth_json(gt.sparkSession, path).select("camera", "frame", "global_id", "x1", "y1", "x2", "y2", "class")
+
+
 @query("s4_read_calibration", "v_det", sql=f"SELECT right(camera_id, 1)::INTEGER AS camera, SEQ(12) AS at, unnest({MATRIX}) AS v FROM (SELECT DISTINCT camera_id FROM v_det)")
 def _s4(det):
     path = _scratch(det.sparkSession)
@@ -92,6 +101,36 @@ def _s10(alerts):
     return alerts.sparkSession.read.parquet(f"{path}/events").select("event_id", "rule", "gid", "day")
 
 
+@query("x4_overwrite_cameras", "v_tracks", "v_samples", sql="""
+    WITH t AS (SELECT t.*, e.sample_id AS emb_id FROM v_tracks t LEFT JOIN v_samples e ON e.sample_id = t.track_id WHERE t.camera_id NOT IN ('cam_3', 'cam_5') OR (t.camera_id = 'cam_3' AND end_ts < 8e8))
+    SELECT camera_id, count(*) AS tracks, count(emb_id) AS embeddings, camera_id <> 'cam_3' AS same_files FROM t GROUP BY camera_id""")
+def _x4(tr, samples):
+    """cam_3 gets part of its tracks anew and cam_5 none; the other cameras' files are the ones that were there."""
+    spark, folder = tr.sparkSession, _scratch(tr.sparkSession)
+    emb = tr.select("camera_id", "track_id").join(samples.select(F.col("sample_id").alias("track_id"), "emb"), "track_id")
+    cameras = [r["camera_id"] for r in tr.select("camera_id").distinct().collect()]  # a site's cameras
+    maintenance.overwrite_cameras(tr, emb, folder, cameras)
+    read = lambda name, like: spark.read.schema(like.schema).parquet(f"{folder}/{name}")
+    files = lambda: read("tracks", tr).select("camera_id", F.col("_metadata.file_path").alias("f")).unionByName(read("embeddings", emb).select("camera_id", F.col("_metadata.file_path").alias("f"))).distinct()
+    before = write_again(files())
+    new = write_again(tr.where("camera_id = 'cam_3' AND end_ts < 8e8"))
+    maintenance.overwrite_cameras(new, emb.join(new.select("track_id"), "track_id", "left_semi"), folder, ["cam_3", "cam_5"])
+    kept = before.join(files(), ["camera_id", "f"], "full").groupBy("camera_id").agg(F.count("*").alias("all"))
+    both = before.join(files(), ["camera_id", "f"]).groupBy("camera_id").agg(F.count("*").alias("same"))
+    same = kept.join(both, "camera_id", "left").select("camera_id", F.coalesce(F.col("same") == F.col("all"), F.lit(False)).alias("same_files"))
+    found = read("tracks", tr).groupBy("camera_id").agg(F.count("*").alias("tracks")).join(read("embeddings", emb).groupBy("camera_id").agg(F.count("*").alias("embeddings")), "camera_id", "left")
+    return found.join(same, "camera_id").select("camera_id", "tracks", F.coalesce("embeddings", F.lit(0)).alias("embeddings"), "same_files")
+
+
+@query("g1_random_plates", "v_vehicles", sql="SELECT count(*) AS n, count(*) AS valid, count(*) AS again FROM v_vehicles")
+def _g1(vehicles):
+    """As many plates as there are vehicles: all are valid, and drawn anew they are the same."""
+    n, spark = vehicles.count(), vehicles.sparkSession
+    draw = lambda: io.random_plates(spark, n, seed=3).withColumn("at", F.monotonically_increasing_id())
+    known = fn.normalize_plate(F.col("plate"))
+    return draw().join(draw().withColumnRenamed("plate", "other"), "at").agg(F.count("*").alias("n"), F.count_if((known["kind"] != "invalid") & (known["corrections"] == 0)).alias("valid"), F.count_if(F.col("plate") == F.col("other")).alias("again"))
+
+
 @query("g2_train_val_split", "v_vehicles", sql="SELECT vehicle_id, CASE WHEN row_number() OVER (ORDER BY vehicle_id) <= floor((SELECT count(*) FROM v_vehicles) * 0.25) THEN 'val' ELSE 'train' END AS split FROM v_vehicles")
 def _g2(vehicles):
     return io.train_val_split(vehicles.select("vehicle_id"), ["vehicle_id"], 0.25)
@@ -120,6 +159,28 @@ def _st1(obs):
     return _run(*_closed(obs), lambda s: jobs.stream_presences(s, GAP)).where("person <> 'end'")
 
 
+@query("s11_stream_once", "v_obs", sql=f"WITH {_MARKED} SELECT person, zone, min(ts) AS entered, max(ts) AS last, count(*) AS observations FROM marked GROUP BY person, zone, presence")
+def _s11(obs):
+    """Observations in two files, most of them twice and the second with repeats of the first's end, then rows that come too late."""
+    spark = obs.sparkSession
+    source, out, state = (_scratch(spark) for _ in range(3))
+    rows = obs.select("event_id", "person", "zone", "ts")
+    low, high = rows.agg(F.coalesce(F.min("ts"), F.lit(0.0)), F.coalesce(F.max("ts"), F.lit(0.0))).first()
+    middle = (low + high) / 2
+    # rows are told late by the watermark of the batch before, so two batches of closing rows stand ahead of them
+    close, again = (spark.createDataFrame([(-n, "end", "end", END + n * 1e6)], rows.schema) for n in (1, 2))
+    first, second = rows.where(F.col("ts") < middle), rows.where(F.col("ts") >= middle)
+    first = first.unionByName(first.where("event_id % 3 <> 0"))
+    second = second.unionByName(second.where("event_id % 3 <> 1")).unionByName(rows.where(F.col("ts").between(middle - 1800, middle)))
+    late = rows.where("event_id % 5 = 0").withColumns({"event_id": F.col("event_id") + 10_000_000_000, "person": F.concat(F.lit("late "), "person")})
+    for part in (first, second, close, again, late):  # a file each, read in this order
+        part.coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    job = jobs.stream_presences(io.once(stream, ["event_id"], "1 hour"), GAP)
+    job.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(job.schema).parquet(out).where("person <> 'end'")
+
+
 @query("st2_stream_alerts", "v_obs", sql=f"WITH {_MARKED}, {_TAIL}, {_TRIGGERS}, {_KEPT} SELECT rule, severity, person, zone, ts, role, dwell FROM kept")
 def _st2(obs):
     spark, (rows, close) = obs.sparkSession, _closed(obs)

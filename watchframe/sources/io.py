@@ -65,7 +65,8 @@ def write_ground_truth(rows: DataFrame, path: str) -> None:
     box = F.struct("frame", "global_id", F.array(*[F.col(c).cast("string") for c in COLUMNS]).alias("r"))
     head = ["dataset", "camera", "fps", "width", "height", "num_frames", "exhaustive", "cross_camera_ids"]
     docs = rows.groupBy(*head).agg(F.array_sort(F.collect_list(box)).alias("b"))
-    docs.select(*head, F.array(*[F.lit(c) for c in COLUMNS]).alias("columns"), F.col("b.r").alias("rows")).write.json(path)
+    # a file is one document by its format, and its reader takes no second one
+    docs.select(*head, F.array(*[F.lit(c) for c in COLUMNS]).alias("columns"), F.col("b.r").alias("rows")).write.option("maxRecordsPerFile", 1).json(path)
 
 
 def read_calibration(spark: SparkSession, scene: str | None, per_camera: str | None) -> DataFrame:
@@ -178,6 +179,17 @@ def stream_plate_reads(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(PLATE_READS).json(path)
 
 
+def once(stream: DataFrame, keys: list[str], late: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """A stream with event_time (from epoch seconds) under a watermark, each row of equal keys once.
+
+    A repeat is dropped as long as its key is remembered: until the watermark passes the first row's time by `late`. Rows
+    that come behind the watermark (later than `late` after the newest one) are dropped by the step that follows,
+    repeated or not; whatever comes in time counts as if it had come in order.
+    """
+    timed = stream.withColumn("event_time", F.timestamp_micros((F.col(ts) * 1_000_000).cast("long"))).withWatermark("event_time", late)
+    return timed.dropDuplicatesWithinWatermark(keys)
+
+
 def random_plates(spark: SparkSession, n: int, seed: int = 0, bh_share: float = 0.1) -> DataFrame:
     """n valid plates from seeded hashes of their numbers; about bh_share of the second layout."""
     from ..functions.scalar import STATE_CODES
