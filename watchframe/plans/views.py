@@ -89,7 +89,7 @@ VIEWS = {
     "v_identities": """
         SELECT c_custkey AS gid, PICK(c_custkey % 4 | 'resident', 'staff', 'unknown', 'pending') AS role_state, CASE WHEN c_custkey % 4 < 2 THEN c_custkey END AS person_id,
                CAST(c_custkey AS DOUBLE) AS first_seen, CAST(c_custkey * 2 AS DOUBLE) AS last_seen
-        FROM {customer} WHERE c_custkey % 9 <> 0
+        FROM {customer}
     """,
     "v_gt": "SELECT camera_id, frame, DIV(track_id | 3) AS id, x1, y1, x2, y2, label FROM {v_det}",
     "v_pred": """
