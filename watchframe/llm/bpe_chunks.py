@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import handing_back, small_batches
 
 #: Cut where these bits of the rolling hash are 0: about 2 KB a chunk.
 CUT_BITS = 11
@@ -263,8 +263,10 @@ def _batches(column: pa.Array, most: int = 1 << 20) -> Iterator[list[bytes]]:
 def bpe_digests(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token count, digest of the ids and digest of the decoded text of each row's whole text.
 
-    Columns: id_col, n_tokens, ids_sha256, decoded_sha256. Null texts are empty. Rows keep their
-    number, repeated ones too; other columns are not read.
+    Columns: id_col, n_tokens, ids_sha256, decoded_sha256. Null texts are empty, and empty ones have no
+    token. Rows keep their number, repeated and null ids too; other columns, whatever their names, are not read.
+    Very long texts are encoded whole, chunk by chunk; their ids and decoded text are held at once. An empty table
+    gives an empty result.
     """
     return _run(docs, tokenizer_file, id_col, text_col, digests=True)
 
@@ -296,7 +298,7 @@ def chunk_reuse(docs: DataFrame, text_col: str = "text", most: int = CHUNKS) ->
                     first.discard(c)
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(state, pa.string())], ["chunk", "state"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "chunk binary, state string")
+    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(handing_back(run), "chunk binary, state string")
     each = rows.groupBy("chunk").agg(F.count("*").alias("n"), *[F.count_if(F.col("state") == s).alias(s) for s in ("in_batch", "remembered", "encoded")])
     return each.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in (("n", "chunks"), ("in_batch", "in_batch"), ("remembered", "remembered"), ("encoded", "encoded"))], F.count("*").alias("different"))
 
@@ -338,4 +340,4 @@ def _run(docs: DataFrame, tokenizer_file: str, id_col: str, text_col: str, diges
                     names = [id_col, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([ids, *columns], names)
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text")).mapInArrow(handing_back(run), schema)

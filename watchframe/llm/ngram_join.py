@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .skew import hot_keys, join_split
-from .storage import materialise, partitions_for, small_batches
+from .storage import handing_back, materialise, partitions_for, small_batches
 from .textops import shingle_sets
 
 #: Postings held by a map task before they are packed and sent.
@@ -439,7 +439,7 @@ def _join_groups(num: int, den: int, two_sided: bool):
 def _solve(groups: DataFrame, key, num: int, den: int, two_sided: bool = False) -> DataFrame:
     """groups: side, label, sid, n, tokens, counts, which meet by key. Written: node, least."""
     rows = groups.select(key.alias("key"), "side", "label", "sid", "n", "tokens", "counts").repartition("key").sortWithinPartitions("key")
-    return materialise(rows.mapInArrow(_join_groups(num, den, two_sided), "node long, least long"))
+    return materialise(rows.mapInArrow(handing_back(_join_groups(num, den, two_sided)), "node long, least long"))
 
 
 def _relabelled(names: DataFrame, found: DataFrame) -> DataFrame:
@@ -506,8 +506,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = partitions_for(src, "text", 64)
-    posts = src.mapInArrow(_postings(BUCKETS * parts, num, den, width), _POSTS)
-    facts = materialise(posts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_count_shared, _FACTS))
+    posts = src.mapInArrow(handing_back(_postings(BUCKETS * parts, num, den, width)), _POSTS)
+    facts = materialise(posts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(handing_back(_count_shared), _FACTS))
     members = facts.where("kind = 0").select("doc_id", "n", "sig", "sig2")
     shared = facts.where("kind = 2").groupBy("sig").agg(F.sum("n").alias("shared"))
     low = F.ceil(F.lit(num) * F.col("n") / den)
@@ -520,7 +520,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = heads.select(F.col("doc_id").alias("head_id")).distinct()
     # always by shuffle: the list of ids grows with the table
     again = src.join(wanted.hint("merge"), src["doc_id"].eqNullSafe(wanted["head_id"]), "left_semi").select("text")
-    sets = again.mapInArrow(_sets(width), "sig long, sig2 long, n long, tokens array<long>").dropDuplicates(["sig", "sig2"])
+    sets = again.mapInArrow(handing_back(_sets(width)), "sig long, sig2 long, n long, tokens array<long>").dropDuplicates(["sig", "sig2"])
     sets = materialise(sets.join(heads.select("sig", "sig2", "sid").hint("merge"), ["sig", "sig2"]).select("sid", "n", "tokens"))
     # exact document frequencies among what is left; a shingle of one set only counts in n
     posts = sets.select("sid", "n", F.explode("tokens").alias("token"))
