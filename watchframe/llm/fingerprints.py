@@ -166,7 +166,9 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     The id range is cut at ids that the table holds into runs of about `run_rows` rows; the first row of
     each cut id is copied to the run before, so each text crosses the network about once and each row meets
-    its next one without any global order in one task. Rows that share one id are in one run.
+    its next one without any global order in one task. Rows that share one id are in one run. There are at most
+    10,000 runs, whose edges stand in the plan: above 41 million rows runs are longer, which costs no memory, as a
+    task reads its runs in order and holds one batch.
     """
     small_batches(docs.sparkSession)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

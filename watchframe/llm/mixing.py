@@ -61,7 +61,8 @@ def served_uses(rows: DataFrame, seed: str = "mix", repeats: int = MAX_REPEATS)
 
     Columns: key, id, size, source_size, target, uses (times that the row is taken), first_finish.
     Both orders are range-sorted running totals, so a source with a third of all rows, or any run of equal
-    finish times, spreads over as many tasks as its rows need.
+    finish times, spreads over as many tasks as its rows need. Only rows that are equal in source, id and size (null ids of
+    one size) cannot be cut by the order and stand in one task, as small rows without their texts.
     """
     src = materialise(rows.withColumn("turn", F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))))))
     targets = materialise(source_targets(src.groupBy("source").agg(F.sum("size").alias("source_size")), repeats))
