@@ -50,7 +50,14 @@ def normalize_boxes(df: DataFrame, width: int, height: int) -> DataFrame:
     return df.withColumns({c: F.bround(F.col(c) / (width if c[0] == "x" else height), 4) for c in ("x1", "y1", "x2", "y2")})
 
 
-def head_box(df: DataFrame, width: int, height: int, share: float = 0.24, pad: float = 0.1) -> DataFrame:
+# Shares of a box. A head is its upper part, with a margin; a face is looked for in a larger part with
+# margins at the sides and above; a plate is read with a margin all around.
+HEAD_SHARE, HEAD_MARGIN = 0.24, 0.1
+REGION_SHARE, REGION_SIDES, REGION_ABOVE = 0.45, 0.15, 0.1
+PLATE_MARGIN = 0.05
+
+
+def head_box(df: DataFrame, width: int, height: int, share: float = HEAD_SHARE, pad: float = HEAD_MARGIN) -> DataFrame:
     """Adds head_*: the top part of each box, padded, cut to the frame, in whole pixels."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return df.withColumns(
@@ -63,13 +70,13 @@ def head_box(df: DataFrame, width: int, height: int, share: float = 0.24, pad: f
     )
 
 
-def head_region(df: DataFrame, width: int, height: int, share: float = 0.45) -> DataFrame:
-    """Adds region_*: the upper part of each person box, wider by 15 % on both sides and 10 % above, in whole pixels."""
+def head_region(df: DataFrame, width: int, height: int, share: float = REGION_SHARE) -> DataFrame:
+    """Adds region_*: the upper part of each person box, wider by REGION_SIDES on both sides and REGION_ABOVE above, in whole pixels."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return _inside(df, "region", width, height, F.col("x1") - w * 0.15, F.col("y1") - h * 0.1, F.col("x2") + w * 0.15, F.col("y1") + h * share)
+    return _inside(df, "region", width, height, F.col("x1") - w * REGION_SIDES, F.col("y1") - h * REGION_ABOVE, F.col("x2") + w * REGION_SIDES, F.col("y1") + h * share)
 
 
-def plate_expand(df: DataFrame, width: int, height: int, share: float = 0.05) -> DataFrame:
+def plate_expand(df: DataFrame, width: int, height: int, share: float = PLATE_MARGIN) -> DataFrame:
     """Adds plate_*: each box larger by a share of its size on all sides, in whole pixels."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return _inside(df, "plate", width, height, F.col("x1") - w * share, F.col("y1") - h * share, F.col("x2") + w * share, F.col("y2") + h * share)
