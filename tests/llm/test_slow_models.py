@@ -2,6 +2,8 @@
 
 import base64
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -160,6 +162,25 @@ def test_languages_equal_a_slow_version(spark, table):
         assert r["rejected"] == (r["score"] < model.least)
 
 
+def test_language_counts_of_all_rows(spark, table):
+    long = spark.createDataFrame([(1, "un deux trois " * 9_000, "fr")], "doc_id long, text string, lang string")
+    model = language_id.fit_counts(table.select("doc_id", "text", "lang").union(long))
+    rows = [r for r in [*table.collect(), *long.collect()] if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    kept = {r["i"] for r in table.select("doc_id").union(long.select("doc_id")).selectExpr("doc_id AS i", "pmod(xxhash64(cast(doc_id AS string)), 10) = 0 AS k").where("k").collect()}
+    want = {x: np.full(language_id.BUCKETS, 0.5) for x in model.languages}
+    for r in rows:
+        times = Counter(letter_words((r["text"] or "").encode())) if r["doc_id"] not in kept else {}
+        for w, n in times.items():
+            for k in language_id.GRAMS:
+                for i in range(len(w) - k + 1):
+                    want[r["lang"]][mix((sum(w[i + j] << (8 * j) for j in range(k)) + k) % M) % language_id.BUCKETS] += n
+            want[r["lang"]][word_hash(w) % language_id.BUCKETS] += n
+    assert model.languages == sorted({r["lang"] for r in rows})
+    for i, x in enumerate(model.languages):
+        assert np.allclose(model.table[:, i], np.log(want[x] / want[x].sum()), atol=1e-5)
+    assert language_id.fit_counts(table.where("false")).languages == []
+
+
 @pytest.mark.parametrize("rule", token_counts.RULES)
 def test_sections_equal_brute_force(spark, table, docs, rule):
     import tiktoken

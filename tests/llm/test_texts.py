@@ -5,8 +5,10 @@ import math
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from watchframe.llm import bpe_chunks, fingerprints, language_id, mixing, token_counts, toxicity
+from watchframe.llm import bpe_chunks, fingerprints, language_id, mixing, textops, token_counts, toxicity
 from watchframe.llm.queries import tokenizer_file
 
 
@@ -210,6 +212,49 @@ def test_toxicity_without_usable_labels():
     assert (toxicity.train([b"x y", b"z"], [1, 1]).scores(toxicity._Text([b"q"], toxicity.BUCKETS)) > 0.5).all()
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # before, 5,000 rows of least hash were learned from and calibrated on: signs of all other rows were unknown
+    ids = spark.range(9_000).where("crc32(cast(id AS string)) % 5 <> 0")
+    rank = F.row_number().over(Window.orderBy(F.xxhash64(F.col("id").cast("string")), "id"))
+    sign = F.when(rank <= 5_000, "awful").otherwise("zorgle")
+    rows = ids.select(F.col("id").alias("doc_id"), (F.col("id") % 7 == 0).cast("int").alias("toxic"), sign.alias("sign"))
+    rows = rows.withColumn("text", F.concat(F.lit("a fine day number "), F.col("doc_id") % 50, F.when(F.col("toxic") == 1, F.concat(F.lit(" you "), "sign")).otherwise(F.lit(" in may"))))
+    for order in ("doc_id", "toxic"):  # the second is in the order of the labels
+        table = spark.createDataFrame(rows.orderBy(order, "doc_id").toPandas()).coalesce(2)
+        model = toxicity.fit(table.select("doc_id", "text"), table.select("doc_id", "toxic"))
+        assert (model.score_texts([b"a fine day number 3 you zorgle", b"a fine day number 3 you awful"]) >= 0.5).all()
+        assert (model.score_texts([b"a fine day number 3 in may", b"a fine day number 8 in may"]) < 0.5).all()
+    # thresholds go by all rows kept out
+    kept = table.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(toxicity.KEPT_OUT)) == toxicity.KEPT_OUT - 1).collect()
+    margins, y = np.round(model.margin_texts([r["text"].encode() for r in kept]) * 1024) / 1024, np.array([r["toxic"] for r in kept])
+    assert len(kept) > 1_300 and model.thresholds[0] == toxicity._threshold(margins, np.ones(len(y)), y, 0.0)
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    # before, texts above 100,000 bytes were scored but not learned from
+    rows = [(i, "plain words " * 10_000 + ("awful" if i % 2 else "fine"), i % 2) for i in range(60)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table, table.select("doc_id", "toxic"))
+    assert (model.score_texts([b"awful words", b"fine words"]) >= 0.5).tolist() == [True, False]
+    again = toxicity.fit(table, table.select("doc_id", "toxic"))
+    assert (again.packed() == model.packed()).all() and (again.thresholds == model.thresholds).all()
+
+
+def test_toxicity_responses_of_texts_in_pieces(monkeypatch):
+    texts = [b" ".join(b"word%d tail" % (n * n % 97) for n in range(40)).translate(bytes.maketrans(b"0123456789", b"abcdefghij")), b"", b"eight nine"]
+    model = toxicity.Model()
+    whole = model.responses(texts)
+    assert (whole[0] == model.pooled(toxicity._Text(texts, toxicity.BUCKETS))[0]).all()
+    monkeypatch.setattr(textops, "SLICE_BYTES", 64)
+    best, found, words = model.responses(texts)
+    f, used = toxicity.FILTERS, whole[1]
+    assert np.allclose(best, whole[0], atol=1e-5) and (found == used).all()
+    for j, width in enumerate(toxicity.WIDTHS):
+        mine = np.zeros_like(used)
+        mine[:, j * f : (j + 1) * f] = used[:, j * f : (j + 1) * f]
+        assert (words[mine][:, :width] == whole[2][mine][:, :width]).all()
+
+
 def test_language_id(spark, docs, texts, empty):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(table)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import small_batches
+from .storage import handing_back, small_batches
 from .textops import _NON_LETTER, Words, in_pieces, mix, slices
 
 BUCKETS = 1 << 15
@@ -26,6 +26,8 @@ GRAMS = (2, 3, 4)
 TRAIN_ROWS = 4_000
 #: Most bytes of a text that training reads; the language of longer ones is predicted but not learned from.
 TRAIN_BYTES = 100_000
+#: Temperatures that calibration of a model of counts tries.
+TEMPERATURES = (0.01, 0.02, 0.035, 0.05, 0.07, 0.1, 0.14, 0.2, 0.3, 0.5, 1.0)
 #: Share of texts with a known language that calibration may reject.
 REJECT = 0.01
 
@@ -149,6 +151,69 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([r["t"].encode() for r in got], [r["l"] for r in got])
 
 
+def fit_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+    """Model from the feature counts of all rows of a non-null language whose crc32(id as text) mod 5 is not 0, their texts whole.
+
+    A feature's scores are the logarithms of its smoothed shares in each language. Every tenth id is kept out of
+    the counts and gives temperature and least confidence. Languages are few; counts and histograms are all
+    that comes to the driver.
+    """
+    small_batches(docs.sparkSession)
+    key = F.col(id_col).cast("string")
+    rows = docs.where(F.col(lang_col).isNotNull() & (F.crc32(key) % 5 != 0))
+    rows = rows.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"), F.col(lang_col).alias("l"), (F.pmod(F.xxhash64(key), F.lit(10)) == 0).alias("kept"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            texts, names = [t.encode() for t in batch.column(0).to_pylist()], np.array(batch.column(1).to_pylist(), object)
+            for name in set(names):
+                own = [texts[i] for i in np.flatnonzero(names == name)]
+                total = sums.setdefault(name, np.zeros(BUCKETS, np.int64))
+                parts, _ = in_pieces(own, letters_only=True)
+                for a, b in slices(parts):
+                    for _, f in _features(Words(parts[a:b], letters_only=True), BUCKETS):
+                        total += np.bincount(f, minlength=BUCKETS)
+        for name, total in sums.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["l", "f", "n"])
+
+    counted = rows.where("not kept").withColumn("l", F.col("l").cast("string")).select("t", "l")
+    got = counted.mapInArrow(handing_back(count), "l string, f int, n long").groupBy("l", "f").agg(F.sum("n").alias("n")).toArrow()
+    names = sorted(set(got.column("l").to_pylist()))
+    if len(names) < 2:
+        return Model(names, np.zeros((BUCKETS, max(len(names), 1)), np.float32), np.zeros(max(len(names), 1)))
+    table = np.full((BUCKETS, len(names)), 0.5)
+    place = {name: i for i, name in enumerate(names)}
+    table[got.column("f").to_numpy(), [place[x] for x in got.column("l").to_pylist()]] += got.column("n").to_numpy()
+    model = Model(names, np.log(table / table.sum(0)).astype(np.float32), np.zeros(len(names)))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            truth = np.array([place.get(x, -1) for x in batch.column(1).to_pylist()])
+            p = own.probabilities([t.encode() for t in batch.column(0).to_pylist()])
+            some = (truth >= 0) & (p.max(1) > p.min(1))
+            z = np.log(p[some])  # of temperature 1
+            for t in range(len(TEMPERATURES)):
+                q = np.exp((z - z.max(1, keepdims=True)) / TEMPERATURES[t])
+                q /= q.sum(1, keepdims=True)
+                loss = -np.log(np.maximum(q[np.arange(len(q)), truth[some]], 1e-12))
+                bins = np.minimum(q.max(1) * 1000, 999).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), t, np.int32)), pa.array(bins), pa.array(np.rint(loss * 1e6).astype(np.int64))], ["t", "p", "loss"])
+
+    kept = rows.where("kept").withColumn("l", F.col("l").cast("string")).select("t", "l")
+    got = kept.mapInArrow(handing_back(tell), "t int, p int, loss long").groupBy("t", "p").agg(F.count("*").alias("n"), F.sum("loss").alias("loss")).collect()
+    if got:
+        t, p, n, loss = np.array(got, np.int64).T
+        best = int(np.bincount(t, loss, len(TEMPERATURES)).argmin())
+        sizes = np.bincount(p[t == best], n[t == best])
+        model.temperature = TEMPERATURES[best]
+        model.least = float(np.searchsorted(np.cumsum(sizes), REJECT * sizes.sum(), side="right")) / 1000
+    return model
+
+
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, held_out, lang_pred, score, rejected for each row of docs.
 
