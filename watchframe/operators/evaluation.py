@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,32 +11,32 @@ from pyspark.sql import functions as F
 from ..functions.scalar import namespaced_id
 from ..helpers.assignment import heaviest_pairs
 from ..helpers.components import connected_components
-from ..helpers.folds import codes, whole_groups
+from ..helpers.folds import codes, numbers
 from ..helpers.tables import write_again
-from .boxes import iou_pairs
+from .boxes import frame_pairs, iou_pairs
 
 
 def match_frame(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One-to-one matches (camera_id, frame, gt_id, pred_id, iou) of the largest total overlap in each frame.
 
-    Pairs under the threshold are dropped after the assignment. A frame's pairs of overlapping boxes meet in one
-    task; of a pair of ids that occurs several times the largest overlap counts.
+    Pairs under the threshold are dropped after the assignment. A frame's pairs of overlapping boxes are matched where
+    they meet; of a pair of ids that occurs several times the largest overlap counts.
     """
-    columns = ["camera_id", "frame", "gt_id", "pred_id", "iou"]
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, frame in whole_groups(batches, columns[:2]):
-            # ids of different frames are different nodes, so one matching does for all frames
-            side = lambda c: frame.astype(np.int64) << 32 | codes(table.column(c)).astype(np.int64)  # noqa: E731, B023
-            yield from table.take(np.sort(heaviest_pairs(side("gt_id"), side("pred_id"), table.column("iou").to_numpy()))).to_batches()
+    def solve(pairs: pa.Table, frame: np.ndarray) -> pa.Table:
+        if not pairs.num_rows:
+            return pairs
+        # ids of different frames are different nodes, so one matching does for all frames
+        left, right = (frame << 32 | codes(pairs.column(c)).astype(np.int64) for c in ("gt_id", "pred_id"))
+        once = [n[at] == 1 for _, at, n in (np.unique(x, return_inverse=True, return_counts=True) for x in (left, right))]
+        over = pairs.column("iou").to_numpy()
+        # a pair whose boxes overlap no other is matched as it stands; only the rest needs an assignment
+        rest = np.flatnonzero(~(once[0] & once[1]))
+        kept = rest[heaviest_pairs(left[rest], right[rest], over[rest])] if len(rest) else rest
+        kept = np.sort(np.concatenate([np.flatnonzero(once[0] & once[1]), kept]))
+        return pairs.take(pa.array(kept[over[kept] >= threshold]))
 
-    pairs = iou_pairs(gt, pred, 1e-12)
-    # a pair whose boxes overlap no other is matched as it stands; only the rest needs an assignment
-    of_gt, of_pred = Window.partitionBy("camera_id", "frame", "gt_id"), Window.partitionBy("camera_id", "frame", "pred_id")
-    pairs = pairs.withColumn("alone", (F.count("*").over(of_gt) == 1) & (F.count("*").over(of_pred) == 1))
-    rest = pairs.where("not alone").select(*columns)
-    rest = rest.repartition("camera_id", "frame").sortWithinPartitions("camera_id", "frame").mapInArrow(solve, rest.schema)
-    return pairs.where("alone").select(*columns).unionByName(rest).where(F.col("iou") >= threshold)
+    return frame_pairs(gt, pred, 1e-12, solve, iou_pairs(gt, pred).schema)
 
 
 def camera_stats(gt: DataFrame) -> DataFrame:
@@ -91,15 +89,27 @@ def pick_cameras(gt: DataFrame, n: int, exclude: tuple = ()) -> list:
 
 def trajectory_pairs(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(gt_id, pred_id, n): frames in which their boxes overlap enough. Several pairs of a frame may count."""
-    return iou_pairs(gt, pred, threshold).groupBy("gt_id", "pred_id").agg(F.count("*").alias("n"))
+    return _tallies(gt, pred, threshold).groupBy("gt_id", "pred_id").agg(F.sum("n").alias("n"))
+
+
+def _tallies(gt: DataFrame, pred: DataFrame, threshold: float) -> DataFrame:
+    """trajectory_pairs by blocks of frames: a pair may come several times."""
+
+    def tally(pairs: pa.Table, _: np.ndarray) -> pa.Table:
+        both = np.stack([numbers(pairs.column(c)) for c in ("gt_id", "pred_id")])
+        _, first, n = np.unique(both, axis=1, return_index=True, return_counts=True) if both.size else (0, [], [])
+        return pairs.select(["gt_id", "pred_id"]).take(pa.array(first, pa.int64())).append_column("n", pa.array(n, pa.int64()))
+
+    schema = iou_pairs(gt, pred).select("gt_id", "pred_id", F.lit(0).cast("long").alias("n")).schema
+    return frame_pairs(gt, pred, threshold, tally, schema)
 
 
 def _matched_frames(pairs: DataFrame) -> DataFrame:
     """pairs (mode, gt_id, pred_id, n): for each mode idtp, the frames of the heaviest one-to-one match of trajectories.
 
-    Trajectories that share frames are one component, told for all modes at once. A component with one
-    trajectory on either side has its largest count and never leaves the JVM; the others, which hold whoever was
-    confused with each other, are lists of pairs, one for each task, matched by shortest augmenting paths.
+    A trajectory whose partners have no other partner is matched with the one of most frames, and whoever is left
+    belongs to chains of confusions. Those that share frames are one component, told for all modes at once: lists of
+    pairs, one for each task, matched by shortest augmenting paths.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -107,13 +117,19 @@ def _matched_frames(pairs: DataFrame) -> DataFrame:
         return pd.DataFrame({"mode": [pdf["mode"].iloc[0]], "idtp": [int(pdf.n.to_numpy()[chosen].sum())]})
 
     node = lambda side, c: F.struct("mode", F.lit(side).alias("side"), F.col(c).cast("long").alias("id"))
-    pairs = write_again(pairs)
-    labels = connected_components(pairs.select(node(0, "gt_id").alias("a"), node(1, "pred_id").alias("b"))).select(F.col("node").alias("a"), "label")
-    comps = write_again(pairs.withColumn("a", node(0, "gt_id")).join(labels, "a").drop("a"))
-    kinds = comps.groupBy("label").agg(F.first("mode").alias("mode"), F.min("gt_id").alias("g1"), F.max("gt_id").alias("g2"), F.min("pred_id").alias("p1"), F.max("pred_id").alias("p2"), F.max("n").alias("most"))
-    plain = (F.col("g1") == F.col("g2")) | (F.col("p1") == F.col("p2"))
-    mixed = comps.join(kinds.where(~plain).select("label"), "label", "left_semi")
-    each = kinds.where(plain).select("mode", F.col("most").alias("idtp")).unionByName(mixed.groupBy("label").applyInPandas(solve, "mode string, idtp long"))
+    of_gt, of_pred = Window.partitionBy("mode", "gt_id"), Window.partitionBy("mode", "pred_id")
+    pairs = pairs.withColumn("gts", F.count("*").over(of_pred))
+    # the partners of a ground-truth trajectory have no other: it is the middle of a star
+    pairs = write_again(pairs.withColumns({"preds": F.count("*").over(of_gt), "star": F.max("gts").over(of_gt) == 1}))
+    stars = pairs.where("star").groupBy("mode", "gt_id").agg(F.max("n").alias("most"))
+    rest = pairs.where("not star").withColumn("star", F.max("preds").over(of_pred) == 1)
+    stars = stars.select("mode", "most").unionByName(rest.where("star").groupBy("mode", "pred_id").agg(F.max("n").alias("most")).select("mode", "most"))
+    mixed = write_again(rest.where("not star").select("mode", "gt_id", "pred_id", "n"))
+    each = stars.select("mode", F.col("most").alias("idtp"))
+    if not mixed.isEmpty():
+        labels = connected_components(mixed.select(node(0, "gt_id").alias("a"), node(1, "pred_id").alias("b"))).select(F.col("node").alias("a"), "label")
+        comps = mixed.withColumn("a", node(0, "gt_id")).join(labels, "a").drop("a")
+        each = each.unionByName(comps.groupBy("label").applyInPandas(solve, "mode string, idtp long"))
     return each.groupBy("mode").agg(F.sum("idtp").alias("idtp"))
 
 
@@ -135,36 +151,44 @@ def _metrics(sizes: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def _sizes(gt: DataFrame, pred: DataFrame, modes: dict[str, tuple[str, str]]) -> DataFrame:
-    """Rows and ids of both sides for each mode, which names the id columns; each side is read once."""
-    of = lambda rows, n, ids, at: rows.agg(*[F.count("*").alias("n_"), *[F.countDistinct(c[at]).alias(m) for m, c in modes.items()]]).select(F.col("n_").alias(n), F.explode(F.create_map(*[x for m in modes for x in (F.lit(m), F.col(m))])).alias("mode", ids))
+    """Rows (n: how many a row stands for) and ids of both sides for each mode, which names the id columns."""
+    of = lambda rows, n, ids, at: rows.agg(*[F.coalesce(F.sum("n"), F.lit(0)).alias("n_"), *[F.countDistinct(c[at]).alias(m) for m, c in modes.items()]]).select(F.col("n_").alias(n), F.explode(F.create_map(*[x for m in modes for x in (F.lit(m), F.col(m))])).alias("mode", ids))
     return of(gt, "ng", "gt_ids", 0).join(of(pred, "np", "pred_ids", 1), "mode")
 
 
 def id_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row: idtp, fp, fn, idf1, idp, idr, gt_ids, pred_ids, from the best one-to-one match of trajectories."""
     pairs = trajectory_pairs(gt, pred, threshold).withColumn("mode", F.lit("all"))
-    return _metrics(_sizes(gt, pred, {"all": ("id", "id")}), _matched_frames(pairs)).drop("mode")
+    sizes = _sizes(*[rows.groupBy("id").agg(F.count("*").alias("n")) for rows in (gt, pred)], {"all": ("id", "id")})
+    return _metrics(sizes, _matched_frames(pairs)).drop("mode")
 
 
 def mtmc_report(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
     """id_metrics by mode: `single` (ids kept apart by camera), `online` (gid, pending rows their own id), `tracklet` (each track's last gid).
 
-    pred: camera_id, frame, track_id, gid (may be null), x1..y2. Boxes meet once: a pair has the ids of all modes.
+    pred: camera_id, frame, track_id, gid (may be null), x1..y2. Boxes meet once, and a track's last gid meets
+    the counts of its pairs and not its boxes.
     """
     own = -namespaced_id(F.col("camera_id"), F.col("track_id")) - 1
-    last = Window.partitionBy("camera_id", "track_id").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     modes = {"single": ("id_single", "id_single"), "online": ("id", "id_online"), "tracklet": ("id", "id_tracklet")}
-    gt = gt.withColumn("id_single", namespaced_id(F.col("camera_id"), F.col("id")))
-    pred = pred.withColumns({
+    track = ["camera_id", "track_id"]
+    # what a track's boxes say of it: one row for each of its gids
+    said = write_again(pred.groupBy(*track, "gid").agg(F.count("*").alias("n"), F.max("frame").alias("frame")))
+    known = F.when(F.col("gid").isNotNull(), F.struct("frame", "gid"))
+    last = said.groupBy(*track).agg(F.max(known)["gid"].alias("last"))
+    named = {
         "id_single": namespaced_id(F.col("camera_id"), F.col("track_id")),
         "id_online": F.coalesce(F.col("gid"), own),
-        "id_tracklet": F.coalesce(F.last("gid", ignorenulls=True).over(last), own),
-    })
-    ids = lambda rows, names: rows.withColumn("id", F.struct(*[F.col(c).cast("long").alias(c) for c in dict.fromkeys(names)]))
-    met = iou_pairs(ids(gt, [g for g, _ in modes.values()]), ids(pred, [p for _, p in modes.values()]), threshold)
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col(f"gt_id.{g}").alias("gt_id"), F.col(f"pred_id.{p}").alias("pred_id")) for m, (g, p) in modes.items()]))
-    pairs = met.select(each.alias("k")).groupBy("k").agg(F.count("*").alias("n")).select("k.*", "n")
-    return _metrics(_sizes(gt, pred, modes), _matched_frames(pairs))
+        "id_tracklet": F.coalesce(F.col("last"), own),
+    }
+    gt = gt.withColumn("id_single", namespaced_id(F.col("camera_id"), F.col("id")))
+    sizes = _sizes(gt.groupBy("id_single", "id").agg(F.count("*").alias("n")), said.withColumn("last", F.max(known).over(Window.partitionBy(*track))["gid"]).withColumns(named), modes)
+    ids = lambda rows, names: rows.withColumn("id", F.struct(*names))
+    met = _tallies(ids(gt, ["id_single", F.col("id").cast("long").alias("id")]), ids(pred, [*track, F.col("gid").cast("long").alias("gid")]), threshold)
+    met = met.select(F.col("gt_id.id_single").alias("gt_single"), F.col("gt_id.id").alias("gt_id"), "pred_id.*", "n").join(last, track, "left").withColumns(named)
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.col("gt_single" if g == "id_single" else "gt_id").alias("gt_id"), F.col(p).cast("long").alias("pred_id")) for m, (g, p) in modes.items()]))
+    pairs = met.select(each.alias("k"), "n").groupBy("k").agg(F.sum("n").alias("n")).select("k.*", "n")
+    return _metrics(sizes, _matched_frames(pairs))
 
 
 def role_confusion(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.scalar import bounded_levenshtein, clean_plate, normalize_plate
+from .boxes import frame_pairs
 
 TRACK = ["camera_id", "track_id"]
 
@@ -97,19 +101,23 @@ def plate_text_metrics(pairs: DataFrame) -> DataFrame:
 
 
 def det_metrics(gt: DataFrame, pred: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Greedy box matching per image: tp, fp, fn. Both: image, id, x1..y2.
+    """Greedy box matching per image: tp, fp, fn. Both: image (or camera_id and frame), id, x1..y2.
 
     Each prediction goes for its best box; the best overlaps first, each box once.
     """
-    from ..functions.scalar import box, iou
-
-    names = ("id", "x1", "y1", "x2", "y2")
-    g = gt.select("image", *[F.col(c).alias(f"gt_{c}") for c in names])
-    p = pred.select("image", *[F.col(c).alias(f"pred_{c}") for c in names])
-    rows = p.join(g, "image").withColumn("iou", iou(box("gt_"), box("pred_")))
-    best = rows.groupBy("image", "pred_id").agg(F.max(F.struct("iou", (-F.col("gt_id")).alias("k"))).alias("b"))
-    tp = best.where(F.col("b.iou") >= threshold).select("image", "b.k").distinct().agg(F.count("*").alias("tp"))
-    return tp.join(p.agg(F.count("*").alias("np")), F.lit(True)).join(g.agg(F.count("*").alias("ng")), F.lit(True)).select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
+
+    def hits(pairs: pa.Table, frame: np.ndarray) -> pa.Table:
+        g, p = pairs.column("gt_id").to_numpy(), pairs.column("pred_id").to_numpy()
+        over = pairs.column("iou").to_numpy()
+        order = np.lexsort((g, -over, p, frame))  # of equal overlaps the least id
+        p, frame, g = p[order], frame[order], g[order]
+        first = np.ones(len(p), bool)
+        first[1:] = (p[1:] != p[:-1]) | (frame[1:] != frame[:-1])
+        return pa.table({"tp": pa.array([np.unique(np.stack([frame[first], g[first]]), axis=1).shape[1] if len(g) else 0], pa.int64())})
+
+    framed = lambda df: df.withColumns({"camera_id": F.col("image"), "frame": F.lit(0).cast("long")}) if "image" in df.columns else df
+    tp = frame_pairs(framed(gt), framed(pred), threshold, hits, StructType([StructField("tp", LongType())])).agg(F.coalesce(F.sum("tp"), F.lit(0)).alias("tp"))
+    return tp.join(pred.agg(F.count("*").alias("np")), F.lit(True)).join(gt.agg(F.count("*").alias("ng")), F.lit(True)).select("tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"))
 
 
 def training_mix(synthetic: DataFrame, real: DataFrame, share: float = 0.3) -> DataFrame:
