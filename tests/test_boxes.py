@@ -72,7 +72,7 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["j3_iou_pairs", "f9_iou", "g3_sweep", "j5_match_frame", "a15_det_metrics", "j1_zone_membership"])
+@pytest.mark.parametrize("name", ["j3_iou_pairs", "f9_iou", "g3_sweep", "j5_match_frame", "a15_det_metrics", "j1_zone_membership", "j14_blur_worklist"])
 def test_detections_are_never_broadcast(spark, name):
     """Spark takes rows made by explode() for as many as they were made of; a broadcast of all boxes ends the driver."""
     text = plan(queries.QUERIES[name](spark, SF))
@@ -102,3 +102,13 @@ def test_stars_need_no_components(spark):
     rows = [("a", 1, 11, 5), ("a", 1, 12, 7), ("a", 2, 13, 4), ("a", 3, 13, 6), ("a", 4, 14, 3), ("a", 4, 15, 5), ("a", 5, 15, 4), ("b", 1, 11, 2)]
     got = {r["mode"]: r["idtp"] for r in evaluation._matched_frames(spark.createDataFrame(rows, "mode string, gt_id long, pred_id long, n long")).collect()}
     assert got == {"a": 7 + 6 + 3 + 4, "b": 2}
+
+
+def test_repeated_rows_and_clips_are_told_once(spark):
+    from watchframe.operators import search
+
+    det = spark.createDataFrame([("c", 1, t / 2) for t in (0, 1, 1, 4, 9, 300)] + [("c", 2, 1.0), ("c", 3, 1.0)], "camera_id string, track_id long, ts double")
+    clips = spark.createDataFrame([(7, "c", 0.0, 1.0), (7, "c", 0.0, 1.0), (7, "c", 0.5, 2.0), (7, "c", 149.0, 151.0), (8, "c", 4.0, 4.4), (9, "d", 0.0, 9.0)], "clip_id long, camera_id string, start_ts double, end_ts double")
+    roles = spark.createDataFrame([("c", 2, "resident"), ("c", 3, "unknown"), ("c", 3, "pending")], "camera_id string, track_id long, role string")
+    got = sorted(map(tuple, search.blur_worklist(clips, det, roles, 0.1).collect()))
+    assert got == [(7, "c", 0.0, 1), (7, "c", 0.5, 1), (7, "c", 1.0, 3), (7, "c", 2.0, 1), (7, "c", 150.0, 1), (8, "c", 4.5, 1)]
