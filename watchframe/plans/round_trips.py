@@ -16,6 +16,8 @@ from .queries import _KEPT, _MARKED, _TAIL, _TRIGGERS, COOLDOWN, GAP, MATRIX, OR
 
 #: Times and frames of the closing rows, far behind all others: they move the watermark past them.
 END = 4e9
+#: Text of boxes takes about a tenth so; it is read by file and not by parts of one.
+PACKED = "gzip"
 
 
 def _scratch(spark: SparkSession) -> str:
@@ -29,7 +31,7 @@ def _scratch(spark: SparkSession) -> str:
 def _s1(gt):
     path = _scratch(gt.sparkSession)
     line = F.concat_ws(" ", F.regexp_extract("camera_id", r"(\d+)$", 1), *[F.col(c).cast("string") for c in ("id", "frame", "x1", "y1")], (F.col("x2") - F.col("x1")).cast("string"), (F.col("y2") - F.col("y1")).cast("string"), F.lit("0 0"))
-    gt.select(line.alias("value")).write.text(path)
+    gt.select(line.alias("value")).write.text(path, compression=PACKED)
     return io.read_mtmc_ground_truth(gt.sparkSession, path)
 
 
@@ -37,9 +39,9 @@ def _s1(gt):
 def _s2(det):
     geom, types = _scratch(det.sparkSession), _scratch(det.sparkSession)
     box = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2")])
-    det.select(F.concat(F.lit("- { geom: { id1: "), F.col("track_id"), F.lit(", id0: 0, ts0: "), F.col("frame"), F.lit(", ts1: 1, g0: "), box, F.lit(" , src: truth } }")).alias("value")).write.text(geom)
+    det.select(F.concat(F.lit("- { geom: { id1: "), F.col("track_id"), F.lit(", id0: 0, ts0: "), F.col("frame"), F.lit(", ts1: 1, g0: "), box, F.lit(" , src: truth } }")).alias("value")).write.text(geom, compression=PACKED)
     kind = F.when(F.col("label") == "car", "Vehicle").otherwise("Person")
-    det.select("track_id", kind.alias("kind")).distinct().select(F.concat(F.lit("- { types: { id1: "), F.col("track_id"), F.lit(" , cset3: { "), F.col("kind"), F.lit(": 1.0 } } }")).alias("value")).write.text(types)
+    det.select("track_id", kind.alias("kind")).distinct().select(F.concat(F.lit("- { types: { id1: "), F.col("track_id"), F.lit(" , cset3: { "), F.col("kind"), F.lit(": 1.0 } } }")).alias("value")).write.text(types, compression=PACKED)
     return io.read_kpf(det.sparkSession, geom, types)
 
 
@@ -47,7 +49,7 @@ def _s2(det):
 def _s3(gt):
     path = _scratch(gt.sparkSession)
     head = {"dataset": F.lit("site"), "camera": F.col("camera_id"), "fps": F.lit(30.0), "width": F.lit(1280), "height": F.lit(720), "num_frames": F.lit(0), "exhaustive": F.lit(True), "cross_camera_ids": F.lit(True), "global_id": F.col("id"), "class": F.col("label")}
-    io.write_ground_truth(gt.withColumns(head), path)
+    io.write_ground_truth(gt.withColumns(head), path, compression=PACKED)
     return io.read_ground_truth_json(gt.sparkSession, path).select("camera", "frame", "global_id", "x1", "y1", "x2", "y2", "class")
 
 
